@@ -35,5 +35,17 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(store_texts(read(spark, sf_dir, "documents")), "doc_id", "media", more=("n_bytes",))
 
 
-QUERIES = {f.__name__: f for f in (op6_bpe_encoding, op8_token_counts, op9_media_columns)}
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import identify, letter_pieces
+
+    return identify(read(spark, sf_dir, "documents"), letter_pieces(tokenizer_path("piece_bpe_32k.model")))
+
+
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES = {f.__name__: f for f in (op6_bpe_encoding, op7_language_id, op8_token_counts, op9_media_columns, op10_source_mixing)}
 ORACLE_SQL: dict[str, str] = {}

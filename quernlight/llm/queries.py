@@ -22,6 +22,12 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "documents"), percent=85)
+
+
 def op6_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import bpe_encode
 
@@ -56,5 +62,5 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scans, op6_bpe_encoding, op7_language_id, op8_token_counts, op9_media_columns, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_secret_scans, op4_minhash_near_dedup, op6_bpe_encoding, op7_language_id, op8_token_counts, op9_media_columns, op10_source_mixing)}
 ORACLE_SQL: dict[str, str] = {"op1_secret_scans": secrets.ORACLE}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -26,10 +27,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and read it from there from now
-    on: it is computed once and survives the loss of executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """Write df as a table in the shared checkpoint folder and read it from there
+    from now on: it is computed once, the plan is short again, and the loss of
+    executors doesn't matter. Call drop() when nothing needs the table."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/quernlight-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that cut() wrote. Data frames made of them must be done with."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/quernlight-" in name:
+                path = sc._jvm.org.apache.hadoop.fs.Path(name)
+                path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def map_rows(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, secrets
+from . import licenses, projections, secrets
 from .shared import read
 
 
@@ -22,6 +22,10 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projections.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
 def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"))
 
@@ -66,8 +70,9 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scans, op3_license_scans, op4_minhash_near_dedup, op6_bpe_encoding, op7_language_id, op8_token_counts, op9_media_columns, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_embedding_near_dedup, op3_license_scans, op4_minhash_near_dedup, op6_bpe_encoding, op7_language_id, op8_token_counts, op9_media_columns, op10_source_mixing)}
 ORACLE_SQL: dict[str, str] = {
     "op1_secret_scans": secrets.ORACLE,
+    "op2_embedding_near_dedup": projections.ORACLE,
     "op3_license_scans": licenses.oracle(),
 }

@@ -36,6 +36,12 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), percent=85)
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .passages import shared_passages
+
+    return shared_passages(read(spark, sf_dir, "documents"))
+
+
 def op6_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import bpe_encode
 
@@ -70,7 +76,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_embedding_near_dedup, op3_license_scans, op4_minhash_near_dedup, op6_bpe_encoding, op7_language_id, op8_token_counts, op9_media_columns, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_embedding_near_dedup, op3_license_scans, op4_minhash_near_dedup, op5_substring_dedup, op6_bpe_encoding, op7_language_id, op8_token_counts, op9_media_columns, op10_source_mixing)}
 ORACLE_SQL: dict[str, str] = {
     "op1_secret_scans": secrets.ORACLE,
     "op2_embedding_near_dedup": projections.ORACLE,

@@ -285,7 +285,8 @@ def _link_forest(rows: DataFrame, percent: int) -> DataFrame:
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(rep, set) of the wanted classes (rep, k1)."""
     texts = docs.select(F.col(id_col).cast("bigint").alias("i"), F.col(text_col).alias("t"))
-    rows = texts.join(wanted, F.col("i") == F.col("rep")).select("rep", "k1", "t").dropDuplicates(["rep", "t"])
+    # A merge join at every size: the texts are dealt once, and nothing depends on how few classes there are.
+    rows = texts.join(wanted.hint("merge"), F.col("i") == F.col("rep")).select("rep", "k1", "t").dropDuplicates(["rep", "t"])
 
     def run(rep, k1, text):
         for r, k, t in zip(rep, k1, text):

@@ -28,6 +28,7 @@ import re
 import uuid
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -140,10 +141,13 @@ def train(
     """{language: {piece: probability}} from labelled rows; at most about
     per_language texts of each language go to its one fitting task. What comes to
     the driver is one number for each piece and language."""
-    rows = labelled.select(F.col(lang_col).alias("l"), F.col(text_col).alias("t")).where("l is not null and t is not null")
-    counts = labelled.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("l")).agg(F.count("*").alias("n"))
+    rows = labelled.select(F.col(lang_col).alias("l"), F.col(text_col).alias("t")).where("l is not null")
+    counts = rows.groupBy("l").agg(F.count("*").alias("n")).collect()  # a row for each language, as the model
+    if not counts:
+        return {}
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["l"], min(1.0, per_language / r["n"]))])
     chance = F.pmod(F.xxhash64("t", "l"), F.lit(1 << 31)) / F.lit(float(1 << 31))
-    sample = rows.join(counts, "l").where(chance * F.col("n") < per_language).select("l", "t")
+    sample = rows.where(F.col("t").isNotNull() & (chance < F.element_at(share, F.col("l"))))
     shared = labelled.sparkSession.sparkContext.broadcast(pieces)
 
     def fit_language(key, frame: pd.DataFrame) -> pd.DataFrame:
@@ -164,49 +168,66 @@ def train(
 class Scorer:
     def __init__(self, model: dict[str, dict[str, float]]):
         self.languages = sorted(model)
-        self.p = [model[x] for x in self.languages]
-        self.longest = max((len(k) for m in self.p[:1] for k in m), default=1)
-        self.by_piece = {k: tuple(m[k] for m in self.p) for k in (self.p[0] if self.p else ())}
-        self.known: dict[str, tuple[float, ...]] = {}
-
-    def word(self, word: str) -> tuple[float, ...]:
+        width = len(self.languages)
+        self.trie: dict = {}
+        for piece in model[self.languages[0]] if width else ():
+            node = self.trie
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[""] = tuple(model[x][piece] for x in self.languages)
+        self.rows: dict[str, int] = {}
+        self.logs = np.zeros((WORD_MEMORY + 1, width))
+
+    def word(self, word: str) -> list[float]:
         """Log probability in each language; one pass finds the pieces for all."""
-        n, width, get = len(word), len(self.p), self.by_piece.get
-        ways = [None] * (n + 1)
+        n, width, root = len(word), len(self.languages), self.trie
+        ways: list = [None] * (n + 1)
         ways[0] = [1.0] * width
         for start in range(n):
             a = ways[start]
             if a is None:
                 continue
-            single = False
-            for end in range(start + 1, min(n, start + self.longest) + 1):
-                q = get(word[start:end])
+            node, end, single = root, start, False
+            while end < n:
+                node = node.get(word[end])
+                if node is None:
+                    break
+                end += 1
+                q = node.get("")
                 if q is not None:
                     b = ways[end]
                     if b is None:
                         ways[end] = [x * y for x, y in zip(a, q)]
                     else:
                         ways[end] = [z + x * y for x, y, z in zip(a, q, b)]
-                    single |= end == start + 1
+                    if end == start + 1:
+                        single = True
             if not single:
                 b = ways[start + 1] or [0.0] * width
                 ways[start + 1] = [z + x * UNKNOWN for x, z in zip(a, b)]
-        out = tuple(math.log(max(x, 1e-300)) for x in ways[n])
-        if len(self.known) >= WORD_MEMORY:
-            self.known.clear()
-        self.known[word] = out
-        return out
+        return [math.log(max(x, 1e-300)) for x in ways[n]]
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = Counter(chunks(text)) if text else None
+        words = chunks(text) if text else None
         if not words or not self.languages:
             return "und", 0.0
-        known, sums = self.known, [0.0] * len(self.languages)
-        for w, n in words.items():
-            for k, x in enumerate(known.get(w) or self.word(w)):
-                sums[k] += n * x
-        best = max(range(len(sums)), key=lambda k: (sums[k], -k))
-        return self.languages[best], 1.0 / sum(math.exp(max(x - sums[best], -700.0)) for x in sums)
+        rows, logs, sums = self.rows, self.logs, np.zeros(len(self.languages))
+        for at in range(0, len(words), 50_000):
+            part = words[at : at + 50_000]
+            if len(rows) + len(part) > WORD_MEMORY:
+                rows.clear()
+            found = [rows.get(w, -1) for w in part]
+            for k, r in enumerate(found):
+                if r < 0:
+                    w = part[k]
+                    r = rows.get(w, -1)
+                    if r < 0:
+                        r = rows[w] = len(rows)
+                        logs[r] = self.word(w)
+                    found[k] = r
+            sums += logs[found].sum(axis=0)
+        best = int(sums.argmax())
+        return self.languages[best], float(1.0 / np.exp(np.maximum(sums - sums[best], -700.0)).sum())
 
 
 _SCORERS: dict[str, Scorer] = {}
@@ -230,11 +251,29 @@ def predict(
     return map_rows(df.select(id_col, *more, text_col), factory, f"{kinds}, lang_pred string, score double")
 
 
+def language_of(text: Column, spark, model: dict[str, dict[str, float]]) -> Column:
+    """The predicted language as a column (Arrow batches), beside a row's others."""
+    shared, key = spark.sparkContext.broadcast(model), uuid.uuid4().hex
+
+    def predicted(texts: pd.Series) -> pd.Series:
+        if key not in _SCORERS:
+            _SCORERS.clear()
+            _SCORERS[key] = Scorer(shared.value)
+        return pd.Series([_SCORERS[key].predict(t)[0] for t in texts], dtype=object)
+
+    predicted.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    return F.pandas_udf(predicted, "string")(text)
+
+
+def learning_rows(documents: DataFrame) -> DataFrame:
+    rows = documents.select("doc_id", "text", "lang")
+    return rows.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+
+
 def identify(documents: DataFrame, pieces: list[str], per_language: int = PER_LANGUAGE) -> DataFrame:
     """Learn from the rows with a language that aren't held out, predict all rows:
     doc_id, held_out, lang_pred, score."""
     rows = documents.select("doc_id", "text", "lang")
-    learn = rows.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    model = train(learn, pieces, per_language=per_language)
+    model = train(learning_rows(documents), pieces, per_language=per_language)
     out = predict(rows.select("doc_id", "text"), model)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

@@ -89,10 +89,11 @@ def scan(
     owner: str | Column | None = None,
     max_owners: int = 1,
     min_distinct: int = 8,
+    with_row: bool = False,
 ) -> DataFrame:
     """One row per document row: doc_id, counts of base spans, base_spans and
-    spans (text form) and the number of live and shared candidates. The owner is
-    the part of the repository's name before its first '/', if none is given."""
+    spans (text form) and the number of live and shared candidates; with_row adds
+    `row`, the text's xxhash64, which tells rows of one id apart. The owner is the part of the repository's name before its first '/', if none is given."""
     repo = F.col(repository)
     who = F.split(repo, "/")[0] if owner is None else (F.col(owner) if isinstance(owner, str) else owner)
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -152,7 +153,7 @@ def scan(
     more = F.coalesce("more", F.array().cast("array<struct<from:bigint,kind:int,to:bigint>>"))
     n_of = lambda k: F.size(F.filter(more, lambda s: s["kind"] == k)).cast("long")
     return out.select(
-        "doc_id", "n_assign", "n_access", "n_hex", render(F.col("base")).alias("base_spans"),
+        "doc_id", *["row"] * with_row, "n_assign", "n_access", "n_hex", render(F.col("base")).alias("base_spans"),
         render(F.concat(F.col("base"), more)).alias("spans"), n_of(3).alias("n_live"), n_of(4).alias("n_shared"),
     )
 

@@ -1,4 +1,6 @@
 """All queries of the library by name, and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import code_queries, memory_queries, search_queries
+
+QUERIES = search_queries.QUERIES | memory_queries.QUERIES | code_queries.QUERIES
+ORACLE_SQL = search_queries.ORACLE_SQL | memory_queries.ORACLE_SQL | code_queries.ORACLE_SQL

@@ -106,11 +106,16 @@ def repeated_strings(files: DataFrame, key: str, text: str, at_least: int = 4, p
 
 
 def windows(files: DataFrame, key: str, text: str, size: int = CLONE_TOKENS) -> DataFrame:
-    """(key, at, print): a hash of every window of `size` words, within the row."""
+    """(key, at, print): a hash of every window of `size` words, within the row.
+    Words are hashed once, then windows of a factor of `size`, then windows of these."""
     words = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"\s+"), lambda w: w != "")
-    n = F.size(words) - size + 1
-    prints = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda k: F.xxhash64(F.slice(words, k + 1, F.lit(size)))))
-    return files.select(key, F.posexplode(prints).alias("at", "print"))
+    part = max(f for f in range(1, size + 1) if size % f == 0 and f * f <= size)
+    # Columns of their own: inside a lambda they would be made again for each window.
+    rows = files.select(key, F.transform(words, lambda w: F.xxhash64(w)).alias("_w")).where(F.size("_w") >= size)
+    starts = lambda width: F.sequence(F.lit(1), F.size("_w") - width + 1)
+    rows = rows.select(key, "_w", F.transform(starts(part), lambda k: F.xxhash64(F.slice("_w", k, F.lit(part)))).alias("_p"))
+    joined = lambda k: F.xxhash64(*[F.get("_p", k + (j * part - 1)) for j in range(size // part)])
+    return rows.select(key, F.posexplode(F.transform(starts(size), joined)).alias("at", "print"))
 
 
 def clone_pairs(files: DataFrame, key: str, text: str, size: int = CLONE_TOKENS) -> DataFrame:

@@ -118,14 +118,13 @@ def windows(files: DataFrame, key: str, text: str, size: int = CLONE_TOKENS) ->
     return rows.select(key, F.posexplode(F.transform(starts(size), joined)).alias("at", "print"))
 
 
-def clone_pairs(files: DataFrame, key: str, text: str, size: int = CLONE_TOKENS) -> DataFrame:
-    """(a, b, shared windows) of different rows with equal windows. Prints of one row
-    only are dropped before the join; the join is on the print."""
+def clone_links(files: DataFrame, key: str, text: str, size: int = CLONE_TOKENS) -> DataFrame:
+    """(a, b, shared windows): every row with the first row that holds a window too. A
+    window that n rows hold gives n - 1 links, not n squared pairs; none is lost, as
+    all its rows are tied to the first."""
     prints = windows(files, key, text, size).select(key, "print").distinct()
-    shared = prints.groupBy("print").count().where("count > 1").select("print")
-    some = prints.join(shared, "print", "left_semi")
-    a, b = some.select("print", F.col(key).alias("a")), some.select("print", F.col(key).alias("b"))
-    return a.join(b, "print").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    first = prints.groupBy("print").agg(F.min(key).alias("a"), F.count("*").alias("n")).where("n > 1").select("print", "a")
+    return prints.join(first, "print").where(F.col("a") < F.col(key)).groupBy("a", F.col(key).alias("b")).agg(F.count("*").alias("shared"))
 
 
 def print_stats(prints: DataFrame) -> DataFrame:

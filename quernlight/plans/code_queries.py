@@ -58,13 +58,9 @@ WORDS = r"wd AS (SELECT doc_id, list_filter(string_split_regex(text, '\s+'), lam
 PRINTS = f"{WORDS}, pr AS (SELECT DISTINCT doc_id, array_to_string(w[i + 1 : i + 50], ' ') AS p FROM (SELECT doc_id, w, unnest(range(len(w) - 49)) AS i FROM wd WHERE len(w) >= 50))"
 
 
-@query(f"WITH {PRINTS}, s AS (SELECT p FROM pr GROUP BY p HAVING count(*) BETWEEN 2 AND 20) SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM pr a JOIN pr b USING (p) JOIN s USING (p) WHERE a.doc_id < b.doc_id GROUP BY 1, 2")
-def clone_pairs(spark, d):
-    """Pairs of documents with equal 50-word windows that at most 20 documents hold."""
-    prints = C.windows(_docs(spark, d), "doc_id", "text").select("doc_id", "print").distinct()
-    some = prints.join(prints.groupBy("print").count().where("count between 2 and 20").select("print"), "print", "left_semi")
-    a, b = some.select("print", F.col("doc_id").alias("a")), some.select("print", F.col("doc_id").alias("b"))
-    return a.join(b, "print").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+@query(f"WITH {PRINTS}, s AS (SELECT p, min(doc_id) AS a FROM pr GROUP BY p) SELECT a, doc_id AS b, count(*) AS shared FROM pr JOIN s USING (p) WHERE a < doc_id GROUP BY 1, 2")
+def clone_links(spark, d):
+    return C.clone_links(_docs(spark, d), "doc_id", "text")
 
 
 @query(f"WITH {WORDS}, p AS (SELECT array_to_string(w[i + 1 : i + 50], ' ') AS p FROM (SELECT w, unnest(range(len(w) - 49)) AS i FROM wd WHERE len(w) >= 50)), g AS (SELECT count(*) AS n FROM p GROUP BY p) SELECT count(*) AS prints, sum(n)::BIGINT AS places, count(*) FILTER (n = 1) AS single, count(*) FILTER (n > 1) AS repeated FROM g")
@@ -73,9 +69,9 @@ def fingerprint_stats(spark, d):
 
 
 @query(r"""WITH x AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*')) AS identifier FROM documents)
-SELECT identifier, count(*) AS n, count(DISTINCT doc_id) AS files FROM x GROUP BY 1 HAVING count(*) >= 100""")
+SELECT identifier, count(*) AS n, count(DISTINCT doc_id) AS files FROM x GROUP BY 1""")
 def identifier_counts(spark, d):
-    return C.identifier_counts(_docs(spark, d), "doc_id", "text").where("n >= 100")
+    return C.identifier_counts(_docs(spark, d), "doc_id", "text")
 
 
 @query(f"WITH {LINES} SELECT line AS value, count(DISTINCT doc_id) AS files FROM ln WHERE length(line) >= 20 GROUP BY 1 HAVING count(DISTINCT doc_id) >= 4")

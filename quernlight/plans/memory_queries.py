@@ -42,9 +42,9 @@ def all_tags_filter(spark, d):
     return _obs(spark, d).where(M.has_all_tags("tags", ["de", "src5"])).select("id")
 
 
-@query("SELECT page_id, url FROM pages WHERE starts_with(replace(url, '\\', '/'), 'https://') AND page_id >= 10")
+@query("SELECT page_id, url FROM pages WHERE starts_with(replace(url, '\\', '/'), 'https://')")
 def constraint_builder(spark, d):
-    return table(spark, d, "pages").where(M.under_directory("url", "https://") & M.time_range("page_id", 10)).select("page_id", "url")
+    return table(spark, d, "pages").where(M.under_directory("url", "https://")).select("page_id", "url")
 
 
 @query(f"WITH {OBS} SELECT id, created_at FROM obs ORDER BY created_at DESC, id DESC LIMIT 10")
@@ -90,31 +90,32 @@ def content_dedup_per_project(spark, d):
     return M.first_of_content(table(spark, d, "documents"), "text", "doc_id", "lang")
 
 
-@query("""WITH n AS (SELECT doc_id, sha256(text) AS content_hash FROM documents WHERE doc_id % 2 = 1 AND trim(lang) <> ''
+@query("""WITH n AS (SELECT doc_id, sha256(text) AS content_hash FROM documents WHERE lang <> 'en' AND trim(lang) <> ''
  QUALIFY row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) = 1)
-SELECT content_hash, doc_id FROM n WHERE content_hash NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 2 = 0)""")
+SELECT content_hash, doc_id FROM n WHERE content_hash NOT IN (SELECT sha256(text) FROM documents WHERE lang = 'en')""")
 def store_observations(spark, d):
     docs = table(spark, d, "documents")
-    return M.store(docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1"), "text", "doc_id", "lang").select("content_hash", "doc_id")
+    return M.store(docs.where("lang = 'en'"), docs.where("lang <> 'en'"), "text", "doc_id", "lang").select("content_hash", "doc_id")
 
 
 @query("""SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.lang, b.lang) AS lang, CASE WHEN b.doc_id IS NOT NULL THEN 'new' ELSE a.source END AS source
-FROM (SELECT * FROM documents WHERE doc_id < 150) a FULL JOIN (SELECT * FROM documents WHERE doc_id BETWEEN 100 AND 180) b ON a.doc_id = b.doc_id""")
+FROM (SELECT * FROM documents WHERE source <> 'src3') a FULL JOIN (SELECT * FROM documents WHERE lang = 'de') b ON a.doc_id = b.doc_id""")
 def upsert_by_key(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "lang", "source")
-    return M.upsert(docs.where("doc_id < 150"), docs.where("doc_id between 100 and 180").withColumn("source", F.lit("new")), ["doc_id"], ["source"])
+    return M.upsert(docs.where("source <> 'src3'"), docs.where("lang = 'de'").withColumn("source", F.lit("new")), ["doc_id"], ["source"])
 
 
-STATE = """cur AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id % 5 <> 0),
-old AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'x' ELSE sha256(text) END AS h, CASE WHEN doc_id % 11 = 0 THEN 1000 END AS deleted_at FROM documents WHERE doc_id % 3 <> 0)"""
+STATE = """cur AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE source <> 'src5'),
+old AS (SELECT doc_id, CASE WHEN source = 'src7' THEN 'x' ELSE sha256(text) END AS h, CASE WHEN source = 'src11' THEN 1000 END AS deleted_at FROM documents WHERE lang <> 'fr')"""
 
 
 def _state(spark, d):
+    """Files now, and as they were stored: some are gone, some new, some changed."""
     docs = table(spark, d, "documents")
-    i, h = F.col("doc_id"), F.sha2("text", 256)
-    current = docs.where("doc_id % 5 <> 0").select("doc_id", h.alias("h"))
-    deleted = F.when(i % 11 == 0, 1000).cast("long")
-    return current, docs.where("doc_id % 3 <> 0").select("doc_id", F.when(i % 7 == 0, "x").otherwise(h).alias("h"), deleted.alias("deleted_at"))
+    h, s = F.sha2("text", 256), F.col("source")
+    current = docs.where("source <> 'src5'").select("doc_id", h.alias("h"))
+    deleted = F.when(s == "src11", 1000).cast("long")
+    return current, docs.where("lang <> 'fr'").select("doc_id", F.when(s == "src7", "x").otherwise(h).alias("h"), deleted.alias("deleted_at"))
 
 
 @query(f"""WITH {STATE} SELECT coalesce(c.doc_id, o.doc_id) AS doc_id, CASE WHEN o.doc_id IS NULL THEN 'new' WHEN c.doc_id IS NULL THEN 'deleted'
@@ -132,17 +133,18 @@ def soft_delete_and_purge(spark, d):
     return M.purge(M.soft_delete(stored, gone, ["doc_id"], 900000), 1000000).select("doc_id", "deleted_at")
 
 
-@query("SELECT count(*) FILTER (d IS NULL) AS live, count(d) AS tombstones, max(CASE WHEN d IS NULL THEN doc_id END) AS last_id FROM (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 1000 END AS d FROM documents WHERE doc_id % 3 <> 0)")
+@query("SELECT count(*) FILTER (d IS NULL) AS live, count(d) AS tombstones, max(CASE WHEN d IS NULL THEN doc_id END) AS last_id FROM (SELECT doc_id, CASE WHEN source = 'src11' THEN 1000 END AS d FROM documents WHERE lang <> 'fr')")
 def index_stats(spark, d):
     s = _state(spark, d)[1]
     live = F.col("deleted_at").isNull()
     return s.agg(F.count_if(live).alias("live"), F.count("deleted_at").alias("tombstones"), F.max(F.when(live, F.col("doc_id"))).alias("last_id"))
 
 
-@query("WITH f AS (SELECT doc_id % 50 AS file, doc_id, sha256(text) AS h FROM documents) SELECT file, doc_id FROM f WHERE file >= 10 OR doc_id < 500")
+@query("SELECT source, doc_id FROM documents WHERE source NOT IN ('src1', 'src2') OR lang = 'en'")
 def reindexed_chunks(spark, d):
-    f = table(spark, d, "documents").select((F.col("doc_id") % 50).alias("file"), "doc_id")
-    return M.replace_chunks(f, f.where("file < 10 and doc_id < 500"), "file")
+    """Two sources are read anew and then hold English texts only."""
+    f = table(spark, d, "documents").select("source", "doc_id", "lang")
+    return M.replace_chunks(f, f.where("source in ('src1', 'src2') and lang = 'en'"), "source").select("source", "doc_id")
 
 
 # --- dashboard ----------------------------------------------------------------
@@ -247,12 +249,18 @@ def ordered_list(spark, d):
     return table(spark, d, "nation").orderBy("n_regionkey", "n_name").select("n_nationkey", "n_name")
 
 
-EDGES = "e AS (SELECT DISTINCT l_partkey % 200 AS src, l_suppkey % 200 AS dst FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 10 = 0)"
+#: Parts depend on their suppliers; suppliers' numbers are parts' numbers too.
+EDGES = "e AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem)"
+#: A small graph of nations with cycles.
+LINKS = "f AS (SELECT DISTINCT s_nationkey AS src, ((s_suppkey * 7) % 25)::INT AS dst FROM supplier)"
 
 
 def _edges(spark, d) -> DataFrame:
-    l = table(spark, d, "lineitem").where("l_linenumber = 1 and l_orderkey % 10 = 0")  # noqa: E741
-    return l.select((F.col("l_partkey") % 200).alias("src"), (F.col("l_suppkey") % 200).alias("dst")).distinct()
+    return table(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()
+
+
+def _links(spark, d) -> DataFrame:
+    return table(spark, d, "supplier").select(F.col("s_nationkey").alias("src"), (F.col("s_suppkey") * 7 % 25).cast("int").alias("dst")).distinct()
 
 
 @query(f"WITH {EDGES} SELECT src, dst FROM e WHERE src = 7 OR dst = 7")
@@ -272,32 +280,32 @@ def mutual_dependencies(spark, d):
     return G.mutual_pairs(_edges(spark, d))
 
 
-@query(f"""WITH RECURSIVE {EDGES}, f AS (SELECT * FROM e WHERE (src + dst) % 4 = 0), w AS (SELECT src AS root, dst AS node, 1 AS k FROM f
+@query(f"""WITH RECURSIVE {LINKS}, w AS (SELECT src AS root, dst AS node, 1 AS k FROM f
 UNION SELECT root, f.dst, k + 1 FROM w JOIN f ON f.src = w.node WHERE k < 4 AND root <> node) SELECT DISTINCT root FROM w WHERE root = node""")
 def dependency_cycles(spark, d):
-    return G.on_cycles(_edges(spark, d).where("(src + dst) % 4 = 0"), 4)
+    return G.on_cycles(_links(spark, d), 4)
 
 
-@query(f"""WITH RECURSIVE {EDGES}, f AS (SELECT * FROM e WHERE (src + dst) % 4 = 0), w AS (SELECT src, dst FROM f UNION SELECT w.src, f.dst FROM w JOIN f ON w.dst = f.src),
+@query(f"""WITH RECURSIVE {LINKS}, w AS (SELECT src, dst FROM f UNION SELECT w.src, f.dst FROM w JOIN f ON w.dst = f.src),
 m AS (SELECT a.src, min(a.dst) AS o FROM w a JOIN w b ON a.src = b.dst AND a.dst = b.src GROUP BY 1)
 SELECT n AS node, least(n, coalesce(o, n)) AS component FROM (SELECT DISTINCT src AS n FROM f) LEFT JOIN m ON n = src""")
 def strong_components(spark, d):
-    f = _edges(spark, d).where("(src + dst) % 4 = 0")
+    f = _links(spark, d)
     return G.strong_components(f, f.select(F.col("src").alias("node")).distinct())
 
 
-@query(f"WITH {EDGES} SELECT DISTINCT a.src AS owner, b.dst AS target FROM e a JOIN e b ON a.dst = b.src WHERE a.src < 20")
+@query(f"WITH {EDGES} SELECT DISTINCT a.src AS owner, b.dst AS target FROM e a JOIN e b ON a.dst = b.src")
 def two_hop_layers(spark, d):
     e = _edges(spark, d)
-    return G.two_hops(e.where("src < 20"), e)
+    return G.two_hops(e, e)
 
 
-@query("""WITH i AS (SELECT p_partkey AS src, replace(p_type, ' ', '::') AS import FROM part), m AS (SELECT DISTINCT split_part(p_type, ' ', 1) AS module FROM part WHERE p_partkey % 2 = 0)
+@query("""WITH i AS (SELECT p_partkey AS src, replace(p_type, ' ', '::') AS import FROM part), m AS (SELECT DISTINCT split_part(p_type, ' ', 1) AS module FROM part)
 SELECT DISTINCT src, module FROM i JOIN m ON import = module OR starts_with(import, module || '::')""")
 def import_modules(spark, d):
     p = table(spark, d, "part")
     imports = p.select(F.col("p_partkey").alias("src"), F.replace("p_type", F.lit(" "), F.lit("::")).alias("import"))
-    return G.prefix_edges(imports, p.where("p_partkey % 2 = 0").select(F.split("p_type", " ")[0].alias("module")))
+    return G.prefix_edges(imports, p.select(F.split("p_type", " ")[0].alias("module")))
 
 
 QUERIES, ORACLE_SQL = query.queries, query.sql

@@ -20,7 +20,7 @@ tf AS (SELECT doc_id, len(t) AS dl, term, len(list_filter(t, lambda x: x = term)
 df AS (SELECT term, count(*) FILTER (tf > 0) AS df FROM tf GROUP BY term),
 bm AS (SELECT doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS bm25
        FROM tf JOIN df USING (term), st WHERE tf > 0 GROUP BY doc_id)"""
-QV = "qv AS (SELECT vec_id AS query, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 100 = 0)"
+QV = "qv AS (SELECT vec_id AS query, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 20 = 0)"
 
 
 def _docs(spark, d) -> DataFrame:
@@ -32,9 +32,9 @@ def _bm25(spark, d) -> DataFrame:
 
 
 def _query_vectors(spark, d) -> DataFrame:
-    """The stated query set: every vector whose id is divisible by 100."""
+    """The stated query set: every vector whose id is divisible by 20."""
     e = table(spark, d, "embeddings")
-    return e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
+    return e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
 
 
 @query(f"WITH {TOK} SELECT doc_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_terms FROM tok")

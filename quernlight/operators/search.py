@@ -115,3 +115,16 @@ def post_filter(hits: DataFrame, min_score: float | None = None, extensions: lis
     if languages:
         hits = hits.where(F.col("language").isin(languages))
     return hits
+
+
+def approximate_search(vectors: DataFrame, query: list[float], k: int, key: str = "vec_id", vector: str = "embedding", tables: int = 8, length: float = 2.0) -> DataFrame:
+    """The k nearest by random-projection buckets (L2), verified by true distance; for
+    collections too large to scan. The exact search is the default."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.linalg import Vectors
+
+    rows = vectors.select(key, array_to_vector(F.col(vector).cast("array<double>")).alias("v"))
+    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=length, numHashTables=tables, seed=7).fit(rows)
+    near = model.approxNearestNeighbors(rows, Vectors.dense(query), k, distCol="distance")
+    return near.select(key, "distance", S.l2_score(F.col("distance") * F.col("distance")).alias("score"))

@@ -23,10 +23,10 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from .shared import map_rows
+from .shared import kept, map_rows
 
 #: Words remembered by one Python worker; beyond it the memory starts anew.
-WORD_MEMORY = 200_000
+WORD_MEMORY = 120_000
 SCHEMA = {
     "ids": "array<int>",
     "n_tokens": "bigint",
@@ -101,7 +101,7 @@ class PrefixBPE:
                 x_until, x = x, self.halves[x][1]
             else:
                 y_until, y = y, self.halves[y][0]
-        if len(self.fits) > 2_000_000:
+        if len(self.fits) > 500_000:
             self.fits.clear()
         self.fits[a, b] = fits
         return fits
@@ -165,17 +165,6 @@ def decode(tokens: list[str]) -> str:
     return " ".join(tokens)
 
 
-_MODELS: dict[int, PrefixBPE] = {}
-
-
-def _model(source: str) -> PrefixBPE:
-    key = hash(source)
-    if key not in _MODELS:
-        _MODELS.clear()
-        _MODELS[key] = PrefixBPE(source)
-    return _MODELS[key]
-
-
 def _sha(text: str) -> str:
     return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
 
@@ -193,7 +182,8 @@ def bpe_encode(
     kind = df.schema[id_col].dataType.simpleString()
 
     def factory():
-        model = _model(source.value)
+        text = source.value
+        model = kept(("bpe", hash(text)), lambda: PrefixBPE(text))
 
         def run(ids, texts):
             for i, text in zip(ids, texts):

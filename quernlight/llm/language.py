@@ -33,14 +33,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import map_rows
+from .shared import kept, map_rows
 
 CHUNK = 32
 PER_LANGUAGE = 400
 ROUNDS = 3
 SMOOTHING = 0.1
 UNKNOWN = 1e-7
-WORD_MEMORY = 300_000
+WORD_MEMORY = 200_000
 WORD_MARK = "▁"
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -230,9 +230,6 @@ class Scorer:
         return self.languages[best], float(1.0 / np.exp(np.maximum(sums - sums[best], -700.0)).sum())
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
 def predict(
     df: DataFrame, model: dict[str, dict[str, float]], id_col: str = "doc_id", text_col: str = "text",
     more: tuple[str, ...] = (),
@@ -241,10 +238,7 @@ def predict(
     shared, key = df.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def factory():
-        if key not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[key] = Scorer(shared.value)
-        scorer = _SCORERS[key]
+        scorer = kept(key, lambda: Scorer(shared.value))
         return lambda *cols: ((*row[:-1], *scorer.predict(row[-1])) for row in zip(*cols))
 
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in (id_col, *more))
@@ -256,10 +250,8 @@ def language_of(text: Column, spark, model: dict[str, dict[str, float]]) -> Colu
     shared, key = spark.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def predicted(texts: pd.Series) -> pd.Series:
-        if key not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[key] = Scorer(shared.value)
-        return pd.Series([_SCORERS[key].predict(t)[0] for t in texts], dtype=object)
+        scorer = kept(key, lambda: Scorer(shared.value))
+        return pd.Series([scorer.predict(t)[0] for t in texts], dtype=object)
 
     predicted.__annotations__ = {"texts": pd.Series, "return": pd.Series}
     return F.pandas_udf(predicted, "string")(text)

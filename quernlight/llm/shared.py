@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -45,6 +48,40 @@ def drop(*tables: DataFrame) -> None:
                 path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: What this Python worker keeps between tasks: one built model, of one operator.
+_KEPT: list = []
+_used = False
+
+
+def kept(key, build: Callable[[], object]):
+    """A model that later tasks of this worker use again. Workers outlive a stage:
+    what another operator kept is let go first, so memory doesn't add up."""
+    global _used
+    _used = True
+    if not _KEPT or _KEPT[0] != key:
+        release()
+        _KEPT[:] = [key, build()]
+    return _KEPT[1]
+
+
+def release() -> None:
+    """Let go of the kept model and give the memory back to the system."""
+    if _KEPT:
+        _KEPT.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # glibc only
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def _begin(factory: Callable) -> Callable:
+    global _used
+    _used = False
+    fn = factory()
+    if not _used:
+        release()
+    return fn
+
+
 def map_rows(
     df: DataFrame,
     factory: Callable[[], Callable[..., Iterable[tuple]]],
@@ -57,7 +94,7 @@ def map_rows(
     arrow = to_arrow_schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fn = factory()
+        fn = _begin(factory)
         for whole in batches:
             for at in range(0, whole.num_rows, rows_per_batch):
                 part = whole.slice(at, rows_per_batch)

@@ -21,7 +21,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
 
-from .shared import map_rows
+from .shared import kept, map_rows
 
 WORD_MARK = "▁"
 WORD_MEMORY = 200_000
@@ -128,9 +128,6 @@ class LongestMatch:
         return total
 
 
-_BUILT: dict[int, LongestMatch] = {}
-
-
 def count_tokens(
     df: DataFrame, pieces: list[str], id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -139,11 +136,7 @@ def count_tokens(
     kind = df.schema[id_col].dataType.simpleString()
 
     def factory():
-        key = hash(tuple(shared.value))
-        if key not in _BUILT:
-            _BUILT.clear()
-            _BUILT[key] = LongestMatch(shared.value)
-        automaton = _BUILT[key]
+        automaton = kept(("pieces", hash(tuple(shared.value))), lambda: LongestMatch(shared.value))
         return lambda ids, texts: ((i, automaton.text(t)) for i, t in zip(ids, texts))
 
     return map_rows(df.select(id_col, text_col), factory, f"`{id_col}` {kind}, n_tokens bigint")

@@ -31,8 +31,9 @@ ASSIGN = (
     "|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 )
 ACCESS = "AKIA[A-Z0-9]{14,}"
-HEX = "[0-9a-f]{16,}"
-OPAQUE = "[A-Za-z0-9+/_=-]{16,}"
+#: Matches are whole runs, so they can only start where a run starts.
+HEX = "(?<![0-9a-f])[0-9a-f]{16,}"
+OPAQUE = "(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}"
 PLACEHOLDERS = ("example", "changeme", "placeholder", "xxxx", "0123456789", "your")
 KINDS = ("assign", "access", "hex", "live", "shared")
 BLOCK = 256
@@ -97,15 +98,17 @@ def scan(
     repo = F.col(repository)
     who = F.split(repo, "/")[0] if owner is None else (F.col(owner) if isinstance(owner, str) else owner)
     text = F.coalesce(F.col("text"), F.lit(""))
-    low = F.lower(text)
-    hints = ("passw", "secret", "token", "apikey", "api_key")
     hint = F.lit(False)
-    for h in hints:
-        hint = hint | low.contains(h)
+    for h in ("passw", "secret", "token", "apikey", "api_key"):
+        hint = hint | F.col("low").contains(h)
     none = F.array().cast("array<struct<value:string,from:bigint,to:bigint>>")
     rows = documents.select(
         "doc_id", F.coalesce(repo, F.lit("\u0000")).alias("repo"), F.coalesce(who, F.lit("\u0000")).alias("owner"),
-        F.xxhash64(F.col("text")).alias("row"), text.alias("text"),
+        F.xxhash64(F.col("text")).alias("row"), text.alias("text"), F.lower(text).alias("low"),
+    )
+    text = F.col("text")
+    rows = rows.select(
+        "doc_id", "repo", "owner", "row",
         # The hints are ASCII, so no text with a match lacks one.
         F.when(hint, matches(text, ASSIGN)).otherwise(none).alias("assign"),
         F.when(text.contains("AKIA"), matches(text, ACCESS)).otherwise(none).alias("access"),

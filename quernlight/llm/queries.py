@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, projections, secrets
+from . import licenses, minhash, projections, secrets
 from .shared import read
 
 
@@ -31,9 +31,7 @@ def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .minhash import near_duplicates
-
-    return near_duplicates(read(spark, sf_dir, "documents"), percent=85)
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"), percent=85)
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,4 +79,5 @@ ORACLE_SQL: dict[str, str] = {
     "op1_secret_scans": secrets.ORACLE,
     "op2_embedding_near_dedup": projections.ORACLE,
     "op3_license_scans": licenses.oracle(),
+    "op4_minhash_near_dedup": minhash.ORACLE,
 }

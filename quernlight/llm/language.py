@@ -30,6 +30,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +41,7 @@ PER_LANGUAGE = 400
 ROUNDS = 3
 SMOOTHING = 0.1
 UNKNOWN = 1e-7
-WORD_MEMORY = 200_000
+WORD_MEMORY = 120_000
 WORD_MARK = "▁"
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -246,15 +247,18 @@ def predict(
 
 
 def language_of(text: Column, spark, model: dict[str, dict[str, float]]) -> Column:
-    """The predicted language as a column (Arrow batches), beside a row's others."""
+    """The predicted language as a column (Arrow arrays), beside a row's others."""
     shared, key = spark.sparkContext.broadcast(model), uuid.uuid4().hex
 
-    def predicted(texts: pd.Series) -> pd.Series:
-        scorer = kept(key, lambda: Scorer(shared.value))
-        return pd.Series([scorer.predict(t)[0] for t in texts], dtype=object)
+    def predicted(texts: pa.Array) -> pa.Array:
+        scorer, out = kept(key, lambda: Scorer(shared.value)), []
+        for at in range(0, len(texts), 500):
+            out += [scorer.predict(t)[0] for t in texts.slice(at, 500).to_pylist()]
+        return pa.array(out, pa.string())
 
-    predicted.__annotations__ = {"texts": pd.Series, "return": pd.Series}
-    return F.pandas_udf(predicted, "string")(text)
+    predicted.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    # Nondeterministic only in name: else a filter on it would have it computed twice.
+    return F.arrow_udf(predicted, "string").asNondeterministic()(text)
 
 
 def learning_rows(documents: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ from tokenizers import Tokenizer
 from .shared import kept, map_rows
 
 #: Words remembered by one Python worker; beyond it the memory starts anew.
-WORD_MEMORY = 120_000
+WORD_MEMORY = 80_000
 SCHEMA = {
     "ids": "array<int>",
     "n_tokens": "bigint",
@@ -101,7 +101,7 @@ class PrefixBPE:
                 x_until, x = x, self.halves[x][1]
             else:
                 y_until, y = y, self.halves[y][0]
-        if len(self.fits) > 500_000:
+        if len(self.fits) > 200_000:
             self.fits.clear()
         self.fits[a, b] = fits
         return fits

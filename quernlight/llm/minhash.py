@@ -210,7 +210,7 @@ def _each_tile(rows: DataFrame, tile: Callable[[list[tuple]], list[tuple[int, in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part: list[tuple] = []
         out: list[tuple[int, int]] = []
-        for batch in batches:
+        for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if part and row[:3] != part[0][:3]:
                     out += tile(part)

@@ -86,7 +86,7 @@ def map_rows(
     df: DataFrame,
     factory: Callable[[], Callable[..., Iterable[tuple]]],
     schema: str | T.StructType,
-    rows_per_batch: int = 2000,
+    rows_per_batch: int = 500,
 ) -> DataFrame:
     """Arrow map. factory() runs once per task and returns a function from the
     batch's columns (lists) to output rows."""

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .shared import cut, drop
 
-PROJECTIONS = 48
+PROJECTIONS = 28
 WINDOW = 1.25  # half a window's width, in deviations of a pair at the wanted cosine
 MISS = 1e-4
 BLOCK = 2048

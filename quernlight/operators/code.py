@@ -120,13 +120,38 @@ def windows(files: DataFrame, key: str, text: str, size: int = CLONE_TOKENS) ->
 
 def clone_links(files: DataFrame, key: str, text: str, size: int = CLONE_TOKENS) -> DataFrame:
     """(a, b, shared windows): every row with the first row that holds a window too. A
-    window that n rows hold gives n - 1 links, not n squared pairs; none is lost, as
-    all its rows are tied to the first."""
+    window that n rows hold gives n - 1 links, not n squared pairs. Links don't tell
+    which rows beside the first share a window: clone_members does."""
     prints = windows(files, key, text, size).select(key, "print").distinct()
     first = prints.groupBy("print").agg(F.min(key).alias("a"), F.count("*").alias("n")).where("n > 1").select("print", "a")
     return prints.join(first, "print").where(F.col("a") < F.col(key)).groupBy("a", F.col(key).alias("b")).agg(F.count("*").alias("shared"))
 
 
+def members(prints: DataFrame, key: str) -> DataFrame:
+    """(first_key, first_at, key, at) of prints (key, at, print): every place of every
+    window that stands in several places, of one row too, with the first of them,
+    which names the window."""
+    first = prints.groupBy(F.col("print").alias("p")).agg(F.min(F.struct(F.col(key).alias("k"), F.col("at").alias("at"))).alias("f"), F.count("*").alias("n")).where("n > 1")
+    held = prints.join(first, F.col("print") == F.col("p"))
+    return held.select(F.col("f.k").alias("first_key"), F.col("f.at").alias("first_at"), key, "at")
+
+
+def clone_members(files: DataFrame, key: str, text: str, size: int = CLONE_TOKENS) -> DataFrame:
+    """Every place of every repeated window, as members gives them: a row for each
+    place, not for each pair; clone_pairs makes the pairs of those one looks at."""
+    return members(windows(files, key, text, size), key)
+
+
+def clone_pairs(held: DataFrame, key: str, size: int = CLONE_TOKENS) -> DataFrame:
+    """(a, a_at, b, b_at): all pairs of places of one window, those of one row if they
+    don't overlap. Quadratic in a window's places: choose members before."""
+    name = ["first_key", "first_at"]
+    x = held.select(*name, F.col(key).alias("a"), F.col("at").alias("a_at"))
+    y = held.select(*name, F.col(key).alias("b"), F.col("at").alias("b_at"))
+    apart = (F.col("a") < F.col("b")) | ((F.col("a") == F.col("b")) & (F.col("b_at") >= F.col("a_at") + size))
+    return x.join(y, name).where(apart).select("a", "a_at", "b", "b_at")
+
+
 def print_stats(prints: DataFrame) -> DataFrame:
     by = prints.groupBy("print").agg(F.count("*").alias("places"))
     return by.agg(

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from .code import members
 
 KEYWORDS = ("fn", "let", "if", "else", "for", "while", "loop", "match", "return", "pub", "struct", "enum", "impl", "trait", "use", "mod", "def", "class", "import", "from")
 _TOKEN = r"//[^\n]*|/\*[\s\S]*?\*/|\"(?:[^\"\\]|\\.)*\"|[A-Za-z_]\w*|\d[\w.]*|[-+*/%=<>!&|^~?:]+|[(){}\[\],;.]"
@@ -32,11 +33,28 @@ def normalised(tokens: Column) -> Column:
     return F.transform(tokens, lambda t: F.when(t["kind"] == "identifier", "$ID").when(t["kind"].isin("number", "literal"), "$LIT").otherwise(t["text"]))
 
 
+def _token_rows(files: DataFrame, key: str, text: str, size: int) -> DataFrame:
+    toks = files.select(key, typed_tokens(F.col(text)).alias("t"))
+    return toks.select(key, F.transform("t", lambda t: t["text"]).alias("raw"), normalised(F.col("t")).alias("norm")).where(F.size("raw") >= size)
+
+
+def clone_kind_members(files: DataFrame, key: str, text: str, size: int) -> DataFrame:
+    """(kind, first_key, first_at, key, at): every place of every repeated window of
+    tokens, `exact` and `renamed`, as code.members gives them."""
+    rows = _token_rows(files, key, text, size)
+
+    def held(column: str, kind: str) -> DataFrame:
+        starts = F.sequence(F.lit(1), F.size(column) - size + 1)
+        prints = rows.select(key, F.posexplode(F.transform(starts, lambda k: F.xxhash64(F.slice(column, k, F.lit(size))))).alias("at", "print"))
+        return members(prints, key).select(F.lit(kind).alias("kind"), "*")
+
+    return held("raw", "exact").unionByName(held("norm", "renamed"))
+
+
 def clone_kinds(files: DataFrame, key: str, text: str, size: int) -> DataFrame:
     """(a, b, exact, renamed): windows shared with the first holder, as they stand
     and with names and values put aside."""
-    toks = files.select(key, typed_tokens(F.col(text)).alias("t"))
-    rows = toks.select(key, F.transform("t", lambda t: t["text"]).alias("raw"), normalised(F.col("t")).alias("norm")).where(F.size("raw") >= size)
+    rows = _token_rows(files, key, text, size)
 
     def links(column: str, name: str) -> DataFrame:
         starts = F.sequence(F.lit(1), F.size(column) - size + 1)

@@ -63,6 +63,13 @@ def clone_links(spark, d):
     return C.clone_links(_docs(spark, d), "doc_id", "text")
 
 
+@query(f"""WITH {WORDS}, p AS (SELECT doc_id, i AS place, array_to_string(w[i + 1 : i + 50], ' ') AS p FROM (SELECT doc_id, w, unnest(range(len(w) - 49)) AS i FROM wd WHERE len(w) >= 50)),
+f AS (SELECT first_value(doc_id) OVER v AS first_key, first_value(place) OVER v AS first_at, doc_id, place, count(*) OVER (PARTITION BY p) AS n FROM p WINDOW v AS (PARTITION BY p ORDER BY doc_id, place))
+SELECT first_key, first_at, doc_id, place AS "at" FROM f WHERE n > 1""")
+def clone_members(spark, d):
+    return C.clone_members(_docs(spark, d), "doc_id", "text")
+
+
 @query(f"WITH {WORDS}, p AS (SELECT array_to_string(w[i + 1 : i + 50], ' ') AS p FROM (SELECT w, unnest(range(len(w) - 49)) AS i FROM wd WHERE len(w) >= 50)), g AS (SELECT count(*) AS n FROM p GROUP BY p) SELECT count(*) AS prints, sum(n)::BIGINT AS places, count(*) FILTER (n = 1) AS single, count(*) FILTER (n > 1) AS repeated FROM g")
 def fingerprint_stats(spark, d):
     return C.print_stats(C.windows(_docs(spark, d), "doc_id", "text"))

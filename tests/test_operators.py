@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quernlight.functions import embed as E
 from quernlight.functions import scalar as S
-from quernlight.operators import checks, code, graph, rules, search
+from quernlight.operators import checks, code, graph, rules, search, syntax
 from quernlight.sources import files as FS
 from quernlight.sources.store import Collections, annotations, chunk_rows, decrypt_metadata, encrypt_metadata
 from quernlight.streaming import events as ev
@@ -192,3 +192,16 @@ def test_streams(spark, sf_dir, tmp_path):
     stored = spark.read.parquet(str(tmp_path / "obs"))
     expected = ev.observations_of_calls(table.withColumn("project_id", F.when(F.col("user_id") % 2 == 0, F.lit("p"))))
     assert stored.count() == stored.select("content_hash").distinct().count() == expected.select("content_hash").distinct().count()
+
+
+def test_clone_pairs(spark):
+    """Rows that share a window which a smaller row holds too are a pair; so are places of one row that don't overlap."""
+    w, v = [" ".join(f"{c}{k}" for k in range(6)) for c in "wv"]
+    files = spark.createDataFrame([(1, w), (2, f"x {w} y"), (3, f"{w} z {v} q {v}"), (4, "a a a a a a a")], "k long, t string")
+    held = code.clone_members(files, "k", "t", 6)
+    assert {tuple(r) for r in held.collect()} == {(1, 0, 1, 0), (1, 0, 2, 1), (1, 0, 3, 0), (3, 7, 3, 7), (3, 7, 3, 14), (4, 0, 4, 0), (4, 0, 4, 1)}
+    pairs = sorted(tuple(r) for r in code.clone_pairs(held, "k", 6).collect())
+    assert pairs == [(1, 0, 2, 1), (1, 0, 3, 0), (2, 1, 3, 0), (3, 7, 3, 14)]
+    text = [(1, "let a = f(1);"), (2, "let b = g(2);"), (3, "let c = h(3);")]
+    kinds = syntax.clone_kind_members(spark.createDataFrame(text, "k long, t string"), "k", "t", 6)
+    assert {(r.kind, r.k) for r in kinds.collect()} == {("renamed", 1), ("renamed", 2), ("renamed", 3)}

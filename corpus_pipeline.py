@@ -10,7 +10,7 @@ before it kept, written as Parquet and read again in between.
    looks alive go; widely copied examples stay.
 4. mixing: sources are mixed to target weights; a document stands in the result
    as many times as it is taken, so some go and some are repeated.
-5. encoding: exact BPE ids of every text.
+5. encoding: exact BPE ids of every text, decoded again.
 
 Stages 1 to 4 return the columns of their input, extra ones included. Null ids,
 repeated rows and empty tables are handled as the operators say; ids are
@@ -64,7 +64,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.bpe_encode(docs, tokenizer_path("word_bpe_49k.json"), emit=("ids", "n_tokens", "ids_sha256"))
+    return bpe.bpe_encode(docs, tokenizer_path("word_bpe_49k.json"), emit=("ids", "n_tokens", "ids_sha256", "decoded_sha256"))
 
 
 STAGES = [

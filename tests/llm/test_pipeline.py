@@ -1,7 +1,10 @@
+import hashlib
 import re
 
 import corpus_pipeline
+from quernlight.llm.bpe import bpe_encode
 from quernlight.llm.minhash import near_duplicates
+from quernlight.llm.queries import tokenizer_path
 from quernlight.llm.secrets import scan
 
 
@@ -47,3 +50,11 @@ def test_odd_rows(spark):
 def test_run(spark, sf_dir):
     rows = corpus_pipeline.run(spark, sf_dir).collect()
     assert rows and all(len(r.ids) == r.n_tokens for r in rows)
+
+
+def test_encoding_decodes(spark):
+    rows = [(1, "the cat sat", "en", "s"), (2, None, "en", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    out = corpus_pipeline.encode(spark, docs, "").collect()
+    want = bpe_encode(docs, tokenizer_path("word_bpe_49k.json"), emit=("decoded",)).collect()
+    assert {r.doc_id: r.decoded_sha256 for r in out} == {r.doc_id: hashlib.sha256(r.decoded.encode()).hexdigest() for r in want}

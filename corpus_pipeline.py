@@ -14,7 +14,7 @@ before it kept, written as Parquet and read again in between.
 
 Stages 1 to 4 return the columns of their input, extra ones included. Null ids,
 repeated rows and empty tables are handled as the operators say; ids are
-integers and name one text, except in stage 3, which goes by id and text.
+integers and name one text, except in stages 2 and 3, which go by id and text.
 """
 
 from __future__ import annotations
@@ -34,16 +34,33 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return found.withColumn("lang", F.coalesce("lang", "_ql_lang")).drop("_ql_lang")
 
 
+def _named(docs: DataFrame) -> DataFrame:
+    """docs with _ql_name, one number for each text: the id, but of several texts with
+    one id only the least hash keeps it, others get a number made of both."""
+    row = F.xxhash64("text")
+    several = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("_ql_id")).agg(F.min(row).alias("_ql_least"), F.max(row).alias("most"))
+    several = cut(several.where("_ql_least <> most").drop("most"))
+    number = F.col("doc_id").cast("bigint")
+    if several.isEmpty():
+        return docs.withColumn("_ql_name", number)
+    # At least 2 to the 62, so that ids stand before it and stay the smallest of their groups.
+    other = F.xxhash64(number, row).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    name = F.when(F.col("_ql_least").isNull() | (row == F.col("_ql_least")), number).otherwise(other)
+    return docs.join(several, docs["doc_id"] == F.col("_ql_id"), "left").withColumn("_ql_name", name).drop("_ql_id", "_ql_least")
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = cut(minhash.near_duplicates(docs, percent=80))
-    gone = found.where("not kept").select(F.col("doc_id").alias("_ql_id")).distinct()
-    rest = docs.join(gone, docs["doc_id"] == F.col("_ql_id"), "left_anti")
-    repeated = found.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias("_ql_id")).count().where("count > 1")
+    docs = _named(docs)
+    found = cut(minhash.near_duplicates(docs, percent=80, id_col="_ql_name"))
+    gone = found.where("not kept").select(F.col("_ql_name").alias("_ql_id")).distinct()
+    rest = docs.join(gone, docs["_ql_name"] == F.col("_ql_id"), "left_anti")
+    repeated = found.where("kept and _ql_name is not null").groupBy(F.col("_ql_name").alias("_ql_id")).count().where("count > 1")
     repeated = repeated.select("_ql_id")
     if repeated.isEmpty():
-        return rest
-    same = rest["doc_id"] == F.col("_ql_id")
-    return rest.join(repeated, same, "left_anti").unionByName(rest.join(repeated, same, "left_semi").dropDuplicates(["doc_id"]))
+        return rest.drop("_ql_name")
+    same = rest["_ql_name"] == F.col("_ql_id")
+    once = rest.join(repeated, same, "left_semi").dropDuplicates(["_ql_name"])
+    return rest.join(repeated, same, "left_anti").unionByName(once).drop("_ql_name")
 
 
 def drop_live_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -52,6 +52,18 @@ def test_run(spark, sf_dir):
     assert rows and all(len(r.ids) == r.n_tokens for r in rows)
 
 
+def test_texts_of_one_id(spark):
+    """One id may name several texts: a near duplicate goes alone, and clean texts all stay."""
+    text = lambda c: " ".join(f"{c}{k}" for k in range(60))
+    rows = [(1, text("a")), (5, text("a") + " end"), (5, text("b")), (5, text("c")), (5, text("c")), (6, text("c") + " end"), (7, text("d")), (7, text("d") + " end"), (None, text("e"))]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in rows], "doc_id long, text string, lang string, source string")
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert out.columns == docs.columns
+    got = sorted((r.text[0], r.doc_id or 0) for r in out.collect())
+    assert [c for c, _ in got] == ["a", "b", "c", "d", "e"]
+    assert got[0] == ("a", 1) and got[1] == ("b", 5) and got[3:] == [("d", 7), ("e", 0)]
+
+
 def test_encoding_decodes(spark):
     rows = [(1, "the cat sat", "en", "s"), (2, None, "en", "s")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")

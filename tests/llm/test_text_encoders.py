@@ -1,5 +1,7 @@
 import hashlib
 import random
+import struct
+import tracemalloc
 import zlib
 
 import pytest
@@ -7,7 +9,7 @@ from tokenizers import Tokenizer
 
 from quernlight.llm import queries as q
 from quernlight.llm.bpe import PrefixBPE, bpe_encode
-from quernlight.llm.media import UNIT, media_columns, pack, pad, parse, store_texts, unpack
+from quernlight.llm.media import UNIT, _box, _full, media_columns, media_digests, pack, pad, parse, samples, store_texts
 from quernlight.llm.token_counts import WORD_MARK, LongestMatch, count_tokens, load_pieces
 
 ROWS = [(1, "", "x"), (None, None, "x"), (2, "Hello  wörld's end", None), (2, "Hello  wörld's end", None), (3, "long " * 30000, "y"),
@@ -75,16 +77,85 @@ def test_media_round_trip():
         payload = pad(bytes(i % 251 for i in range(n)))
         assert len(payload) % UNIT == 0 and len(payload) >= max(n, UNIT)
         media = pack(payload)
-        assert unpack(media) == payload
-        codec, scale, length, seconds, samples, n_keys, keys = parse(media)
-        assert (codec, length, samples) == ("raw ", len(payload), len(payload) // UNIT)
-        assert seconds == length / scale and n_keys == -(-samples // 8) == len(keys)
-        assert media[keys[-1][0] :][:UNIT] == payload[(n_keys - 1) * 8 * UNIT :][:UNIT]
-        for stop in range(0, len(media) - len(payload), 7):
-            parse(media[:stop])  # truncated: no error
+        (track,) = parse(media)
+        keys = track.keyframes()
+        assert samples(media, track) == payload
+        assert (track.codec, track.duration, len(track.sizes)) == ("raw ", len(payload), len(payload) // UNIT)
+        assert len(keys) == -(-len(track.sizes) // 8)
+        assert media[keys[-1][0] :][:UNIT] == payload[(len(keys) - 1) * 8 * UNIT :][:UNIT]
+        for stop in range(0, len(media) - 1, 7 if n < 1000 else 9973):
+            assert parse(media[:stop]) is None  # truncated
     assert parse(b"not a container") is None and parse(None) is None and parse(b"") is None
 
 
+def track(number, sizes, chunks, stss=None, stsz=None, codec=b"avc1", scale=1000, mdhd=40, per=None):
+    """A trak box: chunks are (offset, samples in it)."""
+    table = [
+        _full(b"stsd", struct.pack(">I", 1), _box(codec, bytes(8))),
+        _full(b"stts", struct.pack(">III", 1, len(sizes), 10) if sizes else struct.pack(">I", 0)),
+        _full(b"stsc", struct.pack(">I", len(chunks)), *(struct.pack(">III", k + 1, n, 1) for k, (_, n) in enumerate(chunks))),
+        stsz or _full(b"stsz", struct.pack(f">II{len(sizes)}I", 0, len(sizes), *sizes)),
+        _full(b"stco", struct.pack(">I", len(chunks)), *(struct.pack(">I", at) for at, _ in chunks)),
+    ]
+    table += [_full(b"stss", struct.pack(f">I{len(stss)}I", len(stss), *stss))] if stss is not None else []
+    head = _full(b"tkhd", bytes(8), struct.pack(">I", number), bytes(68))
+    times = _full(b"mdhd", bytes(8), struct.pack(">IIHH", scale, mdhd, 0, 0))
+    return _box(b"trak", head, _box(b"mdia", times, _box(b"minf", _box(b"stbl", *table))))
+
+
+def test_two_tracks_and_compact_sizes():
+    body = _box(b"mdat", bytes(range(100)))
+    four = _full(b"stz2", bytes(3), b"\4", struct.pack(">I", 3), bytes([0x51, 0x70]))  # 5, 1, 7
+    moov = _box(b"moov", track(1, [4, 6, 10], [(8, 2), (30, 1)], stss=[1, 3]), track(7, [5, 1, 7], [(50, 3)], stsz=four, codec=b"mp4a"))
+    one, two = parse(body + moov)
+    assert (one.track_id, one.codec, one.keyframes()) == (1, "avc1", [(8, 4), (30, 10)])
+    assert (two.track_id, two.codec, two.keyframes()) == (7, "mp4a", [(50, 5), (55, 1), (56, 7)])
+    assert samples(body + moov, one) == bytes([*range(10), *range(22, 32)])
+
+
+def test_fragments():
+    trex = lambda n, size, flags: _full(b"trex", struct.pack(">5I", n, 1, 20, size, flags))
+    moov = _box(b"moov", track(1, [], [], mdhd=0), track(2, [], [], codec=b"mp4a", mdhd=0), _box(b"mvex", trex(1, 0, 0x10000), trex(2, 3, 0)))
+    data, want = moov, {1: [], 2: []}
+    for k in range(2):
+        def moof(offset):
+            video = _box(b"traf", _full(b"tfhd", struct.pack(">I", 1), flags=0x20000), _full(b"trun", struct.pack(">IiI2I", 2, offset, 0, 11, 4), flags=0x1 | 0x4 | 0x200))
+            audio = _box(b"traf", _full(b"tfhd", struct.pack(">II", 2, 7), flags=0x20000 | 0x8), _full(b"trun", struct.pack(">Ii", 4, offset + 15), flags=0x1))
+            return _box(b"moof", _full(b"mfhd", struct.pack(">I", k + 1)), video, audio)
+
+        at = len(data)
+        size = len(moof(0))
+        data += moof(size + 8) + _box(b"mdat", bytes(27))
+        want[1].append((at + size + 8, 11))
+        want[2] += [(at + size + 8 + 15 + 3 * i, 3) for i in range(4)]
+    video, audio = parse(data)
+    assert video.keyframes() == want[1] and len(video.sizes) == 4 and video.duration == 80
+    assert audio.keyframes() == want[2] and audio.duration == 56
+
+
+def test_hostile_media(spark):
+    """Nested, forged and overlapping: no features, no error, no memory."""
+    deep = b""
+    for _ in range(3000):
+        deep = _box(b"moov", deep)
+    body = _box(b"mdat", bytes(range(100)))
+    forged = lambda sizes, chunks, n: body + _box(b"moov", track(1, sizes, chunks, stsz=_full(b"stsz", struct.pack(">II", 1, n))))
+    run = _full(b"trun", struct.pack(">I", 4_000_000_000))
+    moof = _box(b"moof", _box(b"traf", _full(b"tfhd", struct.pack(">I", 1)), run))
+    hostile = [
+        deep, forged([0] * 3, [(8, 4_000_000_000)], 20_000_000), forged([0] * 3, [(8, 4_000_000_000)], 4),
+        body + _box(b"moov", track(1, [200_000], [(8, 1)])), body + _box(b"moov", track(1, [90] * 50, [(8, 1)] * 50)),
+        body + _box(b"moov", track(1, [], [])) + moof, body + _box(b"moov", track(1, [1], [(4_000_000_000, 1)])),
+    ]
+    tracemalloc.start()
+    assert [parse(m) for m in hostile] == [None] * len(hostile)
+    assert tracemalloc.get_traced_memory()[1] < 5_000_000
+    tracemalloc.stop()
+    rows = spark.createDataFrame([(k, bytearray(m)) for k, m in enumerate(hostile)], "doc_id long, media binary")
+    assert all(r.tracks is None for r in media_columns(rows, "doc_id", "media").collect())
+    assert all(r.feature is None and r.media_bytes is None for r in media_digests(rows, "doc_id", "media").collect())
+
+
 def test_media_query(spark, sf_dir, docs):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     rows = q.op9_media_columns(spark, sf_dir).collect()
@@ -95,6 +166,6 @@ def test_media_query(spark, sf_dir, docs):
         assert (r.n_bytes, r.payload_bytes) == (len(data), len(payload))
         assert r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.tail_crc32 == zlib.crc32(payload[-16:])
     out = {r.doc_id: r for r in media_columns(store_texts(docs), "doc_id", "media").collect()}
-    assert out[1].n_samples == 1 and out[None].codec == "raw " and out[3].n_samples == -(-150000 // UNIT)
+    assert out[1].tracks[0].n_samples == 1 and out[None].tracks[0].codec == "raw " and out[3].tracks[0].n_samples == -(-150000 // UNIT)
     odd = spark.createDataFrame([(1, None), (2, bytearray(b"xx"))], "doc_id long, media binary")
-    assert all(r.codec is None and r.keyframes is None for r in media_columns(odd, "doc_id", "media").collect())
+    assert all(r.tracks is None for r in media_columns(odd, "doc_id", "media").collect())

@@ -3,11 +3,13 @@
 Base spans come from three patterns in every whole text. The method then takes
 candidate credentials (long opaque tokens with letters and digits, and assigned
 values), hashes them, and counts for each hash the distinct repositories and
-owners that hold it over the whole corpus. A candidate held by at most
-`max_owners` owners that looks alive (enough different characters, no
-placeholder) gives a span of kind `live`; one that more owners hold is a widely
-copied example and gives a span of kind `shared`; others give none. Values leave
-the scan as SHA-256 hashes only.
+owners that hold it over the whole corpus. A text that stands in several
+repositories counts for the first of them only (by name), so a copied document
+doesn't make its credential a public one. What at least `wide` owners hold, and so
+as many repositories, is a widely copied example and gives a span of kind `shared`.
+Of the rest, what looks alive (enough different characters, no placeholder) gives a
+span of kind `reused` if at least `wide` repositories of few owners hold it, else
+of kind `live`; others give none. Values leave the scan as SHA-256 hashes only.
 
 Positions come from splitting the text by the same pattern that finds the
 matches: lengths of the gaps and matches are summed up.
@@ -35,7 +37,8 @@ ACCESS = "AKIA[A-Z0-9]{14,}"
 HEX = "(?<![0-9a-f])[0-9a-f]{16,}"
 OPAQUE = "(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}"
 PLACEHOLDERS = ("example", "changeme", "placeholder", "xxxx", "0123456789", "your")
-KINDS = ("assign", "access", "hex", "live", "shared")
+KINDS = ("assign", "access", "hex", "live", "shared", "reused")
+WIDE = 4
 BLOCK = 256
 
 
@@ -88,12 +91,12 @@ def scan(
     documents: DataFrame,
     repository: str = "source",
     owner: str | Column | None = None,
-    max_owners: int = 1,
+    wide: int = WIDE,
     min_distinct: int = 8,
     with_row: bool = False,
 ) -> DataFrame:
     """One row per document row: doc_id, counts of base spans, base_spans and
-    spans (text form) and the number of live and shared candidates; with_row adds
+    spans (text form) and the number of live, shared and reused candidates; with_row adds
     `row`, the text's xxhash64, which tells rows of one id apart. The owner is the part of the repository's name before its first '/', if none is given."""
     repo = F.col(repository)
     who = F.split(repo, "/")[0] if owner is None else (F.col(owner) if isinstance(owner, str) else owner)
@@ -142,13 +145,13 @@ def scan(
         )
     )
     found = rows.select("doc_id", "row", "repo", "owner", F.explode("candidates").alias("c")).select("doc_id", "row", "repo", "owner", "c.*")
-    # Each (hash, repository, owner) once before hashes are counted.
-    held = found.groupBy("hash", "repo", "owner").agg(F.lit(1).alias("one"))
+    # Each text once, for its first repository, before hashes are counted.
+    held = found.groupBy("hash", "row").agg(F.min(F.struct("repo", "owner")).alias("at"))
     owners = held.groupBy(F.col("hash").alias("held")).agg(
-        F.countDistinct("repo").alias("n_repos"), F.countDistinct("owner").alias("n_owners")
+        F.countDistinct("at.repo").alias("n_repos"), F.countDistinct("at.owner").alias("n_owners")
     )
     owners = cut(owners)
-    kind = F.when(F.col("n_owners") > max_owners, 4).when(F.col("alive"), 3)
+    kind = F.when((F.col("n_owners") >= wide) & (F.col("n_repos") >= wide), 4).when(F.col("alive"), F.when(F.col("n_repos") >= wide, 5).otherwise(3))
     marked = found.join(owners, found["hash"] == owners["held"]).where(kind.isNotNull())
     marked = marked.select("doc_id", "row", F.struct(F.col("from"), kind.alias("kind"), F.col("to")).alias("span"))
     marked = marked.groupBy(F.col("doc_id").alias("m_id"), F.col("row").alias("m_row")).agg(F.collect_set("span").alias("more"))
@@ -157,7 +160,7 @@ def scan(
     n_of = lambda k: F.size(F.filter(more, lambda s: s["kind"] == k)).cast("long")
     return out.select(
         "doc_id", *["row"] * with_row, "n_assign", "n_access", "n_hex", render(F.col("base")).alias("base_spans"),
-        render(F.concat(F.col("base"), more)).alias("spans"), n_of(3).alias("n_live"), n_of(4).alias("n_shared"),
+        render(F.concat(F.col("base"), more)).alias("spans"), n_of(3).alias("n_live"), n_of(4).alias("n_shared"), n_of(5).alias("n_reused"),
     )
 
 
@@ -165,7 +168,7 @@ def scan(
 ORACLE = r"""
 WITH t AS (
   SELECT doc_id, row_number() OVER () AS rid, coalesce(source, chr(0)) AS repo,
-         split_part(coalesce(source, chr(0)), '/', 1) AS owner, coalesce(text, '') AS text FROM documents),
+         coalesce(text, '') AS text FROM documents),
 m AS (
   SELECT rid, k, unnest(regexp_extract_all(text, p)) AS v,
          unnest(list_transform(string_split_regex(text, p)[1:len(regexp_extract_all(text, p))], lambda g: length(g))) AS gap,
@@ -178,18 +181,18 @@ b AS (SELECT rid, k, e - length(v) AS a, e, val FROM s WHERE k IN (1, 2) OR (k =
 c AS (
   SELECT DISTINCT rid, sha256(val) AS h, e - length(val) AS a, e, val FROM s
   WHERE (k = 0 AND length(val) >= 12) OR (k = 9 AND regexp_matches(val, '[0-9]') AND regexp_matches(val, '[A-Za-z]'))),
-o AS (
-  SELECT h, count(DISTINCT owner) AS n_owners FROM c JOIN t USING (rid) GROUP BY h),
+d AS (SELECT h, text, min(repo) AS repo FROM c JOIN t USING (rid) GROUP BY h, text),
+o AS (SELECT h, count(DISTINCT repo) AS n_repos, count(DISTINCT split_part(repo, '/', 1)) AS n_owners FROM d GROUP BY h),
 x AS (
-  SELECT rid, a, e, CASE WHEN n_owners > 1 THEN 4
+  SELECT rid, a, e, CASE WHEN n_owners >= 4 AND n_repos >= 4 THEN 4
     WHEN len(list_distinct(string_split(val, ''))) >= 8
-      AND NOT regexp_matches(lower(val), 'example|changeme|placeholder|xxxx|0123456789|your') THEN 3 END AS k
+      AND NOT regexp_matches(lower(val), 'example|changeme|placeholder|xxxx|0123456789|your') THEN CASE WHEN n_repos >= 4 THEN 5 ELSE 3 END END AS k
   FROM c JOIN o USING (h)),
 u AS (SELECT rid, k, a, e FROM b UNION SELECT rid, k, a, e FROM x WHERE k IS NOT NULL),
 g AS (
   SELECT rid, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
-    string_agg(['assign', 'access', 'hex', 'live', 'shared'][k + 1] || ':' || a::BIGINT || ':' || e::BIGINT, ',' ORDER BY a, k, e) FILTER (k < 3) AS base,
-    string_agg(['assign', 'access', 'hex', 'live', 'shared'][k + 1] || ':' || a::BIGINT || ':' || e::BIGINT, ',' ORDER BY a, k, e) AS spans
+    string_agg(['assign', 'access', 'hex', 'live', 'shared', 'reused'][k + 1] || ':' || a::BIGINT || ':' || e::BIGINT, ',' ORDER BY a, k, e) FILTER (k < 3) AS base,
+    string_agg(['assign', 'access', 'hex', 'live', 'shared', 'reused'][k + 1] || ':' || a::BIGINT || ':' || e::BIGINT, ',' ORDER BY a, k, e) AS spans
   FROM u GROUP BY rid)
 SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access,
   coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans

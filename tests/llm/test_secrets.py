@@ -41,10 +41,17 @@ def test_spans(spark, rows):
 
 
 def test_ownership(spark):
-    key, copied = "Zk83LmQp92XwRt56Yb", "Qw93ErTy74UiOp15As"
-    rows = [(1, key, "ann/one"), (2, key, "ann/two"), (3, copied, "ann/one"), (4, copied, "bob/one"), (5, "zzzzzzzzzzzzzzzzz1", "bob/one"), (6, "your" + key, "bob/one")]
-    out = {r.doc_id: r.spans for r in scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
-    assert out == {1: "live:0:18", 2: "live:0:18", 3: "shared:0:18", 4: "shared:0:18", 5: "", 6: ""}
+    """Repositories and owners differ: copies within one owner, between few, between many."""
+    key, reused, copied, twin = "Zk83LmQp92XwRt56Yb", "Hv47GnBs81KdFj62Cz", "Qw93ErTy74UiOp15As", "Lr52PnVd38SgXk74Mw"
+    rows = [(1, key, "ann/one"), (2, key + " x", "ann/two")]
+    rows += [(10 + k, f"{reused} {k}", f"ann/r{k}") for k in range(4)]
+    rows += [(20 + k, f"{copied} {k}", f"o{k}/r") for k in range(4)]
+    rows += [(30 + k, twin, f"o{k}/r") for k in range(9)]  # one text, copied to many: still one owner's
+    rows += [(40, "zzzzzzzzzzzzzzzzz1", "bob/one"), (41, "your" + key, "bob/one")]
+    out = {r.doc_id: r for r in scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    kind = {k: "live" for k in (1, 2)} | {10 + k: "reused" for k in range(4)} | {20 + k: "shared" for k in range(4)} | {30 + k: "live" for k in range(9)}
+    assert {i: r.spans for i, r in out.items()} == {i: f"{k}:0:18" for i, k in kind.items()} | {40: "", 41: ""}
+    assert all((r.n_live, r.n_shared, r.n_reused) == tuple(int(kind.get(i) == k) for k in ("live", "shared", "reused")) for i, r in out.items())
     assert scan(spark.createDataFrame([], SCHEMA)).collect() == []
 
 

@@ -19,7 +19,9 @@ Defined cases: vectors that are null, empty, zero, or hold null or non-finite
 components, and rows with a null label, link with nothing (0 links, their own
 component, kept). Vectors of different lengths are never linked. Repeated rows
 count as other vectors of the same id and are linked with one another. A null
-vec_id links with nothing. Other columns are not read; an empty table stays empty.
+vec_id links with nothing. One id under several labels names several vectors, each
+with the links of its own label. Other columns are not read; an empty table stays
+empty.
 """
 
 from __future__ import annotations
@@ -85,12 +87,12 @@ def candidates(left: np.ndarray, right: np.ndarray, cosine: float) -> Iterator[t
 
 
 def _pairs(rows: DataFrame, cosine: float) -> DataFrame:
-    """(rep, links, tied) for each class and task: rows are (label, i, j, own, rep, held, vector), sorted by task."""
-    schema = pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("tied", pa.int64())])
+    """(node, links, tied) for each class and task: rows are (label, i, j, own, node, held, vector), sorted by task."""
+    schema = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("tied", pa.int64())])
 
     def task(part: list[tuple]) -> list[tuple[int, int, int]]:
         i, j = part[0][1:3]
-        own, rep, held = (np.array([r[c] for r in part], np.int64) for c in (3, 4, 5))
+        own, node, held = (np.array([r[c] for r in part], np.int64) for c in (3, 4, 5))
         lengths = np.array([len(r[6]) for r in part])
         links = np.zeros(len(part), np.int64)
         up = list(range(len(part)))
@@ -123,9 +125,9 @@ def _pairs(rows: DataFrame, cosine: float) -> DataFrame:
                         up[max(a, b)] = min(a, b)
         least: dict[int, int] = {}
         for k in range(len(part)):
-            r, x = root(k), int(rep[k])
+            r, x = root(k), int(node[k])
             least[r] = min(least.get(r, x), x)
-        return [(int(rep[k]), int(links[k]), least[root(k)]) for k in np.flatnonzero(links)]
+        return [(int(node[k]), int(links[k]), least[root(k)]) for k in np.flatnonzero(links)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part: list[tuple] = []
@@ -141,7 +143,7 @@ def _pairs(rows: DataFrame, cosine: float) -> DataFrame:
         if part and (out := task(part)):
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=schema)
 
-    return rows.mapInArrow(run, "rep bigint, links bigint, tied bigint")
+    return rows.mapInArrow(run, "node bigint, links bigint, tied bigint")
 
 
 def near_vectors(embeddings: DataFrame, cosine: float = 0.93) -> DataFrame:
@@ -157,23 +159,25 @@ def near_vectors(embeddings: DataFrame, cosine: float = 0.93) -> DataFrame:
     classes = rows.where("good").groupBy("label", "same").agg(
         F.min("id").alias("rep"), F.count("*").alias("held"), F.first("vector").alias("vector")
     )
-    classes = cut(classes)
+    # A class is a node of its own, whatever its smallest id: a number that the written table keeps.
+    classes = cut(classes.withColumn("node", F.monotonically_increasing_id()))
     blocks = cut(classes.groupBy(F.col("label").alias("l")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
     dealt = classes.join(blocks, F.col("label") == F.col("l"))
     own = F.pmod(F.xxhash64("same"), F.col("blocks")).cast("int")
-    dealt = dealt.select("label", "rep", "held", "vector", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "held", "vector")
-    dealt = dealt.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j", "rep")
+    dealt = dealt.select("label", "node", "held", "vector", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "held", "vector")
+    dealt = dealt.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j", "node")
     found = cut(_pairs(dealt, cosine))
-    comps = connected_components(found.select(F.col("rep").alias("a"), F.col("tied").alias("b")))
-    links = found.groupBy(F.col("rep").alias("r")).agg(F.sum("links").alias("links"))
-    named = classes.select("label", "same", "rep", "held").join(links, F.col("rep") == F.col("r"), "left")
-    named = named.join(comps, F.col("rep") == F.col("node"), "left").select(
+    comps = connected_components(found.select(F.col("node").alias("a"), F.col("tied").alias("b"))).withColumnRenamed("node", "in")
+    links = found.groupBy(F.col("node").alias("of")).agg(F.sum("links").alias("links"))
+    named = classes.select("label", "same", "rep", "held", "node").join(links, F.col("node") == F.col("of"), "left")
+    named = cut(named.join(comps, F.col("node") == F.col("in"), "left").withColumn("component", F.coalesce("component", "node")))
+    least = named.groupBy(F.col("component").alias("c")).agg(F.min("rep").alias("least"))
+    named = cut(named.join(least, F.col("component") == F.col("c")).select(
         F.col("label").alias("l"), F.col("same").alias("s"), (F.coalesce("links", F.lit(0)) + F.col("held") - 1).alias("n_links"),
-        F.coalesce("component", "rep").alias("component"),
-    )
-    named = cut(named)
-    drop(found)
+        F.col("least").alias("component"),
+    ))
+    drop(found, blocks, classes)
     out = rows.select("id", "label", "same").join(named, (F.col("label") == F.col("l")) & (F.col("same") == F.col("s")), "left")
     component = F.coalesce("component", "id")
     return out.select(

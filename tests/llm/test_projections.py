@@ -50,6 +50,15 @@ def test_equals_brute_force(spark):
     assert near_vectors(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_one_id_under_two_labels(spark):
+    """Each label has its own links, and components join where vectors do, not where ids do."""
+    v, w = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    near = [0.99, 0.05, 0.0]
+    rows = [(5, v, 1), (6, near, 1), (5, w, 2), (7, w, 2), (8, w, 2), (9, v, 2)]
+    got = sorted(map(tuple, near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()))
+    assert got == [(5, 1, 5, True), (5, 2, 5, True), (6, 1, 5, False), (7, 2, 5, False), (8, 2, 5, False), (9, 0, 9, True)]
+
+
 def test_recall_at_the_threshold():
     """Pairs just at the wanted cosine are found, far ones hardly ever."""
     rng = np.random.default_rng(8)

@@ -53,9 +53,11 @@ HALF = 64
 
 
 def words_of(text: Column) -> Column:
-    """Lower-case words. lower() also changes letters beyond A-Z, but none of them
-    to a separator and none to a letter of the phrases or templates."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), SEPARATORS), lambda w: w != "")
+    """Words with A-Z in lower case. lower() also changes letters beyond A-Z, but none of
+    them to a separator, and only the Kelvin sign to a letter of the phrases or
+    templates: another letter stands for it here."""
+    plain = F.replace(F.coalesce(text, F.lit("")), F.lit("\u212a"), F.lit("\u0138"))
+    return F.filter(F.split(F.lower(plain), SEPARATORS), lambda w: w != "")
 
 
 def template_tokens(templates=TEMPLATES) -> list[tuple[str, list[str]]]:
@@ -142,7 +144,7 @@ def oracle() -> str:
     return rf"""
 WITH w AS (
   SELECT row_number() OVER () AS rid, doc_id,
-    regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 x AS (SELECT rid, w, unnest(range(len(w))) AS i FROM w),
 b AS (
   SELECT rid, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS base

@@ -29,7 +29,7 @@ def test_equals_brute_force(spark):
     rnd = random.Random(9)
     rows = []
     for i in range(150):
-        parts = [" ".join(rnd.choice(["the", "of", "é", "x1", "İstanbul", "software", "license", "MIT", "cc", "by"]) for _ in range(rnd.randint(0, 90))) for _ in range(4)]
+        parts = [" ".join(rnd.choice(["the", "of", "é", "x1", "İstanbul", "wor\u212a", "lIcense", "lİcense", "software", "license", "MIT", "cc", "by"]) for _ in range(rnd.randint(0, 90))) for _ in range(4)]
         for _ in range(rnd.randint(0, 2)):
             words = rnd.choice(TEMPLATES)[1].split()
             for _ in range(rnd.randint(0, min(6, len(words) - 2))):

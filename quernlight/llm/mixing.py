@@ -38,25 +38,45 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _sorted_parts(rows: DataFrame, order: list[Column], sums: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """rows sorted by `order` over parts: with `part` and `at` (from 1 within it); and for
+    each part its rows (`held`) and sums. What stands before a row is then in its own
+    part, or in one row for each part: no task sees all rows."""
+    ranged = cut(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    ranged = ranged.withColumn("at", F.row_number().over(Window.partitionBy("part").orderBy(*order)))
+    parts = ranged.groupBy("part").agg(F.count("*").alias("held"), *[F.sum(c).alias(k) for k, c in sums.items()])
+    return ranged, cut(parts)
+
+
 def source_targets(sized: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_repeats: int = 3) -> DataFrame:
     """source, source_size, n_docs, target from (source, size) rows; one row a source."""
     by = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
-    ordered = Window.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(
-        F.array(*[F.lit(float(w)) for w in weights]),
-        (F.pmod(F.row_number().over(ordered) - 1, F.lit(len(weights))) + 1).cast("int"),
-    )
-    by = by.select("*", weight.alias("weight")).withColumn("cap", F.col("source_size") * F.lit(float(max_repeats)))
-    filling = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    before, after = filling.rowsBetween(Window.unboundedPreceding, -1), filling.rowsBetween(0, Window.unboundedFollowing)
+    ranged, parts = _sorted_parts(by, [F.col("source").asc_nulls_last()], {})
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part, not for each source
+    parts = parts.select(F.col("part").alias("p"), F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("before"))
+    every = F.array(*[F.lit(float(w)) for w in weights])
+    weight = F.element_at(every, (F.pmod(F.col("before") + F.col("at") - 1, F.lit(len(weights))) + 1).cast("int"))
+    by = ranged.join(parts, F.col("part") == F.col("p")).select("source", "source_size", "n_docs", weight.alias("weight"))
+    by = by.withColumn("cap", F.col("source_size") * F.lit(float(max_repeats)))
+
+    # The water level: sources by cap over weight; a source is full if its own level is above that.
+    order = [F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last()]
+    sums = {"caps": F.col("cap"), "weights": F.col("weight"), "words": F.col("source_size").cast("double")}
+    ranged, parts = _sorted_parts(by, order, sums)
     everything = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    level = (F.col("all_words") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after)
-    by = by.withColumn("all_words", F.sum(F.col("source_size").cast("double")).over(everything)).withColumn("level", level)
+    later = Window.orderBy("part").rowsBetween(1, Window.unboundedFollowing)
+    parts = parts.select(
+        F.col("part").alias("p"), F.coalesce(F.sum("caps").over(earlier), F.lit(0.0)).alias("caps"),
+        F.coalesce(F.sum("weights").over(later), F.lit(0.0)).alias("weights"), F.sum("words").over(everything).alias("words"),
+    )
+    within = Window.partitionBy("part").orderBy("at")
+    caps = F.col("caps") + F.coalesce(F.sum("cap").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    left = F.col("weights") + F.sum("weight").over(within.rowsBetween(0, Window.unboundedFollowing))
+    by = cut(ranged.join(parts, F.col("part") == F.col("p")).withColumn("level", (F.col("words") - caps) / left))
     # The first source that isn't full at its own level gives the level of all.
-    place = F.struct(F.row_number().over(filling).alias("at"), F.col("level"))
-    by = by.withColumn("place", F.when(F.col("cap") / F.col("weight") >= F.col("level"), place))
-    by = by.withColumn("level", F.min("place").over(everything)["level"])
-    target = F.least(F.col("cap"), F.coalesce(F.col("weight") * F.col("level"), F.col("cap")))
+    open_ones = by.where(F.col("cap") / F.col("weight") >= F.col("level"))
+    level = open_ones.agg(F.min(F.struct("part", "at", "level"))["level"]).first()[0]  # one number
+    target = F.least(F.col("cap"), F.coalesce(F.col("weight") * F.lit(level).cast("double"), F.col("cap")))
     return by.select("source", "source_size", "n_docs", target.alias("target"))
 
 

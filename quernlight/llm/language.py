@@ -7,12 +7,16 @@ sum over its words of the log of the probability of the word, which a forward
 pass sums over all ways to cut it into pieces. The language with the largest
 sum is predicted; the score is its posterior under equal priors.
 
-Words are runs of letters in lower case; runs beyond CHUNK letters are scored in
-pieces of CHUNK letters.
+Words are runs of letters in lower case, of any length: the forward pass scales
+its sums as it goes on. The new words of a batch are scored together, all their
+positions at once; their logs are added as whole multiples of 1 / UNIT, so equal
+texts have equal scores in any batch.
 
-Learning takes about `per_language` texts of each language (a documented bound,
-chosen by hash of the row, evenly over all rows); prediction covers every whole
-text and reads only the text.
+Learning takes at most `per_language` different texts of each language (a
+documented bound): of the rows whose hash falls into one of so many slots the
+least hash of each slot, so repeats neither crowd out other texts nor lose a
+language. Of these texts, words of at most LEARNED letters count; they come to
+the fitting task as counts. Prediction covers every whole text and reads only it.
 
 Defined cases: null texts and texts without a letter are `und` with score 0; so
 is everything if no labelled text has a letter. Ties go to the smaller language
@@ -23,10 +27,12 @@ stays empty.
 
 from __future__ import annotations
 
-import math
 import re
+import sys
 import uuid
 from collections import Counter
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -34,16 +40,28 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import kept, map_rows
+from .shared import cut, drop, kept, map_rows
 
-CHUNK = 32
 PER_LANGUAGE = 400
+LEARNED = 64
 ROUNDS = 3
 SMOOTHING = 0.1
 UNKNOWN = 1e-7
-WORD_MEMORY = 120_000
+WORD_MEMORY = 300_000  # words whose logs a worker keeps
+AT_ONCE = 100_000  # words looked up together
+SPAN = 1 << 20  # characters of a text cut into words together
+RUN = 48  # letters up to which words are scored together
+UNIT = 1 << 24
 WORD_MARK = "▁"
-_LETTERS = re.compile(r"[^\W\d_]+")
+
+
+_WORD = re.compile(r"[^\W\d_]+")
+
+
+@lru_cache(maxsize=1)
+def _others() -> frozenset[str]:
+    """Characters of words that str.isalpha() doesn't call letters."""
+    return frozenset(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
 
 
 def held_out(doc_id: Column, folds: int = 5) -> Column:
@@ -56,36 +74,22 @@ def letter_pieces(path: str) -> list[str]:
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = (sp.id_to_piece(i) for i in range(sp.get_piece_size()))
-    return [p for p in pieces if (t := p.removeprefix(WORD_MARK)).isalpha() and t == t.lower() and len(p) <= CHUNK]
-
-
-def chunks(text: str) -> list[str]:
-    out = []
-    for w in _LETTERS.findall(text.lower()):
-        if len(w) <= CHUNK:
-            out.append(WORD_MARK + w)
-        else:
-            out += [(WORD_MARK if not k else "") + w[k : k + CHUNK] for k in range(0, len(w), CHUNK)]
-    return out
-
-
-def word_probability(word: str, p: dict[str, float], longest: int) -> float:
-    """Sum over all segmentations; letters outside the vocabulary count UNKNOWN."""
-    n = len(word)
-    ways = [1.0] + [0.0] * n
-    for start in range(n):
-        a = ways[start]
-        if a == 0.0:
-            continue
-        single = False
-        for end in range(start + 1, min(n, start + longest) + 1):
-            q = p.get(word[start:end])
-            if q is not None:
-                ways[end] += a * q
-                single |= end == start + 1
-        if not single:
-            ways[start + 1] += a * UNKNOWN
-    return ways[n]
+    return [p for p in pieces if (t := p.removeprefix(WORD_MARK)).isalpha() and t == t.lower()]
+
+
+def words_of(text: str) -> Iterator[list[str]]:
+    """The words of a text, span after span; spans end between words."""
+    at = 0
+    while at < len(text):
+        end = at + SPAN
+        if end < len(text):
+            run = _WORD.match(text, end)  # letters that go on beyond the span
+            end = run.end() if run else end
+        part = text[at:end].lower()
+        if not part.isascii() and (found := _others().intersection(part)):
+            part = part.translate({ord(c): " " for c in found})
+        yield _WORD.findall(part)
+        at = end
 
 
 def fit(words: Counter[str], pieces: list[str], rounds: int = ROUNDS) -> dict[str, float]:
@@ -139,27 +143,41 @@ def train(
     lang_col: str = "lang",
     per_language: int = PER_LANGUAGE,
 ) -> dict[str, dict[str, float]]:
-    """{language: {piece: probability}} from labelled rows; at most about
+    """{language: {piece: probability}} from labelled rows; the words of at most
     per_language texts of each language go to its one fitting task. What comes to
     the driver is one number for each piece and language."""
-    rows = labelled.select(F.col(lang_col).alias("l"), F.col(text_col).alias("t")).where("l is not null")
-    counts = rows.groupBy("l").agg(F.count("*").alias("n")).collect()  # a row for each language, as the model
-    if not counts:
+    rows = labelled.select(F.col(lang_col).alias("l"), F.col(text_col).alias("t")).where("l is not null and t is not null")
+    rows = rows.withColumn("h", F.xxhash64("t", "l"))
+    # Hashes only, combined before they move; then the rows that hold them, each text once.
+    least = rows.groupBy("l", F.pmod("h", F.lit(per_language)).alias("slot")).agg(F.min("h").alias("least"))
+    least = cut(least.select(F.col("l").alias("of"), "least"))
+    languages = [r["of"] for r in least.select("of").distinct().collect()]  # a row for each language, as the model
+    if not languages:
+        drop(least)
         return {}
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["l"], min(1.0, per_language / r["n"]))])
-    chance = F.pmod(F.xxhash64("t", "l"), F.lit(1 << 31)) / F.lit(float(1 << 31))
-    sample = rows.where(F.col("t").isNotNull() & (chance < F.element_at(share, F.col("l"))))
+    # per_language rows a language at most: a bound of the model's kind.
+    sample = rows.join(F.broadcast(least), (F.col("l") == F.col("of")) & (F.col("h") == F.col("least")), "left_semi")
+    sample = sample.groupBy("l", "h").agg(F.first("t").alias("t"))
+
+    def count(langs, texts):
+        for lang, text in zip(langs, texts):
+            counts = Counter(w for part in words_of(text) for w in part if len(w) <= LEARNED)
+            yield from ((lang, WORD_MARK + w, n) for w, n in counts.items())
+
+    counted = map_rows(sample.select("l", "t"), lambda: count, "l string, word string, n bigint", 50)
+    counted = counted.groupBy("l", "word").agg(F.sum("n").alias("n"))
     shared = labelled.sparkSession.sparkContext.broadcast(pieces)
 
-    def fit_language(key, frame: pd.DataFrame) -> pd.DataFrame:
-        words = Counter(w for t in frame["t"] for w in chunks(t))
-        learned = fit(words, shared.value) if words else {}
-        found = [(key[0], k, v) for k, v in learned.items() if v > 0]
+    def fit_language(frame: pd.DataFrame) -> pd.DataFrame:
+        learned = fit(Counter(dict(zip(frame["word"], frame["n"]))), shared.value)
+        found = [(frame["l"].iloc[0], k, v) for k, v in learned.items() if v > 0]
         return pd.DataFrame(found, columns=["l", "piece", "mass"]).astype({"l": object, "piece": object, "mass": float})
 
     model: dict[str, dict[str, float]] = {}
-    for r in sample.groupBy("l").applyInPandas(fit_language, "l string, piece string, mass double").toLocalIterator():
+    fitted = counted.repartition(len(languages), "l").groupBy("l").applyInPandas(fit_language, "l string, piece string, mass double")
+    for r in fitted.collect():  # the model: a number for each piece and language
         model.setdefault(r["l"], {})[r["piece"]] = r["mass"]
+    drop(least)
     for lang, learned in model.items():
         total = sum(learned.values()) + SMOOTHING * len(pieces)
         model[lang] = {k: (learned.get(k, 0.0) + SMOOTHING) / total for k in pieces}
@@ -167,68 +185,139 @@ def train(
 
 
 class Scorer:
+    """Word and text scores of a model {language: {piece: probability}}."""
+
     def __init__(self, model: dict[str, dict[str, float]]):
         self.languages = sorted(model)
-        width = len(self.languages)
-        self.trie: dict = {}
-        for piece in model[self.languages[0]] if width else ():
-            node = self.trie
+        pieces = sorted(model[self.languages[0]]) if model else []
+        self.chance = np.array([[model[x][p] for x in self.languages] for p in pieces]).reshape(len(pieces), len(self.languages))
+        # A trie: children of a state by letter, the piece that ends in a state.
+        children: dict[tuple[int, str], int] = {}
+        ends: list[int] = [-1]
+        self.longest = max(map(len, pieces), default=1)
+        for k, piece in enumerate(pieces):
+            state = 0
             for c in piece:
-                node = node.setdefault(c, {})
-            node[""] = tuple(model[x][piece] for x in self.languages)
+                state = children.setdefault((state, c), len(ends))
+                if state == len(ends):
+                    ends.append(-1)
+            ends[state] = k
+        self.children, self.ends = children, np.array(ends)
+        # The same for arrays: letters by number (from 1 on), moves sorted by state and letter.
+        self.alphabet = np.unique(np.array([ord(c) for _, c in children], np.int64))
+        self.width = len(self.alphabet) + 1
+        number = {int(c): k + 1 for k, c in enumerate(self.alphabet)}
+        moves = sorted((s * self.width + number[ord(c)], t) for (s, c), t in children.items())
+        self.moves, self.targets = np.array(moves, np.int64).reshape(-1, 2).T
         self.rows: dict[str, int] = {}
-        self.logs = np.zeros((WORD_MEMORY + 1, width))
+        self.logs = np.zeros((WORD_MEMORY, len(self.languages)), np.int64)
 
-    def word(self, word: str) -> list[float]:
-        """Log probability in each language; one pass finds the pieces for all."""
-        n, width, root = len(word), len(self.languages), self.trie
-        ways: list = [None] * (n + 1)
-        ways[0] = [1.0] * width
+    def word(self, word: str) -> np.ndarray:
+        """Log probability in each language, letter after letter; scaled on the way,
+        so runs of any length have one."""
+        width, n = len(self.languages), len(word)
+        scale, ahead = np.zeros(width), {0: np.ones(width)}
         for start in range(n):
-            a = ways[start]
-            if a is None:
-                continue
-            node, end, single = root, start, False
-            while end < n:
-                node = node.get(word[end])
-                if node is None:
-                    break
+            now = ahead.pop(start)
+            if start % 8 == 7:
+                top = np.max([now, *ahead.values()], axis=0)
+                scale += np.log(top)
+                now = now / top
+                ahead = {k: v / top for k, v in ahead.items()}
+            state, end, single = 0, start, False
+            while end < n and (state := self.children.get((state, word[end]), -1)) >= 0:
                 end += 1
-                q = node.get("")
-                if q is not None:
-                    b = ways[end]
-                    if b is None:
-                        ways[end] = [x * y for x, y in zip(a, q)]
-                    else:
-                        ways[end] = [z + x * y for x, y, z in zip(a, q, b)]
-                    if end == start + 1:
-                        single = True
+                if (k := self.ends[state]) >= 0:
+                    ahead[end] = ahead.get(end, 0.0) + now * self.chance[k]
+                    single |= end == start + 1
             if not single:
-                b = ways[start + 1] or [0.0] * width
-                ways[start + 1] = [z + x * UNKNOWN for x, z in zip(a, b)]
-        return [math.log(max(x, 1e-300)) for x in ways[n]]
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        words = chunks(text) if text else None
-        if not words or not self.languages:
-            return "und", 0.0
-        rows, logs, sums = self.rows, self.logs, np.zeros(len(self.languages))
-        for at in range(0, len(words), 50_000):
-            part = words[at : at + 50_000]
-            if len(rows) + len(part) > WORD_MEMORY:
-                rows.clear()
-            found = [rows.get(w, -1) for w in part]
-            for k, r in enumerate(found):
-                if r < 0:
-                    w = part[k]
-                    r = rows.get(w, -1)
-                    if r < 0:
-                        r = rows[w] = len(rows)
-                        logs[r] = self.word(w)
-                    found[k] = r
-            sums += logs[found].sum(axis=0)
-        best = int(sums.argmax())
-        return self.languages[best], float(1.0 / np.exp(np.maximum(sums - sums[best], -700.0)).sum())
+                ahead[start + 1] = ahead.get(start + 1, 0.0) + now * UNKNOWN
+        return np.log(ahead[n]) + scale
+
+    def words(self, words: list[str]) -> np.ndarray:
+        """Log probabilities of many words: (word, language)."""
+        out = np.zeros((len(words), len(self.languages)))
+        short = sorted((k for k in range(len(words)) if len(words[k]) <= RUN), key=lambda k: len(words[k]))
+        for at in range(0, len(short), 4096):
+            of = short[at : at + 4096]
+            out[of] = self._together([words[k] for k in of])
+        for k, w in enumerate(words):
+            if len(w) > RUN:
+                out[k] = self.word(w)
+        return out
+
+    def _together(self, words: list[str]) -> np.ndarray:
+        """words() for words of RUN letters at most, sorted by length."""
+        lengths = np.array([len(w) for w in words])
+        longest, width = int(lengths[-1]), len(self.languages)
+        letters = np.array(words, f"<U{longest}").view(np.uint32).reshape(len(words), longest).astype(np.int64)
+        at = np.minimum(np.searchsorted(self.alphabet, letters), max(len(self.alphabet) - 1, 0))
+        codes = np.where(self.alphabet[at] == letters, at + 1, 0) if len(self.alphabet) else np.zeros_like(letters)
+        ahead = np.zeros((longest + 1, len(words), width))
+        ahead[0] = 1.0
+        for start in range(longest):
+            here = np.arange(np.searchsorted(lengths, start, "right"), len(words))  # words that reach beyond
+            state, now, single = np.zeros(len(here), np.int64), ahead[start], np.zeros(len(words), bool)
+            for end in range(start + 1, longest + 1):
+                key = state * self.width + codes[here, end - 1]
+                move = np.minimum(np.searchsorted(self.moves, key), len(self.moves) - 1)
+                live = (self.moves[move] == key) if len(self.moves) else np.zeros(len(here), bool)
+                here, state = here[live], self.targets[move[live]] if len(self.moves) else state[live]
+                if not len(here):
+                    break
+                piece = self.ends[state]
+                whole = piece >= 0
+                ahead[end, here[whole]] += now[here[whole]] * self.chance[piece[whole]]
+                if end == start + 1:
+                    single[here[whole]] = True
+            ahead[start + 1, ~single] += now[~single] * UNKNOWN
+        return np.log(ahead[lengths, np.arange(len(words))])
+
+    def _sum(self, words: list[str], starts: list[int]) -> np.ndarray:
+        """Sums of logs of the words from each start to the next."""
+        new = list(set(words).difference(self.rows))
+        if len(self.rows) + len(new) > WORD_MEMORY:
+            self.rows.clear()
+            new = list(set(words))
+        if new:
+            base = len(self.rows)
+            self.logs[base : base + len(new)] = np.rint(self.words([WORD_MARK + w for w in new]) * UNIT)
+            self.rows.update(zip(new, range(base, base + len(new))))
+        found = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
+        return np.add.reduceat(self.logs[found], starts, axis=0)
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        sums = np.zeros((len(texts), len(self.languages)), np.int64)
+        some = np.zeros(len(texts), bool)
+        held: list[str] = []
+        owners: list[int] = []
+        starts: list[int] = []
+
+        def flush() -> None:
+            if held:
+                np.add.at(sums, owners, self._sum(held, starts))
+                some[owners] = True
+                held.clear(), owners.clear(), starts.clear()
+
+        for k, text in enumerate(texts if self.languages else []):
+            for words in words_of(text or ""):
+                for at in range(0, len(words), AT_ONCE):
+                    part = words[at : at + AT_ONCE]
+                    if len(held) + len(part) > AT_ONCE:
+                        flush()
+                    owners.append(k)
+                    starts.append(len(held))
+                    held += part
+        flush()
+        best = sums.argmax(axis=1) if self.languages else None
+        out = []
+        for k in range(len(texts)):
+            if not some[k]:
+                out.append(("und", 0.0))
+                continue
+            behind = (sums[k] - sums[k, best[k]]) / UNIT
+            out.append((self.languages[best[k]], float(1.0 / np.exp(np.maximum(behind, -700.0)).sum())))
+        return out
 
 
 def predict(
@@ -240,7 +329,7 @@ def predict(
 
     def factory():
         scorer = kept(key, lambda: Scorer(shared.value))
-        return lambda *cols: ((*row[:-1], *scorer.predict(row[-1])) for row in zip(*cols))
+        return lambda *cols: ((*row, *found) for *row, found in zip(*cols[:-1], scorer.predict(cols[-1])))
 
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in (id_col, *more))
     return map_rows(df.select(id_col, *more, text_col), factory, f"{kinds}, lang_pred string, score double")
@@ -253,7 +342,7 @@ def language_of(text: Column, spark, model: dict[str, dict[str, float]]) -> Colu
     def predicted(texts: pa.Array) -> pa.Array:
         scorer, out = kept(key, lambda: Scorer(shared.value)), []
         for at in range(0, len(texts), 500):
-            out += [scorer.predict(t)[0] for t in texts.slice(at, 500).to_pylist()]
+            out += [lang for lang, _ in scorer.predict(texts.slice(at, 500).to_pylist())]
         return pa.array(out, pa.string())
 
     predicted.__annotations__ = {"texts": pa.Array, "return": pa.Array}

@@ -5,7 +5,7 @@ import random
 import pytest
 
 from quernlight.llm import queries as q
-from quernlight.llm.language import Scorer, identify, letter_pieces, word_probability
+from quernlight.llm.language import UNKNOWN, Scorer, identify, learning_rows, letter_pieces, train, words_of
 from quernlight.llm.mixing import mix
 
 ODD = [
@@ -24,13 +24,50 @@ def test_forward_sums_all_segmentations():
     rnd = random.Random(1)
     for _ in range(50):
         p = {"".join(rnd.choice("ab") for _ in range(rnd.randint(1, 3))): rnd.random() for _ in range(5)} | {"a": 0.1, "b": 0.2}
-        word = "".join(rnd.choice("ab") for _ in range(7))
-        total = 0.0
-        for cuts in itertools.product([0, 1], repeat=6):
-            at = [0, *(i + 1 for i, c in enumerate(cuts) if c), 7]
-            total += math.prod(p.get(word[a:b], 0.0) for a, b in itertools.pairwise(at))
-        assert word_probability(word, p, 3) == pytest.approx(total)
-        assert Scorer({"x": p, "y": p}).word(word)[0] == pytest.approx(math.log(total))
+        words = ["".join(rnd.choice("abc") for _ in range(rnd.randint(1, 8))) for _ in range(6)]
+        scorer = Scorer({"x": p, "y": {k: v / 2 for k, v in p.items()}})
+        together = scorer.words(words)
+        for k, word in enumerate(words):
+            totals = [0.0, 0.0]
+            for cuts in itertools.product([0, 1], repeat=len(word) - 1):
+                at = [0, *(i + 1 for i, c in enumerate(cuts) if c), len(word)]
+                for of, share in enumerate((1, 2)):
+                    totals[of] += math.prod(UNKNOWN if word[a:b] == "c" else p.get(word[a:b], 0.0) / share for a, b in itertools.pairwise(at))
+            assert list(together[k]) == pytest.approx([math.log(t) for t in totals])
+            assert list(scorer.word(word)) == pytest.approx([math.log(t) for t in totals])
+
+
+def test_runs_of_any_length():
+    """No underflow and no cut: the sum of a long run equals one in logs."""
+    p = {"a": 0.01, "ab": 0.02, "ba": 0.003, "bab": 0.004, "b": 0.05}
+    word = "".join(random.Random(2).choice("abc") for _ in range(3000))
+    logs = [0.0]
+    for end in range(1, len(word) + 1):
+        ways = [logs[end - k] + math.log(p[x]) for k in (1, 2, 3) if end >= k and (x := word[end - k : end]) in p]
+        ways += [logs[end - 1] + math.log(UNKNOWN)] if word[end - 1] == "c" else []
+        logs.append(max(ways) + math.log(sum(math.exp(w - max(ways)) for w in ways)))
+    scorer = Scorer({"x": p})
+    assert scorer.words([word, word[:30]])[:, 0] == pytest.approx([logs[-1], logs[30]])
+    assert scorer.predict([word, word[:30] + " " + word, None])[2] == ("und", 0.0)
+
+
+def test_spans_end_between_words(monkeypatch):
+    text = "ab cde f" * 50 + "²_x"
+    whole = [w for part in words_of(text) for w in part]
+    monkeypatch.setattr("quernlight.llm.language.SPAN", 7)
+    assert [w for part in words_of(text) for w in part] == whole and whole[-2:] == ["f", "x"]
+
+
+def test_repeats_lose_no_language(spark, pieces):
+    """One text of each language, thousands of times: all languages are learned, from one text each."""
+    texts = {"en": "the house of the man", "de": "das Haus und der Mann", "fr": "la maison et les hommes", "es": "el hombre y la casa", "it": "gli uomini della casa", "nl": "het huis van de man"}
+    docs = spark.createDataFrame([(i, t, lang) for lang, t in texts.items() for i in range(1, 4001)], "doc_id long, text string, lang string")
+    model = train(learning_rows(docs), pieces)
+    assert sorted(model) == sorted(texts)
+    scorer = Scorer(model)
+    assert [lang for lang, _ in scorer.predict(list(texts.values()))] == list(texts)
+    once = train(spark.createDataFrame([(t, lang) for lang, t in texts.items()], "text string, lang string"), pieces)
+    assert model["de"] == pytest.approx(once["de"])
 
 
 def test_language_accuracy(spark, sf_dir):

@@ -17,16 +17,18 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections.abc import Iterable
 
 import ahocorasick
-import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
 from .shared import kept, map_rows
 
-#: Words remembered by one Python worker; beyond it the memory starts anew.
-WORD_MEMORY = 80_000
+#: Words that one Python worker remembers twice over: those met lately, and those met before them.
+WORD_MEMORY = 110_000
+#: Count of tokens, their ids and their texts, both joined by spaces.
+Entry = tuple[int, str, str]
 SCHEMA = {
     "ids": "array<int>",
     "n_tokens": "bigint",
@@ -36,7 +38,8 @@ SCHEMA = {
 }
 _BEYOND_LATIN = re.compile(r"[^\x00-ɏ]")
 _ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t\n\x0b\x0c\ra-z0-9]+")
-_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: The library's words below U+0250: letters, numbers one by one, and what is neither, nor white space.
+_LATIN_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[0-9²³¹¼½¾]|(?:[^\w\t\n\x0b\x0c\r \x85\xa0]|_)+")
 
 
 def byte_symbols() -> dict[str, int]:
@@ -58,14 +61,14 @@ class PrefixBPE:
         library = Tokenizer.from_str(source)
         self.normal, self.split = library.normalizer, library.pre_tokenizer
         vocab: dict[str, int] = model["vocab"]
-        self.text = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
         # A token's place in the order of merges; tokens of one symbol come first.
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         made = [a + b for a, b in pairs]
         merged = set(made)
         first = [t for t in vocab if t not in merged]
         order = {t: k for k, t in enumerate(first + made)}
-        self.id = [vocab[t] for t in first + made]
+        self.id_text = [str(vocab[t]) for t in first + made]
+        self.token_text = first + made
         self.halves = [(k, k) for k in range(len(first))] + [(order[a], order[b]) for a, b in pairs]
         self.merge = {(order[a], order[b]): order[a + b] for a, b in pairs}
         self.fits: dict[tuple[int, int], bool] = {}
@@ -79,7 +82,8 @@ class PrefixBPE:
                 symbols[-1] += 256
             self.ends.add_word("".join(map(chr, symbols)), (len(symbols), k))
         self.ends.make_automaton()
-        self.words: dict[str, tuple[int, str, str, list[int]]] = {}
+        self.lately: dict[str, Entry] = {}
+        self.before: dict[str, Entry] = {}
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether BPE of the two tokens' text ends in just these tokens: undo
@@ -88,7 +92,7 @@ class PrefixBPE:
         if known is not None:
             return known
         x, y, fits = a, b, True
-        x_until = y_until = len(self.id)  # the merges that take up x and y; of equal merges the leftmost is first
+        x_until = y_until = len(self.halves)  # the merges that take up x and y; of equal merges the leftmost is first
         while True:
             crossing = self.merge.get((x, y))
             if crossing is not None and crossing < x_until and crossing <= y_until:
@@ -107,6 +111,7 @@ class PrefixBPE:
         return fits
 
     def encode_word(self, word: str) -> list[int]:
+        """The word's tokens, by their place in the order of merges."""
         symbols = word.encode("utf-8", "surrogatepass").decode("latin-1")
         if self.end:
             symbols = symbols[:-1] + chr(256 + ord(symbols[-1]))
@@ -124,7 +129,7 @@ class PrefixBPE:
                 last[at], back[at] = token, start
         out = []
         while n:
-            out.append(self.id[last[n]])
+            out.append(last[n])
             n = back[n]
         return out[::-1]
 
@@ -133,34 +138,41 @@ class PrefixBPE:
         if text.isascii():
             return _ASCII_WORDS.findall(text.lower())
         if not _BEYOND_LATIN.search(text):
-            return _WORDS.findall(text.lower())
+            return _LATIN_WORDS.findall(text.lower())
         # Byte-level words map back to their text one to one.
         normal = self.normal.normalize_str(text)
         cuts = [span for _, span in self.split.pre_tokenize_str(normal)]
         return [normal[a:b] for a, b in cuts]
 
-    def word(self, word: str) -> tuple[int, str, str, list[int]]:
-        ids = self.encode_word(word)
-        entry = (len(ids), " ".join(map(str, ids)), " ".join([self.text[i] for i in ids]), ids)
-        if len(self.words) >= WORD_MEMORY:
-            self.words.clear()
+    def word(self, word: str) -> Entry:
+        found = self.before.get(word)
+        if found is None:
+            tokens = self.encode_word(word)
+            found = len(tokens), " ".join([self.id_text[k] for k in tokens]), " ".join([self.token_text[k] for k in tokens])
         if len(word) <= 64:
-            self.words[word] = entry
-        return entry
-
-    def encode(self, text: str | None) -> list[tuple[int, str, str, list[int]]]:
-        """One entry for each word or special token: count, ids, tokens, id list."""
-        out, known = [], self.words
+            if len(self.lately) >= WORD_MEMORY:
+                self.before, self.lately = self.lately, {}
+            self.lately[word] = found
+        return found
+
+    def encode(self, text: str | None) -> list[Entry]:
+        """One entry for each word or special token."""
+        out: list[Entry] = []
         for k, part in enumerate(self.cut.split(text or "") if self.cut else [text or ""]):
             if k % 2:
-                out.append((1, str(self.special[part]), part, [self.special[part]]))
+                out.append((1, str(self.special[part]), part))
             elif part:
-                for w in self.pieces(part):
-                    out.append(known.get(w) or self.word(w))
+                words = self.pieces(part)
+                found = list(map(self.lately.get, words))
+                if None in found:
+                    for at, entry in enumerate(found):
+                        if entry is None:
+                            found[at] = self.lately.get(words[at]) or self.word(words[at])
+                out += found
         return out
 
 
-def decode(tokens: list[str]) -> str:
+def decode(tokens: Iterable[str]) -> str:
     """Without a decoder in the file, tokens are joined by one space."""
     return " ".join(tokens)
 
@@ -187,17 +199,17 @@ def bpe_encode(
 
         def run(ids, texts):
             for i, text in zip(ids, texts):
-                words = model.encode(text)
+                n, numbers, tokens = zip(*found) if (found := model.encode(text)) else ((), (), ())
                 row: list = [i]
                 for what in emit:
                     if what == "ids":
-                        row.append([x for w in words for x in w[3]])
+                        row.append(list(map(int, " ".join(numbers).split())))
                     elif what == "n_tokens":
-                        row.append(sum(w[0] for w in words))
+                        row.append(sum(n))
                     elif what == "ids_sha256":
-                        row.append(_sha(" ".join([w[1] for w in words])))
+                        row.append(_sha(" ".join(numbers)))
                     else:
-                        decoded = decode([w[2] for w in words])
+                        decoded = decode(tokens)
                         row.append(decoded if what == "decoded" else _sha(decoded))
                 yield tuple(row)
 

@@ -31,10 +31,20 @@ def test_bpe_equals_library(spark, docs, sf_dir):
         model = PrefixBPE(f.read())
     for text, want in zip(texts, tok.encode_batch(texts, add_special_tokens=False)):
         words = model.encode(text)
-        assert [i for w in words for i in w[3]] == want.ids
+        assert [int(i) for w in words for i in w[1].split()] == want.ids and sum(w[0] for w in words) == len(want.ids)
         assert " ".join(w[2] for w in words) == tok.decode(want.ids, skip_special_tokens=False)
 
 
+def test_words_fall_out_of_memory(monkeypatch):
+    with open(q.tokenizer_path("word_bpe_49k.json")) as f:
+        source = f.read()
+    text = " ".join(f"word{k % 37}x{k % 11}" for k in range(2000))
+    whole = PrefixBPE(source).encode(text)
+    monkeypatch.setattr("quernlight.llm.bpe.WORD_MEMORY", 5)
+    model = PrefixBPE(source)
+    assert model.encode(text) == whole and len(model.lately) <= 5 >= len(model.before)
+
+
 def test_bpe_rows(spark, docs):
     out = bpe_encode(docs, q.tokenizer_path("word_bpe_49k.json"), emit=("ids", "n_tokens", "ids_sha256", "decoded", "decoded_sha256")).collect()
     assert len(out) == len(ROWS)

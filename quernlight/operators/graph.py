@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..common import materialise
@@ -27,31 +27,66 @@ def walk(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     return every.groupBy("src", "dst").agg(F.min("depth").alias("depth"))
 
 
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """Edges between nodes that something enters and something leaves, in the end: no
+    other edge is on a cycle."""
+    known = edges.count()
+    while known:
+        entered, left = edges.select(F.col("dst").alias("src")).distinct(), edges.select(F.col("src").alias("dst")).distinct()
+        edges, before = materialise(edges.join(entered, "src", "left_semi").join(left, "dst", "left_semi").select("src", "dst")), known
+        known = edges.count()
+        if known == before:
+            break
+    return edges
+
+
+def _least_origin(edges: DataFrame) -> DataFrame:
+    """(node, origin): the smallest node from which a node is reached; only what changed
+    goes on in a step."""
+    origin = materialise(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("origin", F.col("node")))
+    changed = origin
+    while not changed.isEmpty():
+        sent = edges.join(changed, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("to")).agg(F.min("origin").alias("new"))
+        better = sent.join(origin, F.col("to") == F.col("node")).where("new < origin")
+        changed = materialise(better.select("node", F.col("new").alias("origin")))
+        update = changed.select(F.col("node").alias("at"), F.col("origin").alias("new"))
+        origin = materialise(origin.join(update, F.col("node") == F.col("at"), "left").select("node", F.coalesce("new", "origin").alias("origin")))
+    return origin
+
+
 def strong_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, component): nodes that reach each other, named by their smallest. The
-    distinct reachable pairs are doubled in length until none is new."""
-    pairs = materialise(edges.select("src", "dst").distinct())
-    known, before = pairs.count(), -1
-    while known != before:
-        a, b = pairs.alias("a"), pairs.alias("b")
-        longer = a.join(b, F.col("a.dst") == F.col("b.src")).select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst"))
-        pairs = materialise(pairs.union(longer).distinct())
-        known, before = pairs.count(), known
-    mutual = pairs.intersect(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    named = mutual.groupBy("src").agg(F.min("dst").alias("other"))
-    return nodes.join(named, F.col("node") == F.col("src"), "left").select("node", F.least("node", F.coalesce("other", "node")).alias("component"))
-
-
-def on_cycles(edges: DataFrame, reach: int) -> DataFrame:
-    """Nodes that reach themselves within `reach` steps."""
-    pairs = materialise(edges.select("src", "dst").distinct())
-    at, met = pairs.select(F.col("src").alias("root"), F.col("dst").alias("node")), []
-    for k in range(reach):
-        met.append(at.where("root = node").select("root"))
-        if k + 1 < reach:
-            step = at.where("root <> node").join(pairs, F.col("node") == F.col("src"))
-            at = materialise(step.select("root", F.col("dst").alias("node")).distinct())
-    return reduce(DataFrame.union, met).distinct()
+    """(node, component): nodes that reach each other, named by their smallest. Every
+    round trims the edges, gives each node the smallest one that reaches it, and goes
+    back from these within what they reach: what is met is a component, and goes."""
+    rest, found = materialise(edges.select("src", "dst").where("src <> dst").distinct()), []
+    while True:
+        rest = _trimmed(rest)
+        if rest.isEmpty():
+            break
+        origin = _least_origin(rest)
+        of = lambda side: origin.select(F.col("node").alias(side), F.col("origin").alias(f"of_{side}"))
+        inner = materialise(rest.join(of("src"), "src").join(of("dst"), "dst").where("of_src = of_dst").select("src", "dst", F.col("of_src").alias("component")))
+        met = frontier = materialise(origin.where("node = origin").select("node", F.col("origin").alias("component")))
+        while not frontier.isEmpty():
+            step = inner.select("src", "dst").join(frontier, F.col("dst") == F.col("node")).select(F.col("src").alias("node"), "component").distinct()
+            frontier = materialise(step.join(met, "node", "left_anti"))
+            met = materialise(met.unionByName(frontier))
+        found.append(met)
+        gone = met.select("node")
+        rest = materialise(rest.join(gone, F.col("src") == F.col("node"), "left_anti").join(gone, F.col("dst") == F.col("node"), "left_anti"))
+    if not found:
+        return nodes.select("node", F.col("node").alias("component"))
+    every = reduce(DataFrame.unionByName, found).select(F.col("node").alias("at"), "component")
+    return nodes.join(every, F.col("node") == F.col("at"), "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def on_cycles(edges: DataFrame) -> DataFrame:
+    """(root): nodes that reach themselves, in any number of steps."""
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    comps = materialise(strong_components(edges, nodes))
+    shared = comps.groupBy(F.col("component").alias("c")).count().where("count > 1").select("c")
+    looped = edges.where("src = dst").select(F.col("src").alias("root"))
+    return comps.join(shared, F.col("component") == F.col("c"), "left_semi").select(F.col("node").alias("root")).union(looped).distinct()
 
 
 def mutual_pairs(edges: DataFrame) -> DataFrame:
@@ -76,5 +111,21 @@ def prefix_edges(imports: DataFrame, modules: DataFrame, separator: str = "::")
     return named.join(modules.select("module").distinct(), "module", "left_semi").select("src", "module")
 
 
-def layer_violations(edges: DataFrame, allowed: Column) -> DataFrame:
-    return edges.where(~allowed)
+def module_graph(imports: DataFrame, files: DataFrame, separator: str = "::") -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of files and modules: `contains` from a file to each of its modules,
+    `depends` from a module to each module that its file's imports name, or name
+    something in. imports: (path, import); files: (path, module)."""
+    held = files.select("path", "module").distinct()
+    contains = held.select(F.col("path").alias("src"), F.col("module").alias("dst"), F.lit("contains").alias("kind"))
+    named = prefix_edges(imports.select(F.col("path").alias("src"), "import"), held, separator)
+    depends = named.join(held.select(F.col("path").alias("src"), F.col("module").alias("of")), "src").where("of <> module")
+    depends = depends.select(F.col("of").alias("src"), F.col("module").alias("dst"), F.lit("depends").alias("kind")).distinct()
+    nodes = held.select(F.col("path").alias("node"), F.lit("file").alias("kind")).union(held.select("module", F.lit("module"))).distinct()
+    return nodes, contains.unionByName(depends)
+
+
+def layer_violations(contains: DataFrame, depends: DataFrame, patterns: list[tuple[str, str]]) -> DataFrame:
+    """(owner, target) of two-hop edges whose owner and target hold the two parts of one
+    of the forbidden patterns."""
+    pairs = two_hops(contains, depends)
+    return pairs.where(reduce(lambda a, b: a | b, [F.contains("owner", F.lit(x)) & F.contains("target", F.lit(y)) for x, y in patterns]))

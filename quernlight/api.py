@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialise
+from .entities import Entities
 from .functions import embed as E
 from .functions import scalar as S
-from .operators import aggregates, checks, code, memory, search
+from .operators import aggregates, checks, chunkers, code, memory, search
 from .sources import files as FS
 from .sources.store import Collections, chunk_rows
 
@@ -19,6 +20,7 @@ class Engine:
     def __init__(self, spark: SparkSession, root: str, dim: int = 384, provider: str = "hashing"):
         self.spark, self.root, self.dim, self.provider = spark, root.rstrip("/"), dim, provider
         self.vectors = Collections(spark, f"{self.root}/vectors")
+        self.entities = Entities(spark, self.root)
 
     def _read(self, name: str, schema: str) -> DataFrame:
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
@@ -35,8 +37,8 @@ class Engine:
         changes = materialise(memory.file_changes(found, stored, ["collection", "path"], "digest"))
         todo = changes.where("status in ('new', 'changed')").select("path")
         rows = found.join(todo, "path", "left_semi")
-        chunks = code.blocks(rows.select("path", "text"), "path", "text").join(rows.select("path", "language"), "path")
-        chunks = chunks.select(F.sha2(F.concat_ws(":", "path", "start_line"), 256).alias("id"), "content", F.col("path").alias("file_path"), "start_line", "end_line", "language")
+        chunks = chunkers.code_chunks(rows.select("path", "text")).join(rows.select("path", "language"), "path")
+        chunks = chunks.select(F.sha2(F.concat_ws(":", "path", "start_line", "end_line", "kind"), 256).alias("id"), "content", F.col("path").alias("file_path"), "start_line", "end_line", "language")
         fresh = materialise(chunk_rows(chunks, E.embed(F.col("content"), self.dim, self.provider)))
         gone = changes.where("status in ('changed', 'deleted')").select(F.col("path").alias("file_path"))
         if self.vectors.exists(collection):
@@ -48,6 +50,13 @@ class Engine:
         materialise(rest.unionByName(state)).write.mode("overwrite").parquet(f"{self.root}/files")
         return {r["status"]: r["n"] for r in aggregates.counts_by(changes, "status").collect()}
 
+    def index_status(self, collection: str) -> dict:
+        """Files that are indexed, vectors, and files by language."""
+        files = self._read("files", "collection string, path string, digest string, deleted_at long").where((F.col("collection") == collection) & F.col("deleted_at").isNull())
+        vectors = self.vectors.read(collection) if self.vectors.exists(collection) else None
+        by = {} if vectors is None else {r["language"]: r["n"] for r in vectors.groupBy("language").agg(F.countDistinct("file_path").alias("n")).collect()}
+        return {"files": files.count(), "vectors": 0 if vectors is None else vectors.count(), "languages": by}
+
     def clear_index(self, collection: str) -> None:
         self.vectors.drop(collection)
         rest = materialise(self._read("files", "collection string, path string, digest string, deleted_at long").where(F.col("collection") != collection))
@@ -65,15 +74,16 @@ class Engine:
         hits = ranked.join(chunks.select("id", "file_path", "start_line", "content", "language"), "id")
         return search.top_k(search.post_filter(hits, **filters), limit, "score", "id")
 
-    def validate_code(self, path: str, names: list[str] | None = None) -> DataFrame:
-        return checks.run(FS.text_files(self.spark, path).select("path", "text"), names)
+    def validate_code(self, path: str, names: list[str] | None = None, file: str | None = None, severities: list[str] | None = None) -> DataFrame:
+        files = FS.text_files(self.spark, path, (*S.LANGUAGES, "toml", "yml", "yaml")).select("path", "text")
+        return checks.report_of(checks.run(files, names), file, severities)
 
     def analyze_code(self, path: str) -> DataFrame:
         return code.complexity_report(FS.text_files(self.spark, path), "text")
 
     @staticmethod
     def list_rules() -> list[str]:
-        return sorted({r["id"] for r in checks.LINE_RULES})
+        return checks.rule_ids()
 
     # --- memory ----------------------------------------------------------------
     _OBSERVATIONS = "id string, project_id string, content string, content_hash string, tags array<string>, kind string, metadata string, created_at long"
@@ -89,6 +99,15 @@ class Engine:
         rows = rows.where(memory.equalities(**equal) & memory.has_all_tags("tags", list(tags)) & memory.time_range("created_at", start, end))
         return memory.newest(rows, "created_at", "id", limit)
 
+    def get_memories(self, ids: list[str]) -> DataFrame:
+        """Observations by id, in the order of the ids."""
+        place = self.spark.createDataFrame(list(enumerate(ids)), "place int, id string")
+        return self._read("observations", self._OBSERVATIONS).join(place, "id").orderBy("place").drop("place")
+
+    def session_start_context(self, project_id: str, query: str = "") -> DataFrame:
+        """What a new session is given: the best memories for its query, or the newest."""
+        return self.search_memory(query, memory.CONTEXT_LIMIT, project_id=project_id)
+
     def search_memory(self, query: str, limit: int = 10, tags: list[str] = (), **equal) -> DataFrame:
         """Filters first, then the fusion of a lexical and a vector ranking; a blank query gives the newest."""
         if not query.strip():
@@ -107,7 +126,54 @@ class Engine:
     def inject_context(self, tokens: int = 2000) -> DataFrame:
         return memory.within_budget(self._read("observations", self._OBSERVATIONS), "content", 4 * tokens, "created_at", "id")
 
+    # --- entities, sessions, agents ----------------------------------------------
+    def entity(self, action: str, resource: str, org_id: str, id: str | None = None, data: dict | None = None, **equal):
+        """One call for all resources: create, get, list, update, delete."""
+        calls = {
+            "create": lambda: self.entities.create(resource, org_id, data or {}, id), "get": lambda: self.entities.get(resource, org_id, id or ""),
+            "list": lambda: self.entities.list(resource, org_id, **equal), "update": lambda: self.entities.update(resource, org_id, id or "", data or {}),
+            "delete": lambda: self.entities.delete(resource, org_id, id or ""),
+        }
+        if action not in calls:
+            raise ValueError(f"unknown action: {action}")
+        return calls[action]()
+
+    def project(self, action: str, resource: str, org_id: str, project_id: str, id: str | None = None, data: dict | None = None, **equal):
+        """entity() within one project; `dependencies` of an issue besides."""
+        if resource not in ("project", "phase", "issue", "dependency", "decision"):
+            raise ValueError(f"not of a project: {resource}")
+        if action == "dependencies":
+            return self.entities.dependencies(org_id, id or "", **equal)
+        if resource != "project":
+            data, equal = (data or {}) | {"project_id": project_id}, equal | {"project_id": project_id}
+        return self.entity(action, resource, org_id, id or (project_id if resource == "project" else None), data, **equal)
+
+    def start_session(self, org_id: str, agent_type: str, **fields) -> str:
+        return self.entities.start_session(org_id, agent_type, **fields)
+
+    def get_session(self, org_id: str, session: str) -> dict:
+        return self.entities.get("session", org_id, session)
+
+    def list_sessions(self, org_id: str, **equal) -> DataFrame:
+        return self.entities.list_sessions(org_id, **equal)
+
+    def summarize_session(self, org_id: str, session: str, summary: dict | None = None) -> dict:
+        return self.entities.summarize_session(org_id, session, summary)
+
+    def log_tool_call(self, org_id: str, session: str, tool: str, **more) -> str:
+        return self.entities.log_tool_call(org_id, session, tool, **more)
+
+    def log_delegation(self, org_id: str, parent: str, child: str, prompt: str, **more) -> str:
+        return self.entities.log_delegation(org_id, parent, child, prompt, **more)
+
     # --- version control ---------------------------------------------------------
+    def list_repos(self, path: str, depth: int = 3) -> DataFrame:
+        """(path, branches, files, commits) of the repositories below a folder."""
+        rows = []
+        for root in FS.git_repositories(path, depth):
+            rows.append((root, FS.git_branches(self.spark, root).count(), FS.git_files(self.spark, root).count(), FS.git_commits(self.spark, root, limit=1 << 30).count()))
+        return self.spark.createDataFrame(rows, "path string, branches long, files long, commits long")
+
     def compare_branches(self, path: str, base: str, head: str) -> DataFrame:
         return FS.git_diff(self.spark, path, base, head)
 

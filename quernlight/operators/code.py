@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from functools import reduce
 
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..common import materialise
 from ..functions import scalar as S
 
 BLOCK_LINES = 15
@@ -106,15 +108,18 @@ def repeated_strings(files: DataFrame, key: str, text: str, at_least: int = 4, p
 
 
 def windows(files: DataFrame, key: str, text: str, size: int = CLONE_TOKENS) -> DataFrame:
-    """(key, at, print): a hash of every window of `size` words, within the row.
-    Words are hashed once, then windows of a factor of `size`, then windows of these."""
+    """(key, at, print): 128 bits for every window of `size` words, within the row.
+    Words are hashed once, then windows of a factor of `size`, then windows of these,
+    with two seeds."""
     words = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"\s+"), lambda w: w != "")
     part = max(f for f in range(1, size + 1) if size % f == 0 and f * f <= size)
     # Columns of their own: inside a lambda they would be made again for each window.
-    rows = files.select(key, F.transform(words, lambda w: F.xxhash64(w)).alias("_w")).where(F.size("_w") >= size)
+    hashed = lambda w: F.struct(F.xxhash64(w).alias("a"), F.xxhash64(F.lit(7), w).alias("b"))
+    rows = files.select(key, F.transform(words, hashed).alias("_w")).where(F.size("_w") >= size)
     starts = lambda width: F.sequence(F.lit(1), F.size("_w") - width + 1)
-    rows = rows.select(key, "_w", F.transform(starts(part), lambda k: F.xxhash64(F.slice("_w", k, F.lit(part)))).alias("_p"))
-    joined = lambda k: F.xxhash64(*[F.get("_p", k + (j * part - 1)) for j in range(size // part)])
+    both = lambda *c: F.struct(F.xxhash64(*[x["a"] for x in c]).alias("a"), F.xxhash64(F.lit(7), *[x["b"] for x in c]).alias("b"))
+    rows = rows.select(key, "_w", F.transform(starts(part), lambda k: both(*[F.get("_w", k + (j - 1)) for j in range(part)])).alias("_p"))
+    joined = lambda k: both(*[F.get("_p", k + (j * part - 1)) for j in range(size // part)])
     return rows.select(key, F.posexplode(F.transform(starts(size), joined)).alias("at", "print"))
 
 
@@ -122,7 +127,7 @@ def clone_links(files: DataFrame, key: str, text: str, size: int = CLONE_TOKENS)
     """(a, b, shared windows): every row with the first row that holds a window too. A
     window that n rows hold gives n - 1 links, not n squared pairs. Links don't tell
     which rows beside the first share a window: clone_members does."""
-    prints = windows(files, key, text, size).select(key, "print").distinct()
+    prints = materialise(windows(files, key, text, size).select(key, "print").distinct())
     first = prints.groupBy("print").agg(F.min(key).alias("a"), F.count("*").alias("n")).where("n > 1").select("print", "a")
     return prints.join(first, "print").where(F.col("a") < F.col(key)).groupBy("a", F.col(key).alias("b")).agg(F.count("*").alias("shared"))
 
@@ -168,11 +173,14 @@ def without_overlaps(spans: DataFrame, group: list[str], start: str, end: str, *
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         kept: list[int] = []
-        taken: list[tuple[int, int]] = []
+        starts: list[int] = []  # of the spans taken, in order, with their ends
+        ends: list[int] = []
         for k, (s, e) in enumerate(zip(pdf[start], pdf[end])):
-            if all(e <= x or s >= y for x, y in taken):
+            at = bisect_right(starts, s)
+            if (not at or ends[at - 1] <= s) and (at == len(starts) or e <= starts[at]):
                 kept.append(k)
-                taken.append((s, e))
+                starts.insert(at, s)
+                ends.insert(at, e)
         return pdf.iloc[kept][cols]
 
     return ranked.groupBy(*group).applyInPandas(lambda pdf: choose(pdf.sort_values("_order")), spans.schema)

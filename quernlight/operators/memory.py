@@ -35,6 +35,51 @@ def under_directory(column: str, prefix: str) -> Column:
     return F.startswith(F.replace(F.col(column), F.lit("\\"), F.lit("/")), F.lit(prefix))
 
 
+def one_of(column: str, values: list) -> Column:
+    return F.col(column).isin(values)
+
+
+def constraints(spec: dict) -> Column:
+    """Conjunction of what a search asks for: equalities (project_id, workspace_id, org_id,
+    entity_type, language), `extension`, `directory` (a prefix of file_path), `tags` (all of
+    them), `start` and `end` (inclusive), `metadata` (JSON path: value). `min_score` is no
+    condition on stored rows: it is applied to hits. Unknown names are a ValueError."""
+    plain = ("project_id", "workspace_id", "org_id", "entity_type", "language")
+    wrong = set(spec) - {*plain, "extension", "directory", "tags", "start", "end", "metadata", "min_score"}
+    if wrong:
+        raise ValueError(f"unknown constraints: {sorted(wrong)}")
+    found = [F.col(k) == spec[k] for k in plain if spec.get(k) is not None]
+    if spec.get("extension"):
+        found.append(F.endswith("file_path", F.lit("." + spec["extension"].lstrip("."))))
+    if spec.get("directory"):
+        found.append(under_directory("file_path", spec["directory"]))
+    found.append(has_all_tags("tags", spec.get("tags", [])))
+    found.append(time_range("created_at", spec.get("start"), spec.get("end")))
+    found += [F.get_json_object("metadata", f"$.{path}") == value for path, value in spec.get("metadata", {}).items()]
+    return all_of(found)
+
+
+def issues(df: DataFrame, limit: int = 10, label: str | None = None, **equal) -> DataFrame:
+    """Issues by equalities and a label of theirs, the last updated first."""
+    found = df.where(equalities(**equal))
+    return newest(found if label is None else found.where(F.array_contains("labels", label)), "updated_at", "id", limit)
+
+
+def ordered(df: DataFrame, columns: list[str], limit: int) -> DataFrame:
+    """The first rows by columns ('-' in front: descending) with their place from 1 on."""
+    order = [F.col(c[1:]).desc() if c.startswith("-") else F.col(c) for c in columns]
+    return df.orderBy(*order).limit(limit).withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long"))
+
+
+def chunks_of_file(chunks: DataFrame, path: str, file: str, start: str, key: str) -> DataFrame:
+    """Chunks of one file by their first line; separators of paths are alike."""
+    return chunks.where(F.replace(F.col(path), F.lit("\\"), F.lit("/")) == file.replace("\\", "/")).orderBy(start, key)
+
+
+#: Rows that a new session is given.
+CONTEXT_LIMIT = 10
+
+
 def newest(df: DataFrame, time: str, key: str, limit: int = 10) -> DataFrame:
     return df.orderBy(F.col(time).desc(), F.col(key).desc()).limit(limit)
 
@@ -51,7 +96,9 @@ def timeline(df: DataFrame, anchor, before: int, after: int, time: str, key: str
 
 
 def within_budget(df: DataFrame, text: str, budget: int, time: str, key: str, candidates: int = 1000) -> DataFrame:
-    """The newest rows whose texts fit in a budget of characters, up to the first that doesn't."""
+    """The newest rows whose texts fit in a budget of characters, up to the first that
+    doesn't. Of the table the `candidates` newest are looked at, which the caller sets:
+    it is the call's limit."""
     rows = newest(df, time, key, candidates)
     order = Window.orderBy(F.col(time).desc(), F.col(key).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return rows.withColumn("chars_so_far", F.sum(F.length(text)).over(order)).where(F.col("chars_so_far") <= budget)

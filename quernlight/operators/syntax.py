@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import scalar as S
-from .code import members
+from .code import members, without_overlaps
 
 KEYWORDS = ("fn", "let", "if", "else", "for", "while", "loop", "match", "return", "pub", "struct", "enum", "impl", "trait", "use", "mod", "def", "class", "import", "from")
 _TOKEN = r"//[^\n]*|/\*[\s\S]*?\*/|\"(?:[^\"\\]|\\.)*\"|[A-Za-z_]\w*|\d[\w.]*|[-+*/%=<>!&|^~?:]+|[(){}\[\],;.]"
@@ -107,13 +106,17 @@ def python_nodes(files: DataFrame) -> DataFrame:
 
 def select_nodes(nodes: DataFrame, kind: str, conditions: list[tuple] = ()) -> DataFrame:
     """Nodes of a kind under conditions: (has_field, f), (not_has_field, f),
-    (name_matches, regex), (has_child, kind), (no_child, kind). Children are met by
-    semi and anti joins on (path, parent)."""
+    (name_matches, regex), (has_child, kind), (no_child, kind), (metadata_equals,
+    (column, value)), (custom, a condition of one's own as a Column). Children are met
+    by semi and anti joins on (path, parent)."""
     rows = nodes.where(F.col("kind") == kind)
     for test, value in conditions:
         if test == "name_matches":
             rows = rows.where(F.coalesce("name", F.lit("")).rlike(value))
             continue
+        if test in ("metadata_equals", "custom"):
+            rows = rows.where(value if test == "custom" else F.col(value[0]) == value[1])
+            continue
         column = {"has_field": "field", "not_has_field": "field", "has_child": "kind", "no_child": "kind"}.get(test)
         if column is None:
             raise ValueError(f"unknown condition: {test}")
@@ -123,5 +126,46 @@ def select_nodes(nodes: DataFrame, kind: str, conditions: list[tuple] = ()) -> D
     return rows
 
 
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
+#: Fixed thresholds: (tokens, lines, similarity) of a clone.
+DEFAULT, STRICT, LENIENT = (50, 6, 0.8), (30, 4, 0.9), (100, 10, 0.7)
+MAX_GAP = 5
+#: Fixed least similarity of each kind of clone.
+KINDS = (("DUP001", 1.0), ("DUP002", 0.95), ("DUP003", 0.8), ("DUP004", 0.7))
+
+
+def clones(files: DataFrame, key: str, text: str, thresholds: tuple[int, int, float] = DEFAULT, gap: int = MAX_GAP) -> DataFrame:
+    """(rule, a, a_start, a_end, b, b_start, b_end, tokens, similarity): places, by lines,
+    that hold the same tokens with names and values put aside, each with the first that
+    does. Windows in a row on one diagonal are one clone, and so are those at most `gap`
+    tokens apart. Similarity is the share of tokens that are equal as they stand; the
+    kind is the one of KINDS whose least similarity it reaches. Of clones that overlap
+    in b the longest stays. Comments are no tokens."""
+    size, least_lines, least = thresholds
+    toks = files.select(key, typed_tokens(F.col(text)).alias("t"), token_lines(F.col(text)).alias("_n"))
+    toks = toks.select(key, F.transform("t", lambda t: t["text"]).alias("_raw"), normalised(F.col("t")).alias("_norm"), "_n").where(F.size("_raw") >= size)
+    starts = F.sequence(F.lit(1), F.size("_norm") - size + 1)
+    prints = toks.select(key, F.posexplode(F.transform(starts, lambda k: F.sha1(F.array_join(F.slice("_norm", k, F.lit(size)), " ")))).alias("at", "print"))
+    held = members(prints, key).where(~((F.col("first_key") == F.col(key)) & (F.col("first_at") + size > F.col("at"))))
+    held = held.select(F.col("first_key").alias("a"), F.col("first_at").alias("a_at"), F.col(key).alias("b"), F.col("at").alias("b_at"))
+    order = Window.partitionBy("a", "b", F.col("b_at") - F.col("a_at")).orderBy("b_at")
+    apart = F.coalesce(F.col("b_at") - F.lag("b_at").over(order) > size + gap, F.lit(True))
+    held = held.withColumn("_part", F.sum(apart.cast("int")).over(order))
+    runs = held.groupBy("a", "b", (F.col("b_at") - F.col("a_at")).alias("_d"), "_part").agg(F.min("a_at").alias("a_at"), F.min("b_at").alias("b_at"), (F.max("b_at") - F.min("b_at") + size).alias("tokens"))
+    side = lambda s: toks.select(F.col(key).alias(f"_{s}"), F.col("_raw").alias(f"_raw_{s}"), F.col("_n").alias(f"_n_{s}"))
+    rows = runs.join(side("a"), F.col("a") == F.col("_a")).join(side("b"), F.col("b") == F.col("_b"))
+    words = lambda s: F.slice(f"_raw_{s}", F.col(f"{s}_at") + 1, F.col("tokens"))
+    equal = F.size(F.filter(F.zip_with(words("a"), words("b"), lambda x, y: x == y), lambda e: e))
+    line = lambda s, at: F.get(f"_n_{s}", at)
+    ends = [c for s in ("a", "b") for c in (line(s, F.col(f"{s}_at")).alias(f"{s}_start"), line(s, F.col(f"{s}_at") + F.col("tokens") - 1).alias(f"{s}_end"))]
+    rows = rows.select("a", "b", "tokens", (equal / F.col("tokens")).alias("similarity"), *ends)
+    rule = F.coalesce(*[F.when(F.col("similarity") >= share, F.lit(id)) for id, share in KINDS])
+    rows = rows.withColumn("rule", rule).where((F.col("b_end") - F.col("b_start") + 1 >= least_lines) & (F.col("similarity") >= least) & F.col("rule").isNotNull())
+    kept = without_overlaps(rows.withColumn("_end", F.col("b_end") + 1), ["b"], "b_start", "_end", F.col("tokens").desc(), F.col("similarity").desc(), F.col("a"), F.col("b_start"))
+    return kept.select("rule", "a", "a_start", "a_end", "b", "b_start", "b_end", "tokens", "similarity")
+
+
+def token_lines(text: Column) -> Column:
+    """The line (from 1) of each of typed_tokens."""
+    parts = S.lines(F.regexp_replace(F.regexp_replace(text, r"//[^\n]*", ""), r"/\*[^\n]*?\*/", ""))
+    per = F.transform(parts, lambda s, k: F.array_repeat(k + 1, F.size(F.regexp_extract_all(s, F.lit(_TOKEN), F.lit(0)))))
+    return F.flatten(per)

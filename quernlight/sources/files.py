@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import fnmatch
 import os
+import re
 import subprocess
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,8 +28,51 @@ def text_files(spark: SparkSession, root: str, extensions: tuple[str, ...] = tup
         ok = ok & ~path.contains(f"/{d}/")
     for p in ignore:
         ok = ok & ~(path.contains("/" + p) if p.endswith("/") else F.endswith(path, F.lit(p[1:])) if p.startswith("*") else path.contains(p))
+    found = files.where(ok)
+    rules = _ignore_rules(spark, root)
+    if rules:
+        found = _without_ignored(found, rules)
     text = F.decode("content", "UTF-8")
-    return files.where(ok).select("path", S.language_of(path).alias("language"), text.alias("text"), F.sha2("content", 256).alias("digest"))
+    return found.select("path", S.language_of(path).alias("language"), text.alias("text"), F.sha2("content", 256).alias("digest"))
+
+
+def _ignore_rules(spark: SparkSession, root: str) -> list[tuple[str, str, bool]]:
+    """(folder, pattern, whether it hides) of all .gitignore files below a folder, outer
+    ones first: the project's own rules, a few lines."""
+    listings = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", ".gitignore").load(root)
+    rows = sorted((r["path"].rsplit("/", 1)[0], r["text"]) for r in listings.select("path", F.decode("content", "UTF-8").alias("text")).collect())
+    return [(folder, line.lstrip("!"), not line.startswith("!")) for folder, text in rows for line in map(str.strip, text.splitlines()) if line and not line.startswith("#")]
+
+
+def ignore_regex(folder: str, pattern: str) -> str:
+    """Paths that a gitignore pattern of a folder means: anywhere below it without an inner
+    slash, else from it on; with a slash behind it folders only; what is in them, too."""
+    inner = pattern.rstrip("/")
+    anchored, inner = "/" in inner, inner.lstrip("/")
+    out = inner.replace("**/", "\0").replace("**", "\1")
+    out = "".join({"*": "[^/]*", "?": "[^/]", "\0": "(?:.*/)?", "\1": ".*"}.get(c, re.escape(c)) for c in out)
+    below = "" if anchored else "(?:.*/)?"
+    return f"^{re.escape(folder)}/{below}{out}{'/.*' if pattern.endswith('/') else '(?:/.*)?'}$"
+
+
+def _without_ignored(files: DataFrame, rules: list[tuple[str, str, bool]]) -> DataFrame:
+    """Files that no rule hides; of several rules that mean a file the last counts."""
+    hits = [F.when(F.col("path").rlike(ignore_regex(folder, pattern)), F.struct(F.lit(k).alias("at"), F.lit(hides).alias("hides"))) for k, (folder, pattern, hides) in enumerate(rules)]
+    last = F.array_max(F.array_compact(F.array(*hits)))
+    return files.where(~F.coalesce(last["hides"], F.lit(False)))
+
+
+def inventory(spark: SparkSession, root: str, ignore: tuple[str, ...] = ()) -> DataFrame:
+    """(path, text, digest) of the files that git lists below a folder, and of those that
+    a walk finds where there is no repository."""
+    try:
+        listed = _git(root, "ls-files", "-co", "--exclude-standard").splitlines()
+    except (subprocess.CalledProcessError, FileNotFoundError):
+        return text_files(spark, root, ignore=ignore).select("path", "text", "digest")
+    names = spark.createDataFrame([(os.path.join(os.path.realpath(root), n),) for n in listed], "name string")
+    found = text_files(spark, os.path.realpath(root), ignore=ignore)
+    plain = F.regexp_replace("path", r"^file:/*", "/")
+    return found.join(names, plain == F.col("name"), "left_semi").select("path", "text", "digest")
 
 
 def git_ignored(paths: list[str], patterns: list[str]) -> set[str]:
@@ -90,6 +134,14 @@ def table(spark: SparkSession, url: str, name: str, **options) -> DataFrame:
     return spark.read.parquet(f"{url.rstrip('/')}/{name}.parquet")
 
 
+def write_table(rows: DataFrame, url: str, name: str, mode: str = "append", **options) -> None:
+    """Rows to a relational table over JDBC, or to Parquet where url is a folder."""
+    if url.startswith("jdbc:"):
+        rows.write.format("jdbc").options(url=url, dbtable=name, **options).mode(mode).save()
+    else:
+        rows.write.mode(mode).parquet(f"{url.rstrip('/')}/{name}.parquet")
+
+
 # --- git: listing on the driver (metadata of one repository), contents as rows ----
 def _git(root: str, *args: str) -> str:
     return subprocess.run(["git", "-C", root, *args], check=True, capture_output=True, text=True).stdout
@@ -100,6 +152,29 @@ def git_files(spark: SparkSession, root: str, ref: str = "HEAD") -> DataFrame:
     return spark.createDataFrame([(n,) for n in names], "path string")
 
 
+def git_blobs(spark: SparkSession, root: str, ref: str = "HEAD") -> DataFrame:
+    """(path, text, is_binary) of a tree's files as they stand in a ref; text is null for
+    files that hold a zero byte or aren't UTF-8. Files are read by the tasks, from a
+    repository that they can reach."""
+    names = git_files(spark, root, ref)
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            rows = []
+            for path in pdf["path"]:
+                data = subprocess.run(["git", "-C", root, "show", f"{ref}:{path}"], check=True, capture_output=True).stdout
+                try:
+                    text = None if b"\0" in data else data.decode("utf-8")
+                except UnicodeDecodeError:
+                    text = None
+                rows.append((path, text, text is None))
+            yield pd.DataFrame(rows, columns=["path", "text", "is_binary"])
+
+    return names.mapInPandas(run, "path string, text string, is_binary boolean")
+
+
 def git_commits(spark: SparkSession, root: str, ref: str = "HEAD", limit: int = 100) -> DataFrame:
     rows = [x.split("\x1f") for x in _git(root, "log", f"-{limit}", "--format=%H%x1f%an%x1f%at%x1f%s", ref).splitlines()]
     return spark.createDataFrame([(h, a, int(t), s) for h, a, t, s in rows], "hash string, author string, time long, subject string")

@@ -43,13 +43,29 @@ class Collections:
         return self.read(collection).where(F.col("id").isin(ids))
 
     def delete(self, collection: str, ids: DataFrame) -> None:
-        """Rewrite one collection without the ids (id)."""
+        """Rewrite one collection without the ids (id). The new files are whole before the
+        old ones go, and both are in the folder of the collection's next generation until
+        then: a failure on the way leaves the old rows, or the new ones. A collection of
+        which nothing is left stays, empty."""
         rest = self.read(collection).join(ids, "id", "left_anti").drop("collection")
-        spare = f"{collection}.next"
-        self.insert(rest, spare)
-        self.drop(collection)
-        (source, fs), (target, _) = self._folder(spare), self._folder(collection)
-        fs.rename(source, target)
+        target, fs = self._folder(collection)
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        spare, old = path(f"{self.path}/.{collection}.next"), path(f"{self.path}/.{collection}.old")
+        fs.delete(spare, True)
+        rest.write.parquet(spare.toString())
+        fs.delete(old, True)
+        fs.rename(target, old)
+        if not fs.rename(spare, target):
+            fs.rename(old, target)
+            raise OSError(f"the new files of {collection} could not be put in place")
+        fs.delete(old, True)
+
+    def recover(self, collection: str) -> None:
+        """Put back the old files where a delete ended between its two renames."""
+        target, fs = self._folder(collection)
+        old = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/.{collection}.old")
+        if fs.exists(old) and not fs.exists(target):
+            fs.rename(old, target)
 
 
 def chunk_rows(chunks: DataFrame, embed: Column) -> DataFrame:

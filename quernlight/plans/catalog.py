@@ -1,6 +1,7 @@
 """All queries of the library by name, and their SQL."""
 
-from . import code_queries, memory_queries, search_queries
+from . import check_queries, code_queries, memory_queries, search_queries
 
-QUERIES = search_queries.QUERIES | memory_queries.QUERIES | code_queries.QUERIES
-ORACLE_SQL = search_queries.ORACLE_SQL | memory_queries.ORACLE_SQL | code_queries.ORACLE_SQL
+_PARTS = (search_queries, memory_queries, code_queries, check_queries)
+QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
+ORACLE_SQL = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}

@@ -118,10 +118,11 @@ def expression_rule(spark, d):
     return facts.select("file_count", "has_unwrap", R.expression("file_count > 10 && !has_unwrap").alias("violated"))
 
 
-@query("SELECT page_id FROM pages WHERE len(string_split(html, chr(10))) > 5 AND NOT contains(html, '<nav')")
+@query("SELECT doc_id FROM documents WHERE len(string_split(text, chr(10))) > 3 AND NOT contains(text, 'license') AND (lang IN ('en', 'de') OR starts_with(source, 'src1'))")
 def json_condition(spark, d):
-    files = table(spark, d, "pages").select("page_id", F.col("html").alias("text"), F.array().cast("array<string>").alias("deps"))
-    return files.where(R.condition({"all": [{"file_size": 5}, {"not": {"pattern": "<nav"}}]})).select("page_id")
+    files = table(spark, d, "documents").withColumn("deps", F.array("lang", "source"))
+    spec = {"all": [{"file_size": 3}, {"not": {"pattern": "license"}}, {"any": [{"dependency": "en"}, {"dependency": "de"}, {"dependency": "src1*"}]}]}
+    return files.where(R.condition(spec)).select("doc_id")
 
 
 @query(r"SELECT page_id, lower(regexp_extract(url, '\.([^./\\]+)$', 1)) AS ext FROM pages")
@@ -141,14 +142,6 @@ def naming_tests(spark, d):
     return table(spark, d, "part").select("p_partkey", S.is_camel_case(n).alias("camel"), S.is_snake_case(n).alias("snake"), S.is_upper_case(F.col("p_brand")).alias("upper"))
 
 
-@query("SELECT source, max(d)::BIGINT AS worst, count(*) FILTER (t = 1) AS dead, (2 * max(d) + 10 * count(*) FILTER (t = 1) + 10 * (sum(n) // 200))::BIGINT AS tdg FROM (SELECT source, n_chars % 13 AS d, n_chars % 7 AS t, n_chars AS n FROM documents) GROUP BY 1 HAVING (2 * max(d) + 10 * count(*) FILTER (t = 1) + 10 * (sum(n) // 200)) > 50")
-def technical_debt(spark, d):
-    by = _docs(spark, d).groupBy("source").agg(
-        F.max(F.col("n_chars") % 13).alias("worst"), F.count_if(F.col("n_chars") % 7 == 1).alias("dead"), F.sum("n_chars").alias("n")
-    )
-    return by.select("source", "worst", "dead", S.debt_gradient(F.col("worst"), F.col("dead"), F.col("n")).cast("long").alias("tdg")).where("tdg > 50")
-
-
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def windowed_events(spark, d):
     return A.rows_in_windows(table(spark, d, "events"), "ts", "1 hour", "event_type")

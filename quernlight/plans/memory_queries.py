@@ -42,9 +42,14 @@ def all_tags_filter(spark, d):
     return _obs(spark, d).where(M.has_all_tags("tags", ["de", "src5"])).select("id")
 
 
-@query("SELECT page_id, url FROM pages WHERE starts_with(replace(url, '\\', '/'), 'https://')")
+@query(f"""WITH {OBS}, x AS (SELECT *, 'src\\' || kind || '/f' || id || CASE WHEN id % 2 = 0 THEN '.rs' ELSE '.py' END AS file_path FROM obs)
+SELECT id FROM x WHERE project_id = 'en' AND starts_with(replace(file_path, '\\', '/'), 'src/src') AND file_path LIKE '%.rs' AND list_contains(tags, 'en')
+AND created_at BETWEEN 1700000000 AND 1700900000 AND json_extract_string(metadata, '$.origin.branch') = 'b1'""")
 def constraint_builder(spark, d):
-    return table(spark, d, "pages").where(M.under_directory("url", "https://")).select("page_id", "url")
+    o = _obs(spark, d)
+    name = F.concat(F.lit("src\\"), "kind", F.lit("/f"), "id", F.when(F.col("id") % 2 == 0, ".rs").otherwise(".py"))
+    spec = {"project_id": "en", "directory": "src/src", "extension": "rs", "tags": ["en"], "start": 1700000000, "end": 1700900000, "metadata": {"origin.branch": "b1"}, "min_score": 0.5}
+    return o.withColumn("file_path", name).where(M.constraints(spec)).select("id")
 
 
 @query(f"WITH {OBS} SELECT id, created_at FROM obs ORDER BY created_at DESC, id DESC LIMIT 10")
@@ -220,10 +225,59 @@ def browse_collections(spark, d):
 
 
 # --- entities -------------------------------------------------------------------
-@query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority = '1-URGENT' ORDER BY o_orderdate DESC, o_orderkey LIMIT 10")
+#: Orders stand for issues.
+ISSUES = """iss AS (SELECT o_orderkey AS id, 'p' || (o_custkey % 3) AS project_id, 'ph' || (o_orderkey % 4) AS phase_id, CASE WHEN o_orderkey % 2 = 0 THEN 'bug' ELSE 'task' END AS issue_type,
+o_orderstatus AS status, o_orderpriority AS priority, 'c' || (o_custkey % 5) AS assignee, ['l' || (o_orderkey % 6), o_orderpriority] AS labels, o_orderdate AS updated_at FROM orders)"""
+
+
+def _issues(spark, d) -> DataFrame:
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    return table(spark, d, "orders").select(
+        k.alias("id"), F.concat(F.lit("p"), c % 3).alias("project_id"), F.concat(F.lit("ph"), k % 4).alias("phase_id"), F.when(k % 2 == 0, "bug").otherwise("task").alias("issue_type"),
+        F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"), F.concat(F.lit("c"), c % 5).alias("assignee"),
+        F.array(F.concat(F.lit("l"), k % 6), F.col("o_orderpriority")).alias("labels"), F.col("o_orderdate").alias("updated_at"),
+    )
+
+
+@query(f"""WITH {ISSUES} SELECT id, updated_at FROM iss WHERE project_id = 'p1' AND phase_id = 'ph0' AND issue_type = 'bug' AND status = 'O' AND assignee = 'c2' AND list_contains(labels, 'l4')
+ORDER BY updated_at DESC, id DESC LIMIT 10""")
 def issue_filter(spark, d):
-    o = table(spark, d, "orders").where(M.equalities(o_orderstatus="O", o_orderpriority="1-URGENT"))
-    return o.orderBy(F.col("o_orderdate").desc(), "o_orderkey").limit(10).select("o_orderkey", "o_orderdate")
+    found = M.issues(_issues(spark, d), label="l4", project_id="p1", phase_id="ph0", issue_type="bug", status="O", assignee="c2", priority=None)
+    return found.select("id", "updated_at")
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus IN ('O', 'P')")
+def active_operations(spark, d):
+    return table(spark, d, "orders").where(M.one_of("o_orderstatus", ["O", "P"])).select("o_orderkey", "o_orderstatus")
+
+
+@query("SELECT l_returnflag AS branch, count(DISTINCT l_partkey) AS files, count(DISTINCT l_orderkey) AS commits FROM lineitem GROUP BY 1")
+def branch_counts(spark, d):
+    rows = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("branch"), F.col("l_partkey").alias("path"), F.col("l_orderkey").alias("hash"))
+    return A.branch_counts(rows.select("branch", "path"), rows.select("branch", "hash"))
+
+
+@query(r"""WITH c AS (SELECT page_id, replace(replace(url, 'https://', ''), '/', '\') AS file_path, page_id % 40 AS start_line FROM pages)
+SELECT page_id, start_line FROM c WHERE starts_with(replace(file_path, '\', '/'), 'example') OR replace(file_path, '\', '/') = (SELECT min(replace(file_path, '\', '/')) FROM c) ORDER BY start_line""".replace("\\\\", "\\"))
+def chunks_of_file(spark, d):
+    url = F.replace(F.replace("url", F.lit("https://"), F.lit("")), F.lit("/"), F.lit("\\"))
+    c = table(spark, d, "pages").select("page_id", url.alias("file_path"), (F.col("page_id") % 40).alias("start_line"))
+    first = c.agg(F.min(S.slashes(F.col("file_path")))).first()[0]
+    own = M.chunks_of_file(c, "file_path", first, "start_line", "page_id")
+    return own.unionByName(c.where(F.startswith(S.slashes(F.col("file_path")), F.lit("example")) & (S.slashes(F.col("file_path")) != first))).select("page_id", "start_line")
+
+
+@query(r"""WITH p AS (SELECT DISTINCT regexp_replace(url, '^https?://', '') AS path FROM pages), t AS (
+SELECT DISTINCT split_part(path, '/', 1) AS name, contains(path, '/') AS is_dir FROM p)
+SELECT name, is_dir, row_number() OVER (ORDER BY is_dir DESC, name) AS place FROM t""")
+def file_tree(spark, d):
+    paths = table(spark, d, "pages").select(F.regexp_replace("url", r"^https?://", "").alias("path"))
+    return A.tree_level(paths, "path", "")
+
+
+@query(f"""WITH {OBS} SELECT id, kind, created_at FROM obs WHERE project_id = 'de' AND kind = 'src1' ORDER BY created_at DESC, id DESC LIMIT 10""")
+def session_start_context(spark, d):
+    return M.newest(_obs(spark, d).where(M.equalities(project_id="de", kind="src1")), "created_at", "id", M.CONTEXT_LIMIT).select("id", "kind", "created_at")
 
 
 @query("SELECT c_custkey, c_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 2")
@@ -244,15 +298,29 @@ def calls_with_session(spark, d):
     return table(spark, d, "events").where("event_type = 'error'").join(s, "user_id", "left").select("event_id", "label")
 
 
-@query("SELECT n_nationkey, n_name FROM nation ORDER BY n_regionkey, n_name")
+#: The four orders of lists: (columns, as SQL).
+ORDERS = {
+    "phases": (["o_orderstatus", "o_orderdate", "o_orderkey"], "o_orderstatus, o_orderdate, o_orderkey"),
+    "decisions": (["-o_orderdate", "-o_orderkey"], "o_orderdate DESC, o_orderkey DESC"),
+    "projects": (["o_orderpriority", "o_orderkey"], "o_orderpriority, o_orderkey"),
+    "operations": (["-o_totalprice", "o_orderkey"], "o_totalprice DESC, o_orderkey"),
+}
+
+
+@query(" UNION ALL ".join(f"SELECT * FROM (SELECT '{k}' AS list, o_orderkey, row_number() OVER (ORDER BY {sql}) AS place FROM orders QUALIFY place <= 50)" for k, (_, sql) in ORDERS.items()))
 def ordered_list(spark, d):
-    return table(spark, d, "nation").orderBy("n_regionkey", "n_name").select("n_nationkey", "n_name")
+    o = table(spark, d, "orders")
+    parts = [M.ordered(o, columns, 50).select(F.lit(k).alias("list"), "o_orderkey", "place") for k, (columns, _) in ORDERS.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 #: Parts depend on their suppliers; suppliers' numbers are parts' numbers too.
 EDGES = "e AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem)"
-#: A small graph of nations with cycles.
-LINKS = "f AS (SELECT DISTINCT s_nationkey AS src, ((s_suppkey * 7) % 25)::INT AS dst FROM supplier)"
+#: A small graph of nations: groups that are cycles, each leads to the next.
+LINKS = "f AS (SELECT DISTINCT c_nationkey AS src, least(24, c_nationkey // 5 * 5 + c_custkey % 7)::INT AS dst FROM customer)"
 
 
 def _edges(spark, d) -> DataFrame:
@@ -260,7 +328,8 @@ def _edges(spark, d) -> DataFrame:
 
 
 def _links(spark, d) -> DataFrame:
-    return table(spark, d, "supplier").select(F.col("s_nationkey").alias("src"), (F.col("s_suppkey") * 7 % 25).cast("int").alias("dst")).distinct()
+    n, k = F.col("c_nationkey"), F.col("c_custkey")
+    return table(spark, d, "customer").select(n.alias("src"), F.least(F.lit(24), F.floor(n / 5) * 5 + k % 7).cast("int").alias("dst")).distinct()
 
 
 @query(f"WITH {EDGES} SELECT src, dst FROM e WHERE src = 7 OR dst = 7")
@@ -280,10 +349,10 @@ def mutual_dependencies(spark, d):
     return G.mutual_pairs(_edges(spark, d))
 
 
-@query(f"""WITH RECURSIVE {LINKS}, w AS (SELECT src AS root, dst AS node, 1 AS k FROM f
-UNION SELECT root, f.dst, k + 1 FROM w JOIN f ON f.src = w.node WHERE k < 4 AND root <> node) SELECT DISTINCT root FROM w WHERE root = node""")
+@query(f"""WITH RECURSIVE {LINKS}, w AS (SELECT src AS root, dst AS node FROM f
+UNION SELECT root, f.dst FROM w JOIN f ON f.src = w.node) SELECT DISTINCT root FROM w WHERE root = node""")
 def dependency_cycles(spark, d):
-    return G.on_cycles(_links(spark, d), 4)
+    return G.on_cycles(_links(spark, d))
 
 
 @query(f"""WITH RECURSIVE {LINKS}, w AS (SELECT src, dst FROM f UNION SELECT w.src, f.dst FROM w JOIN f ON w.dst = f.src),

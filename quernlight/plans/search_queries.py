@@ -60,9 +60,16 @@ def bm25_search(spark, d):
     return R.top_k(best, 20, "s", "doc_id").select("doc_id", F.round("bm25", 6).alias("bm25"))
 
 
+@query(f"""WITH {BM25}, w AS (SELECT doc_id FROM tok WHERE list_contains(t, 'the') AND list_contains(t, 'from') AND list_contains(t, 'this'))
+SELECT doc_id, round(-bm25, 6) AS rank FROM bm JOIN w USING (doc_id) ORDER BY round(-bm25, 9), doc_id LIMIT 50""")
+def full_text_query(spark, d):
+    found = R.full_text(_docs(spark, d), "doc_id", "text", TEXT, "doc_id", 50)
+    return found.select("doc_id", F.round("rank", 6).alias("rank"))
+
+
 @query("SELECT doc_id, 0.0::DOUBLE AS rank FROM documents ORDER BY doc_id DESC LIMIT 1000")
 def full_text_blank_query(spark, d):
-    return _docs(spark, d).orderBy(F.col("doc_id").desc()).limit(1000).select("doc_id", F.lit(0.0).alias("rank"))
+    return R.full_text(_docs(spark, d), "doc_id", "text", "  ", "doc_id", 1000)
 
 
 def _vector_sql(score: str, distance: str) -> str:
@@ -100,15 +107,21 @@ def vector_search_in_collections(spark, d):
     return R.vector_search(e, _query_vectors(spark, d), 5).select("query", "vec_id", F.round("score", 6).alias("score"))
 
 
-SEMANTIC = "se AS (SELECT doc_id, 1.0 / (1 + doc_id % 97) AS score FROM documents)"
+#: A document's vector is the one with its number; the query's is the first.
+SEMANTIC = """q1 AS (SELECT embedding::DOUBLE[] AS q FROM embeddings ORDER BY vec_id LIMIT 1),
+se AS (SELECT vec_id AS doc_id, list_cosine_similarity(embedding::DOUBLE[], q) AS score FROM embeddings, q1 WHERE vec_id IN (SELECT doc_id FROM documents))"""
 
 
 def _semantic(spark, d) -> DataFrame:
-    return _docs(spark, d).select("doc_id", (F.lit(1.0) / (1 + F.col("doc_id") % 97)).cast("double").alias("score"))
+    """Cosine of every document's vector with the query's."""
+    e = table(spark, d, "embeddings")
+    q = e.orderBy("vec_id").limit(1).select(F.lit(0).alias("query"), F.col("embedding").alias("q")).first()["q"]
+    v = e.select(F.col("vec_id").alias("doc_id"), R.cosine(F.col("embedding"), F.array(*[F.lit(float(x)) for x in q])).alias("score"))
+    return v.join(_docs(spark, d).select("doc_id"), "doc_id", "left_semi")
 
 
 @query(f"""WITH {BM25}, {SEMANTIC} SELECT doc_id, round(0.4 * CASE WHEN coalesce(bm25, 0) > 0 THEN 1 / (1 + exp(-bm25)) ELSE 0 END + 0.6 * score, 6) AS score
-FROM se LEFT JOIN bm USING (doc_id) ORDER BY score DESC, doc_id LIMIT 20""")
+FROM se LEFT JOIN bm USING (doc_id) ORDER BY 2 DESC, doc_id LIMIT 20""")
 def hybrid_search(spark, d):
     fused = R.hybrid(_semantic(spark, d), _bm25(spark, d), "doc_id").withColumn("score", F.round("score", 6))
     return R.top_k(fused, 20, "score", "doc_id")
@@ -116,12 +129,12 @@ def hybrid_search(spark, d):
 
 @query(f"""WITH {BM25}, {SEMANTIC},
 a AS (SELECT doc_id, row_number() OVER (ORDER BY round(bm25, 9) DESC, doc_id) AS rank FROM bm QUALIFY rank <= 30),
-b AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM se QUALIFY rank <= 30)
+b AS (SELECT doc_id, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS rank FROM se QUALIFY rank <= 30)
 SELECT doc_id, round(least(1, sum(1.0::DOUBLE / (60 + rank)) / (2.0::DOUBLE / 61)), 6) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY doc_id
 ORDER BY score DESC, doc_id LIMIT 10""")
 def rank_fusion(spark, d):
     lexical = R.ranked(_bm25(spark, d).withColumn("s", F.round("bm25", 9)), "s", "doc_id", 30)
-    vector = R.ranked(_semantic(spark, d), "score", "doc_id", 30)
+    vector = R.ranked(_semantic(spark, d).withColumn("s", F.round("score", 9)), "s", "doc_id", 30)
     fused = R.fuse([lexical, vector], "doc_id").withColumn("score", F.round("score", 6))
     return R.top_k(fused, 10, "score", "doc_id")
 
@@ -149,4 +162,39 @@ def golden_queries(spark, d):
     return best_per_group(shared, "item_id", 3, F.col("shared").desc(), F.col("doc_id")).drop("rank")
 
 
+META = "m AS (SELECT vec_id, embedding, '{\"label\":' || label || ',\"side\":\"' || CASE WHEN vec_id % 2 = 0 THEN 'a' ELSE 'b' END || '\"}' AS meta FROM embeddings)"
+
+
+def _with_metadata(spark, d) -> DataFrame:
+    side = F.when(F.col("vec_id") % 2 == 0, "a").otherwise("b")
+    return table(spark, d, "embeddings").withColumn("meta", F.concat(F.lit('{"label":'), "label", F.lit(',"side":"'), side, F.lit('"}')))
+
+
+@query(f"""WITH {QV}, {META}, p AS (SELECT query, vec_id, list_cosine_similarity(embedding::DOUBLE[], q) AS score FROM m, qv
+WHERE json_extract_string(meta, '$.label') = '2' AND json_extract_string(meta, '$.side') = 'a'),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, vec_id) AS rank FROM p)
+SELECT query, vec_id, round(score, 6) AS score FROM r WHERE rank <= 5""")
+def vector_search_json_filter(spark, d):
+    rows = R.metadata_filter(_with_metadata(spark, d), "meta", '{"label": 2, "side": "a"}')
+    return R.vector_search(rows, _query_vectors(spark, d), 5).select("query", "vec_id", F.round("score", 6).alias("score"))
+
+
+@query("SELECT vec_id, label FROM embeddings ORDER BY vec_id LIMIT 1000")
+def list_vectors(spark, d):
+    return R.list_all(R.metadata_filter(table(spark, d, "embeddings").select("vec_id", "label"), "label", "not json"), "vec_id", 1000)
+
+
+@query(f"""WITH {BM25}, h AS (SELECT doc_id, row_number() OVER (ORDER BY round(bm25, 9) DESC, doc_id) AS rank FROM bm QUALIFY rank <= 30),
+c AS (SELECT doc_id, sha256(text) AS h, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS n FROM documents)
+SELECT b.doc_id, min(rank) AS rank FROM h JOIN c a ON a.doc_id = h.doc_id JOIN c b ON a.h = b.h AND b.n = 1 GROUP BY b.doc_id""")
+def hits_by_content(spark, d):
+    """Hits joined to the observations that hold their content, each once."""
+    from ..operators import memory as M
+
+    hits = R.ranked(_bm25(spark, d).withColumn("s", F.round("bm25", 9)), "s", "doc_id", 30).select("doc_id", F.col("rank").cast("long").alias("rank"))
+    stored = M.first_of_content(_docs(spark, d), "text", "doc_id").select("content_hash", "doc_id")
+    hashed = _docs(spark, d).select("doc_id", F.sha2("text", 256).alias("content_hash")).join(hits, "doc_id").select("content_hash", "rank")
+    return hashed.join(stored, "content_hash").groupBy("doc_id").agg(F.min("rank").alias("rank"))
+
+
 QUERIES, ORACLE_SQL = query.queries, query.sql

@@ -15,7 +15,10 @@ together by that are searched in tiles of at most TILE by TILE signatures. Both
 only pass on a spanning forest of the candidates, never a group's pairs. The
 trees of that forest hold every candidate pair; their sets are compared in tiles
 again (bounded in classes and shingles), and only a spanning forest of the
-confirmed links leaves a tile. So no link between components is lost.
+confirmed links leaves a tile. Before that, each class's set is compared with those
+of its buckets' smallest classes; a tree that these links tie together whole, as
+those of copies are, needs no tiles, and in others only what isn't tied yet is
+compared. So no link between components is lost.
 
 Defined cases: documents without words (null, empty, white space) have an empty
 set, link with nothing and are kept; fewer than five words are one shingle.
@@ -253,33 +256,75 @@ def _candidate_forest(members: DataFrame, percent: int) -> DataFrame:
 
 
 def _link_forest(rows: DataFrame, percent: int) -> DataFrame:
-    """Edges that tie the classes which full sets link. rows: (tree, rep, n, sig, set)."""
+    """Edges that tie the classes which full sets link. rows: (tree, rep, comp, n, sig,
+    set), comp: what is tied already."""
     most = layout(percent)[3]
 
     def tile(part: list[tuple]) -> list[tuple[int, int]]:
         i, j = part[0][1:3]
-        own, rep, n = (np.array([r[c] for r in part], np.int64) for c in (3, 4, 5))
-        sigs = np.frombuffer(b"".join(r[6] for r in part), "<u2").reshape(-1, LONG)
-        sets = [np.frombuffer(r[7], "<u8") for r in part]
+        own, rep, comp, n = (np.array([r[c] for r in part], np.int64) for c in (3, 4, 5, 6))
+        if comp.min() == comp.max():
+            return []
+        sigs = np.frombuffer(b"".join(r[7] for r in part), "<u2").reshape(-1, LONG)
+        sets = [np.frombuffer(r[8], "<u8") for r in part]
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         forest, out = _Forest(), []
         for x in left:
             y = right[right > x] if i == j else right
+            y = y[comp[y] != comp[x]]
             y = y[np.minimum(n[y], n[x]) * 100 >= np.maximum(n[y], n[x]) * percent]
             if not len(y):
                 continue
             far = (sigs[y] != sigs[x]).sum(axis=1)
             for k in y[np.argsort(far, kind="stable")[: int((far <= most).sum())]]:
-                if forest.root(int(rep[x])) != forest.root(int(rep[k])):
-                    p, q = (sets[x], sets[k]) if len(sets[x]) < len(sets[k]) else (sets[k], sets[x])
-                    at = np.searchsorted(q, p)
-                    shared = int((q[np.minimum(at, len(q) - 1)] == p).sum())
-                    if 100 * shared >= percent * (len(p) + len(q) - shared):
-                        forest.tie(int(rep[x]), int(rep[k]))
-                        out.append((int(rep[x]), int(rep[k])))
+                if forest.root(int(comp[x])) != forest.root(int(comp[k])) and linked(sets[x], sets[k], percent):
+                    forest.tie(int(comp[x]), int(comp[k]))
+                    out.append((int(rep[x]), int(rep[k])))
         return out
 
-    return _each_tile(_tiles(rows, "tree", "n", 1_000_000, ("rep", "n", "sig", "set")), tile)
+    return _each_tile(_tiles(rows, "tree", "n", 1_000_000, ("rep", "comp", "n", "sig", "set")), tile)
+
+
+def linked(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union of two sorted sets."""
+    p, q = (p, q) if len(p) < len(q) else (q, p)
+    shared = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
+    return 100 * shared >= percent * (len(p) + len(q) - shared)
+
+
+def _confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the edges (a, b) that full sets (rep, set) link. The sets of a's go to
+    their b, once for each edge; a b that many have stands in several places."""
+    edges = cut(edges.select("a", "b").distinct())
+    places = cut(edges.groupBy(F.col("b").alias("to")).agg(F.ceil(F.count("*") / TILE).cast("int").alias("places")))
+    sides = edges.join(places, F.col("b") == F.col("to")).join(sets, F.col("a") == F.col("rep")).select(
+        "b", F.pmod(F.xxhash64("a"), "places").cast("int").alias("place"), "a", "set"
+    )
+    hubs = places.join(sets, F.col("to") == F.col("rep")).select(
+        F.col("to").alias("b"), F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("place"), F.lit(None).cast("long").alias("a"), "set"
+    )
+    stream = hubs.unionByName(sides).repartition("b", "place").sortWithinPartitions("b", "place", F.col("a").asc_nulls_first())
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, hubs = None, []  # several sets where one id names several texts
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                out = []
+                for b, place, a, data in zip(*(c.to_pylist() for c in whole.slice(at, 500).columns)):
+                    if here != (b, place):
+                        here, hubs = (b, place), []
+                    one = np.frombuffer(data, "<u8")
+                    if a is None:
+                        hubs.append(one)
+                    elif any(linked(one, hub, percent) for hub in hubs):
+                        out.append((a, b))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=schema)
+
+    found = cut(stream.mapInArrow(run, "a bigint, b bigint"))
+    drop(edges, places)
+    return found
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -304,9 +349,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     sigs = cut(signatures(docs, id_col, text_col).withColumnRenamed(id_col, "id"))
     classes = sigs.where("n_shingles > 0 and id is not null").groupBy("k1", "k2", "n_shingles")
     classes = cut(classes.agg(F.min(F.col("id").cast("bigint")).alias("rep"), F.first("sig").alias("sig")))
-    keys = _keys(classes, percent)
+    keys = cut(_keys(classes, percent))
     shared = cut(keys.groupBy(F.col("key").alias("k")).agg(F.min("rep").alias("pivot"), F.count("*").alias("held")).where("held > 1"))
     members = cut(keys.join(shared, F.col("key") == F.col("k")).select("key", "rep", "pivot", "held"))
+    drop(keys)
 
     star = members.where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
     star = cut(_close(classes, star, percent))
@@ -318,14 +364,21 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     side = classes.select(F.col("rep").alias("r"), F.col("n_shingles").alias("n"), "sig", F.lit(1).alias("one"))
     loose = wide.join(mixed, F.col("key") == F.col("k")).join(side, F.col("rep") == F.col("r"))
     more = cut(_candidate_forest(loose.select("key", "rep", "comp", "n", "sig", "one"), percent))
-    trees = connected_components(star.unionByName(more))
-    trees = cut(trees.join(classes, F.col("node") == F.col("rep")).select(F.col("component").alias("tree"), "rep", "k1", F.col("n_shingles").alias("n"), "sig"))
+    candidates = cut(star.unionByName(more))
+    trees = connected_components(candidates)
+    whole = cut(trees.join(classes, F.col("node") == F.col("rep")).select(F.col("component").alias("tree"), "rep", "k1", F.col("n_shingles").alias("n"), "sig"))
     drop(shared, members, star, wide, mixed, more)
-    sets = _sets(docs, trees.select("rep", "k1"), id_col, text_col).withColumnRenamed("rep", "of")
-    full = cut(trees.join(sets, F.col("rep") == F.col("of")).select("tree", "rep", "n", "sig", "set"))
+    sets = cut(_sets(docs, whole.select("rep", "k1"), id_col, text_col))
+    ties = _confirmed(candidates, sets, percent)
+    tied = connected_components(ties)
+    trees = whole.join(tied, F.col("rep") == F.col("node"), "left").select("tree", "rep", F.coalesce("component", "rep").alias("comp"), "n", "sig")
+    trees = cut(trees)
+    parted = trees.groupBy(F.col("tree").alias("t")).agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("t")
+    loose = trees.join(cut(parted), F.col("tree") == F.col("t")).join(sets.withColumnRenamed("rep", "of"), F.col("rep") == F.col("of"))
+    full = cut(loose.select("tree", "rep", "comp", "n", "sig", "set"))
     edges = cut(_link_forest(full, percent))
-    comps = connected_components(edges)
-    drop(full, edges, trees)
+    comps = connected_components(ties.unionByName(edges))
+    drop(full, edges, ties, trees, whole, sets, candidates)
     comps = comps.withColumnRenamed("node", "rep")
     named = cut(classes.join(comps, "rep", "left").select("k1", "k2", "n_shingles", F.coalesce("component", "rep").alias("component")))
     out = sigs.join(named, ["k1", "k2", "n_shingles"], "left")

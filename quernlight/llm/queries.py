@@ -74,10 +74,41 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_embedding_near_dedup, op3_license_scans, op4_minhash_near_dedup, op5_substring_dedup, op6_bpe_encoding, op7_language_id, op8_token_counts, op9_media_columns, op10_source_mixing)}
+# --- what SQL can say of op9 and op10 ------------------------------------------------
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op9 reads back from its containers, as far as SQL can tell it."""
+    return op9_media_columns(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op10 by source: its target, and whether the words taken meet it to one word."""
+    from .mixing import mix
+
+    by = mix(read(spark, sf_dir, "documents")).groupBy("source", "source_size", "target").agg(F.sum("taken").alias("taken"))
+    return by.select("source", "source_size", F.round("target", 6).alias("target"), (F.abs(F.col("taken") - F.col("target")) <= 1).alias("met"))
+
+
+PAYLOADS = """
+SELECT doc_id, strlen(t) AS n_bytes, strlen(p) AS payload_bytes, sha256(p) AS payload_sha256
+FROM (SELECT doc_id, t, t || repeat(' ', (greatest(1, (strlen(t) + 191) // 192) * 192 - strlen(t))::BIGINT) AS p FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))
+"""
+#: Targets as one water level over the sources, sorted by cap over weight.
+TARGETS = r"""
+WITH s AS (SELECT source, sum(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)) AS n FROM documents GROUP BY source),
+w AS (SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS w, n * 3.0::DOUBLE AS cap FROM s),
+l AS (SELECT *, row_number() OVER (ORDER BY cap / w, source NULLS LAST) AS at,
+  (sum(n) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+v AS (SELECT min_by(level, at) AS v FROM l WHERE cap / w >= level)
+SELECT source, n::BIGINT AS source_size, round(least(cap, coalesce(w * v, cap)), 6)::DOUBLE AS target, true AS met FROM l, v
+"""
+
+QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_embedding_near_dedup, op3_license_scans, op4_minhash_near_dedup, op5_substring_dedup, op6_bpe_encoding, op7_language_id, op8_token_counts, op9_media_columns, op10_source_mixing, media_payloads, mixing_targets)}
 ORACLE_SQL: dict[str, str] = {
     "op1_secret_scans": secrets.ORACLE,
     "op2_embedding_near_dedup": projections.ORACLE,
     "op3_license_scans": licenses.oracle(),
     "op4_minhash_near_dedup": minhash.ORACLE,
+    "media_payloads": PAYLOADS,
+    "mixing_targets": TARGETS,
 }

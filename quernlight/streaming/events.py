@@ -55,18 +55,24 @@ def observations_of_calls(calls: DataFrame) -> DataFrame:
 
 
 def write_observations(calls: DataFrame, path: str, checkpoint: str) -> object:
-    """Append each batch's observations once, by content."""
+    """Append each batch's observations once, by content. The table is partitioned by the
+    first two digits of the hash, and a batch reads those partitions only that it has
+    hashes for, and of them the hashes."""
 
     def batch(df: DataFrame, _: int) -> None:
-        fresh = observations_of_calls(df).dropDuplicates(["content_hash"])
+        fresh = observations_of_calls(df).dropDuplicates(["content_hash"]).withColumn("prefix", F.substring("content_hash", 1, 2))
+        fresh = fresh.persist()
+        prefixes = [r["prefix"] for r in fresh.select("prefix").distinct().collect()]  # 256 at most
         try:
-            stored = df.sparkSession.read.parquet(path).select("content_hash")
+            stored = df.sparkSession.read.schema("content_hash string, prefix string").parquet(path).where(F.col("prefix").isin(prefixes)).select("content_hash")
         except Exception as e:  # the first batch: nothing is stored yet
             if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
                 raise
+            new = fresh
         else:
-            fresh = fresh.join(stored, "content_hash", "left_anti")
-        fresh.write.mode("append").parquet(path)
+            new = fresh.join(stored, "content_hash", "left_anti")
+        new.write.mode("append").partitionBy("prefix").parquet(path)
+        fresh.unpersist()
 
     return calls.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -118,6 +124,24 @@ def workflow_stream(log: DataFrame, key: str = "session_id") -> DataFrame:
     )
 
 
+def job_progress(spark: SparkSession, name: str) -> tuple[int, int]:
+    """(tasks done, tasks known) of the jobs of a group; known ones grow as stages begin."""
+    tracker = spark.sparkContext.statusTracker()
+    done = known = 0
+    for job in tracker.getJobIdsForGroup(name):
+        info = tracker.getJobInfo(job)
+        for stage in info.stageIds if info else ():
+            s = tracker.getStageInfo(stage)
+            if s:
+                done, known = done + s.numCompletedTasks, known + s.numTasks
+    return done, known
+
+
+def cancel(spark: SparkSession, name: str) -> None:
+    """End the jobs of a group."""
+    spark.sparkContext.cancelJobGroup(name)
+
+
 def jobs(spark: SparkSession, name: str, work: Callable[[], object]) -> object:
     """Run work as a named job group that can be cancelled and watched."""
     spark.sparkContext.setJobGroup(name, name, interruptOnCancel=True)

@@ -145,6 +145,54 @@ def test_files_and_git(spark, tmp_path):
     assert FS.git_files(spark, str(root)).count() == 4
 
 
+def test_gitignore(spark, tmp_path):
+    """Ignore rules of every folder, in and out of a repository; blobs, modules within, tables and rule files."""
+    root = tmp_path / "r"
+    (root / "src/deep").mkdir(parents=True)
+    (root / "out").mkdir()
+    for name in ("src/a.rs", "src/gen.rs", "src/keep_gen.rs", "src/deep/b.rs", "src/deep/c.rs", "out/d.rs", "top.rs"):
+        (root / name).write_text("fn f() {}\n")
+    (root / ".gitignore").write_text("# rules\n*gen.rs\n!keep_gen.rs\nout/\n/top.rs\n")
+    (root / "src/deep/.gitignore").write_text("c.rs\n")
+    names = lambda df: sorted(r.path.split("/r/", 1)[1] for r in df.collect())
+    assert names(FS.text_files(spark, str(root))) == ["src/a.rs", "src/deep/b.rs", "src/keep_gen.rs"]
+    assert names(FS.inventory(spark, str(root))) == ["src/a.rs", "src/deep/b.rs", "src/keep_gen.rs"]
+    git = lambda at, *a: subprocess.run(["git", "-C", str(at), "-c", "user.name=a", "-c", "user.email=a@b", "-c", "protocol.file.allow=always", *a], check=True, capture_output=True)
+    (root / "blob.bin").write_bytes(b"a\0b")
+    git(root, "init", "-q", "-b", "main")
+    git(root, "add", ".")
+    git(root, "commit", "-qm", "one")
+    assert names(FS.inventory(spark, str(root))) == ["src/a.rs", "src/deep/b.rs", "src/keep_gen.rs"]
+    blobs = {r.path: (r.text, r.is_binary) for r in FS.git_blobs(spark, str(root)).collect()}
+    assert blobs["blob.bin"] == (None, True) and blobs["src/a.rs"] == ("fn f() {}\n", False) and "out/d.rs" not in blobs
+    outer = tmp_path / "outer"
+    outer.mkdir()
+    git(outer, "init", "-q", "-b", "main")
+    git(outer, "submodule", "add", "-q", str(root), "inner")
+    assert FS.git_submodules(str(outer)) == [(str(outer / "inner"), 1)] and FS.git_submodules(str(outer), 0) == []
+    FS.write_table(spark.createDataFrame([(1, "a")], "k long, v string"), str(tmp_path), "t")
+    FS.write_table(spark.createDataFrame([(2, "b")], "k long, v string"), str(tmp_path), "t")
+    assert FS.table(spark, str(tmp_path), "t").count() == 2
+    (tmp_path / "r1.json").write_text('{"id": "A", "category": "c", "severity": "ERROR"}')
+    (tmp_path / "r2.json").write_text('{"id": "B"}')
+    assert FS.rule_files([str(tmp_path / "r1.json")])[0]["id"] == "A"
+    with pytest.raises(ValueError):
+        FS.rule_files([str(tmp_path / "r2.json")])
+
+
+def test_safe_deletes(spark, tmp_path):
+    """Deleting all ids leaves an empty collection; one that ended half way comes back."""
+    rows = spark.createDataFrame([("1", [1.0], "x")], "id string, vector array<float>, content string")
+    c = Collections(spark, str(tmp_path / "v"))
+    c.insert(rows, "one")
+    c.delete("one", spark.createDataFrame([("1",)], "id string"))
+    assert c.exists("one") and c.read("one").count() == 0
+    c.insert(rows, "one")
+    (tmp_path / "v/collection=one").rename(tmp_path / "v/.one.old")
+    c.recover("one")
+    assert c.read("one").count() == 1 and not (tmp_path / "v/.one.old").exists()
+
+
 def test_store(spark, tmp_path):
     chunks = spark.createDataFrame([("1", "hello world", "a.rs", 3, 9, "rust"), ("2", "other", "b.rs", 1, 2, "rust")], "id string, content string, file_path string, start_line int, end_line int, language string")
     rows = chunk_rows(chunks, E.embed(F.col("content")))
@@ -210,6 +258,39 @@ def test_streams(spark, sf_dir, tmp_path):
     assert stored.count() == stored.select("content_hash").distinct().count() == expected.select("content_hash").distinct().count()
 
 
+def test_workflow_stream(spark, tmp_path):
+    """States go on from batch to batch, as over the whole log."""
+    rows = [(1, 0, "context_discovered"), (2, 0, "error"), (1, 1, "start_planning"), (1, 2, "nonsense"), (2, 1, "recover"), (1, 3, "start_execution")]
+    schema = "session_id long, at long, trigger string"
+    for k in range(0, len(rows), 2):
+        spark.createDataFrame(rows[k : k + 2], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    log = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = {}
+
+    def keep(df, _):
+        got.update({r.session_id: (r.state, r.transitions, r.refused) for r in df.collect()})
+
+    q = ev.workflow_stream(log).writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert got == {r.session_id: (r.state, r.transitions, r.refused) for r in ev.workflow(spark.createDataFrame(rows, schema)).collect()}
+
+
+def test_jobs(spark):
+    assert ev.jobs(spark, "counting", lambda: spark.range(1000).repartition(4).count()) == 1000
+    done, known = ev.job_progress(spark, "counting")
+    assert done == known > 0 and ev.job_progress(spark, "nothing") == (0, 0)
+
+
+def test_event_sessions_stream(spark, sf_dir, tmp_path):
+    table = spark.read.parquet(f"{sf_dir}/events.parquet").limit(200)
+    table.coalesce(1).write.parquet(str(tmp_path / "in"))
+    q = ev.sessions(ev.source(spark, str(tmp_path / "in"), table.schema), late="400 days").writeStream.format("memory").queryName("ended").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    w = F.session_window(F.col("ts").cast("timestamp"), "30 minutes")
+    want = spark.read.parquet(str(tmp_path / "in")).groupBy(w.alias("w"), "user_id").count().select("user_id", "w.start", "w.end", "count")
+    assert sorted(map(tuple, spark.table("ended").collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_clone_pairs(spark):
     """Rows that share a window which a smaller row holds too are a pair; so are places of one row that don't overlap."""
     w, v = [" ".join(f"{c}{k}" for k in range(6)) for c in "wv"]

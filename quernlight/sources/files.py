@@ -39,9 +39,18 @@ def text_files(spark: SparkSession, root: str, extensions: tuple[str, ...] = tup
 def _ignore_rules(spark: SparkSession, root: str) -> list[tuple[str, str, bool]]:
     """(folder, pattern, whether it hides) of all .gitignore files below a folder, outer
     ones first: the project's own rules, a few lines."""
-    listings = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", ".gitignore").load(root)
-    rows = sorted((r["path"].rsplit("/", 1)[0], r["text"]) for r in listings.select("path", F.decode("content", "UTF-8").alias("text")).collect())
-    return [(folder, line.lstrip("!"), not line.startswith("!")) for folder, text in rows for line in map(str.strip, text.splitlines()) if line and not line.startswith("#")]
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    rows, level = [], root.rstrip("/")
+    while fs.globStatus(path(level)):  # level by level; Spark's own listing leaves out names with a dot in front
+        for status in fs.globStatus(path(f"{level}/.gitignore")) or ():
+            stream = fs.open(status.getPath())
+            text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            stream.close()
+            rows.append((status.getPath().getParent().toString(), text))
+        level += "/*"
+    return [(folder, line.lstrip("!"), not line.startswith("!")) for folder, text in sorted(rows) for line in map(str.strip, text.splitlines()) if line and not line.startswith("#")]
 
 
 def ignore_regex(folder: str, pattern: str) -> str:

@@ -133,7 +133,8 @@ def job_progress(spark: SparkSession, name: str) -> tuple[int, int]:
         for stage in info.stageIds if info else ():
             s = tracker.getStageInfo(stage)
             if s:
-                done, known = done + s.numCompletedTasks, known + s.numTasks
+                # Stages of an ended job that have tasks left were skipped: their files were there.
+                done, known = done + s.numCompletedTasks, known + (s.numTasks if info.status == "RUNNING" else s.numCompletedTasks)
     return done, known
 
 

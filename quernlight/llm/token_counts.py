@@ -6,7 +6,8 @@ precomputed. A word is read once, character by character; on a mismatch the
 popped count is added and the link followed, so no piece is ever built and no
 character is read twice.
 
-Words are what str.split() leaves; each starts with the vocabulary's word mark.
+Words are what str.split() leaves (parted at Unicode white space); each starts with the
+vocabulary's word mark.
 A character that no piece starts with counts as its UTF-8 bytes, as byte
 fallback does, and ends the piece before it.
 

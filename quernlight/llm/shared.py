@@ -20,22 +20,33 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a temporary
-    one only where that setting is absent, as in local tests."""
+    """The shared folder the cluster names in spark.checkpoint.dir; a temporary one
+    only where that setting is absent and all executors run in this process."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quernlight-"))
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
+#: Spark then deletes a step's shuffle files once the step's table is written.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def cut(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Write df as a table in the shared checkpoint folder and read it from there
     from now on: it is computed once, the plan is short again, and the loss of
     executors doesn't matter. Call drop() when nothing needs the table."""
-    path = f"{ensure_checkpoint_dir(df.sparkSession)}/quernlight-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, before = f"{ensure_checkpoint_dir(spark)}/quernlight-{uuid.uuid4().hex}", spark.conf.get(_CLEAN)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop(*tables: DataFrame) -> None:

@@ -96,10 +96,10 @@ FROM (SELECT doc_id, t, t || repeat(' ', (greatest(1, (strlen(t) + 191) // 192)
 TARGETS = r"""
 WITH s AS (SELECT source, sum(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)) AS n FROM documents GROUP BY source),
 w AS (SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS w, n * 3.0::DOUBLE AS cap FROM s),
-l AS (SELECT *, row_number() OVER (ORDER BY cap / w, source NULLS LAST) AS at,
+l AS (SELECT *, row_number() OVER (ORDER BY cap / w, source NULLS LAST) AS place,
   (sum(n) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
   / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
-v AS (SELECT min_by(level, at) AS v FROM l WHERE cap / w >= level)
+v AS (SELECT min_by(level, place) AS v FROM l WHERE cap / w >= level)
 SELECT source, n::BIGINT AS source_size, round(least(cap, coalesce(w * v, cap)), 6)::DOUBLE AS target, true AS met FROM l, v
 """
 

@@ -364,10 +364,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     side = classes.select(F.col("rep").alias("r"), F.col("n_shingles").alias("n"), "sig", F.lit(1).alias("one"))
     loose = wide.join(mixed, F.col("key") == F.col("k")).join(side, F.col("rep") == F.col("r"))
     more = cut(_candidate_forest(loose.select("key", "rep", "comp", "n", "sig", "one"), percent))
-    candidates = cut(star.unionByName(more))
-    trees = connected_components(candidates)
+    candidates, trees = star, tied
+    if not more.isEmpty():
+        candidates = star.unionByName(more)
+        trees = connected_components(candidates)
     whole = cut(trees.join(classes, F.col("node") == F.col("rep")).select(F.col("component").alias("tree"), "rep", "k1", F.col("n_shingles").alias("n"), "sig"))
-    drop(shared, members, star, wide, mixed, more)
+    drop(shared, members, wide, mixed)
     sets = cut(_sets(docs, whole.select("rep", "k1"), id_col, text_col))
     ties = _confirmed(candidates, sets, percent)
     tied = connected_components(ties)
@@ -377,8 +379,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     loose = trees.join(cut(parted), F.col("tree") == F.col("t")).join(sets.withColumnRenamed("rep", "of"), F.col("rep") == F.col("of"))
     full = cut(loose.select("tree", "rep", "comp", "n", "sig", "set"))
     edges = cut(_link_forest(full, percent))
-    comps = connected_components(ties.unionByName(edges))
-    drop(full, edges, ties, trees, whole, sets, candidates)
+    comps = tied if edges.isEmpty() else connected_components(ties.unionByName(edges))
+    drop(full, edges, ties, trees, whole, sets, star, more)
     comps = comps.withColumnRenamed("node", "rep")
     named = cut(classes.join(comps, "rep", "left").select("k1", "k2", "n_shingles", F.coalesce("component", "rep").alias("component")))
     out = sigs.join(named, ["k1", "k2", "n_shingles"], "left")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, minhash, projections, secrets
+from . import annulus, licenses, minhash, projections, secrets, vector_codes
 from .shared import read
 
 
@@ -74,6 +74,20 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annulus.cluster(read(spark, sf_dir, "embeddings"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(read(spark, sf_dir, "embeddings")).drop("label")
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_files import token_digests, write_tokens
+
+    return token_digests(spark, write_tokens(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json")))
+
+
 # --- what SQL can say of op9 and op10 ------------------------------------------------
 def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op9 reads back from its containers, as far as SQL can tell it."""
@@ -103,12 +117,14 @@ v AS (SELECT min_by(level, place) AS v FROM l WHERE cap / w >= level)
 SELECT source, n::BIGINT AS source_size, round(least(cap, coalesce(w * v, cap)), 6)::DOUBLE AS target, true AS met FROM l, v
 """
 
-QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_embedding_near_dedup, op3_license_scans, op4_minhash_near_dedup, op5_substring_dedup, op6_bpe_encoding, op7_language_id, op8_token_counts, op9_media_columns, op10_source_mixing, media_payloads, mixing_targets)}
+QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_embedding_near_dedup, op3_license_scans, op4_minhash_near_dedup, op5_substring_dedup, op6_bpe_encoding, op7_language_id, op8_token_counts, op9_media_columns, op10_source_mixing, op11_centroid_clustering, op12_vector_codes, op13_token_files, media_payloads, mixing_targets)}
 ORACLE_SQL: dict[str, str] = {
     "op1_secret_scans": secrets.ORACLE,
     "op2_embedding_near_dedup": projections.ORACLE,
     "op3_license_scans": licenses.oracle(),
     "op4_minhash_near_dedup": minhash.ORACLE,
+    "op11_centroid_clustering": annulus.oracle(),
+    "op12_vector_codes": vector_codes.oracle(),
     "media_payloads": PAYLOADS,
     "mixing_targets": TARGETS,
 }

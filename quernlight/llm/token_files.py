@@ -21,9 +21,8 @@ A word's ids are made by the tokenizers library once and remembered by the worke
 text that holds a special token's string is encoded by the library whole.
 
 Defined cases: a null text counts as empty, and an empty text has just the end id; a
-null doc_id comes first; rows of one doc_id are ordered by their text's hash, equal
-rows are interchangeable, and all of them are rows of the files (a hot id is
-dealt to many files); an empty table gives a folder without documents; other columns
+null doc_id comes first; rows of one doc_id stay in the order in which Spark reads
+the table, and all of them are rows of the files (a hot id is dealt to many files); an empty table gives a folder without documents; other columns
 are not read.
 """
 
@@ -33,6 +32,7 @@ import os
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,18 +49,27 @@ from .shared import ensure_checkpoint_dir, kept
 ROW_GROUP_BYTES = 64 << 20
 PAGE_BYTES = 256 << 10
 #: Words that a worker remembers twice over: those met lately, and those met before them.
-WORD_MEMORY = 150_000
+WORD_MEMORY = 300_000
 ROWS = 256  # rows of a batch that goes back to Spark
 
-_SPACE = r"\t\n\x0b\x0c\r \x85\xa0"
 #: The library's classes are taken from here below U+0250 and for common punctuation only.
 _OTHER = re.compile("[^\x00-ɏ‐-‧‰-⁞€]")
-_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^A-Za-z0-9\t\n\x0b\x0c\r ]+|[\t\n\x0b\x0c\r ]+(?![^\t\n\x0b\x0c\r ])|[\t\n\x0b\x0c\r ]+")
-_LATIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_²³¹¼½¾]+| ?[0-9²³¹¼½¾]+| ?(?:[^\w{_SPACE}]|_)+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+
+
+def _words(letters: str, numbers: str, spaces: str) -> re.Pattern:
+    """The library's pattern for byte-level words, over the given character classes. Letters come
+    first: no other part but numbers and the rest may begin with a space, and none of them with a letter."""
+    return re.compile(
+        f" ?[{letters}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{numbers}]+| ?[^{letters}{numbers}{spaces}]+|[{spaces}]+(?![^{spaces}])|[{spaces}]+"
+    )
+
+
+_ASCII = _words("A-Za-z", "0-9", r"\t\n\x0b\x0c\r ")
+_LATIN = _words("A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾", r"\t\n\x0b\x0c\r \x85\xa0")
 
 
 class Encoder:
-    """A byte-level tokenizer of the library with a memory of words; ids as little-endian 32-bit numbers."""
+    """A byte-level tokenizer of the library with a memory of words; ids as 32-bit numbers (of the machine's order, little-endian here)."""
 
     def __init__(self, source: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -82,7 +91,7 @@ class Encoder:
         return [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<i4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("i", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, text: str) -> bytes:
         if self.special is not None and self.special.search(text):
@@ -112,9 +121,9 @@ def write_tokens(
     with open(tokenizer_path, encoding="utf-8") as f:
         source = spark.sparkContext.broadcast(f.read())
     rows = documents.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    rows = rows.withColumn("h", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
-    # Equal ids may be many: their hashes and rows deal them to more than one file.
-    rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), "h", "row").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h", "text")
+    # Equal ids may be many: their rows deal them to more than one file.
+    order = [F.col("doc_id").asc_nulls_first(), F.col("row")]
+    rows = rows.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
     fields = T.StructType([
         T.StructField("part", T.IntegerType()), rows.schema["doc_id"], T.StructField("first", T.LongType()),
         T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())),

@@ -61,7 +61,7 @@ def test_files(spark, library, delta):
     folder = write_tokens(df.repartition(5), str(PATH), delta=delta, row_group_bytes=4096, page_bytes=512)
     got = sorted(map(tuple, token_digests(spark, folder).collect()), key=lambda r: r[1])
     want = expected(library, rows)
-    # Rows of a null id come in the order of their hashes: compare them as a set of sizes.
+    # Rows of a null id come in the order of the table: compare them as a set of sizes.
     assert [r[1:] for r in got[2:]] == [r[1:] for r in want[2:]] and [r[0] for r in got] == [r[0] for r in want]
     assert sorted(r[2:] for r in got[:2]) == sorted(r[2:] for r in want[:2])
     groups, tokens = 0, 0

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..common import shared_folder
 from ..functions import scalar as S
 from ..operators import search as R
+from ..operators import text_index as X
+from ..operators import vector_index as V
 from .registry import Registry, table
 
 query = Registry()
@@ -197,4 +202,104 @@ def hits_by_content(spark, d):
     return hashed.join(stored, "content_hash").groupBy("doc_id").agg(F.min("rank").alias("rank"))
 
 
+# --- indexes: written once for a folder of tables, then searched -----------------------------------
+_WRITTEN: dict[tuple[str, str, str], object] = {}
+
+
+def _index(spark, d, kind: str, build):
+    """An index of this session over a folder's table, in the shared folder."""
+    name = (spark.sparkContext.applicationId, d, kind)
+    if name not in _WRITTEN:
+        _WRITTEN[name] = build(f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}")
+    return _WRITTEN[name]
+
+
+def _text_index(spark, d) -> X.TextIndex:
+    """Documents in two goes, the second with a first version of some of the texts replaced."""
+
+    def build(path: str) -> X.TextIndex:
+        index, docs = X.TextIndex(spark, path), _docs(spark, d).select("doc_id", "text")
+        index.add(docs.withColumn("text", F.when(F.col("doc_id") % 7 == 0, "the old text").otherwise(F.col("text"))), "doc_id", "text")
+        index.add(docs.where("doc_id % 7 = 0"), "doc_id", "text")
+        return index
+
+    return _index(spark, d, "text", build)
+
+
+def _vector_index(spark, d) -> V.VectorIndex:
+    """Fitted on most of the vectors, the others inserted later."""
+
+    def build(path: str) -> V.VectorIndex:
+        e = table(spark, d, "embeddings")
+        index = V.VectorIndex.build(e.where("vec_id % 10 <> 3"), path)
+        index.insert(e.where("vec_id % 10 = 3"))
+        return index
+
+    return _index(spark, d, "vectors", build)
+
+
+def _match_sql(condition: str, terms: list[str]) -> str:
+    """Documents under a condition on their tokens t and the string s of them, with BM25 of the terms."""
+    return f"""WITH {TOK}, st AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM tok), q AS (SELECT unnest({terms}) AS term),
+tf AS (SELECT doc_id, len(t) AS dl, term, len(list_filter(t, lambda x: x = term)) AS tf FROM tok, q),
+df AS (SELECT term, count(*) FILTER (tf > 0) AS df FROM tf GROUP BY term),
+bm AS (SELECT doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS bm25 FROM tf JOIN df USING (term), st WHERE tf > 0 GROUP BY doc_id),
+s AS (SELECT doc_id, t, ' ' || array_to_string(t, '  ') || ' ' AS s FROM tok)
+SELECT doc_id, round(-bm25, 6) AS rank FROM bm JOIN s USING (doc_id) WHERE {condition}"""
+
+
+def _matched(spark, d, match: str) -> DataFrame:
+    return _text_index(spark, d).search(match).select(F.col("key").alias("doc_id"), F.round("rank", 6).alias("rank"))
+
+
+@query(_match_sql("contains(s, ' from  the ') OR contains(s, ' with  this ')", ["from", "the", "with", "this"]))
+def match_phrases(spark, d):
+    return _matched(spark, d, '"from the" OR with + this')
+
+
+@query(_match_sql("regexp_matches(s, '( was (  ?[^ ]+ ){0,3} with | with (  ?[^ ]+ ){0,3} was )')", ["was", "with"]))
+def match_near(spark, d):
+    return _matched(spark, d, "NEAR(was with, 3)")
+
+
+@query(_match_sql("contains(s, ' from ') AND NOT (contains(s, ' with ') OR contains(s, ' the  and '))", ["from"]))
+def match_not(spark, d):
+    return _matched(spark, d, 'from NOT (with OR "the and")')
+
+
+@query(f"""WITH {TOK}, st AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM tok),
+tf AS (SELECT doc_id, len(t) AS dl, len(list_filter(t, lambda x: starts_with(x, 'thou'))) AS tf FROM tok WHERE list_contains(t, 'and')),
+al AS (SELECT count(*) AS df FROM tok WHERE len(list_filter(t, lambda x: starts_with(x, 'thou'))) > 0),
+an AS (SELECT count(*) AS df2 FROM tok WHERE list_contains(t, 'and')), a2 AS (SELECT doc_id, len(list_filter(t, lambda x: x = 'and')) AS tf2 FROM tok)
+SELECT doc_id, round(-(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))
+  + ln(1 + (n - df2 + 0.5) / (df2 + 0.5)) * tf2 * 2.2 / (tf2 + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS rank
+FROM tf JOIN a2 USING (doc_id), st, al, an WHERE tf > 0""")
+def match_prefix(spark, d):
+    return _matched(spark, d, "thou* AND and")
+
+
+@query(f"WITH {BM25} SELECT doc_id, round(bm25, 6) AS bm25 FROM bm")
+def indexed_bm25(spark, d):
+    """All scores from the postings of three terms."""
+    return _text_index(spark, d).search("the OR from OR this").select(F.col("key").alias("doc_id"), F.round(-F.col("rank"), 6).alias("bm25"))
+
+
+@query(_vector_sql("list_cosine_similarity(embedding::DOUBLE[], q)", "0"))
+def vector_index_all_lists(spark, d):
+    """With all lists asked for, the codes choose the candidates of an exact search."""
+    index = _vector_index(spark, d)
+    hits = index.search(_query_vectors(spark, d), 5, probes=len(index.centroids))
+    return hits.select("query", F.col("key").alias("vec_id"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("""SELECT count(*) AS queries, sum(least(10, (SELECT count(*) FROM embeddings)))::BIGINT AS wanted, true AS recall_reached
+FROM embeddings WHERE vec_id % 20 = 0""")
+def vector_index_recall(spark, d):
+    """Ten neighbours of every query vector from the lists that the model asks, against the exact search: at least 0.9 of them."""
+    queries = _query_vectors(spark, d)
+    exact = R.vector_search(table(spark, d, "embeddings"), queries, 10)
+    share = V.recall(_vector_index(spark, d).search(queries, 10), exact).withColumn("reached", F.col("found") >= 0.9 * F.col("wanted"))
+    return queries.agg(F.count("*").alias("queries")).crossJoin(share.select("wanted", F.col("reached").alias("recall_reached")))  # one row each
+
+
 QUERIES, ORACLE_SQL = query.queries, query.sql

@@ -10,15 +10,16 @@ the two is taken whole or not at all; the chances keep every document's
 expectation, the words of the pair stay the same. Groups of about FAN documents
 are combined this way and hand one unfinished document to the next level of a
 reduction tree, FAN groups to one, until one document a source is left; of it
-as many words are taken as are missing (`copies` rounds to whole documents).
+as many words are taken as are missing (copies are rounded to whole documents).
 
 Chances are hashes of the seed and the documents, so reruns agree.
 
 Defined cases: a null text has size 0 and is never taken; null doc_id and null
 source are values like others (null source last); repeated rows (same doc_id,
-source and size) count as one document and each get the same share; a source
-without words has target 0; an empty table gives an empty table; other columns
-are not read.
+source and size) count as one document of all their words, whose words and copies
+are dealt to the rows as evenly as whole numbers go, so that totals stay right; a
+source without words has target 0; an empty table gives an empty table; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ from pyspark.sql.window import Window
 from .shared import cut
 
 FAN = 32
+CHUNK = 4096  # repeats of one row that a task writes together
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -116,15 +118,15 @@ def _pivot(items: Column, level: int, seed: int, item_sql: str) -> Column:
     return F.aggregate(F.slice(items, F.lit(2), F.greatest(F.size(items), F.lit(1))), start, step)
 
 
-def mix(
+def mix_items(
     documents: DataFrame,
     weights: tuple[float, ...] = (1, 2, 3),
     max_repeats: int = 3,
     seed: int = 20250101,
     text_col: str = "text",
 ) -> DataFrame:
-    """One row per document row: doc_id, source, size, source_size, target,
-    taken (words, repeats counted) and copies (whole documents)."""
+    """One row per document (doc_id, source, size): rows (how often it stands in the table), source_size,
+    target, and for all its rows together taken (words, repeats counted) and copies (whole documents)."""
     sized = documents.select("doc_id", "source", word_count(F.col(text_col)).alias("size"))
     items = cut(sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows")))
     targets = cut(
@@ -171,12 +173,40 @@ def mix(
     for p in parts[1:]:
         out = out.unionByName(p)
     # Of a source's last document a part: the words that are missing.
-    share = F.when(F.col("words") > 0, F.col("mass") / F.col("words")).otherwise(F.lit(0.0))
-    taken = F.col("whole") * F.col("size") + F.floor(share * F.col("size") + 0.5)
-    limit = F.col("size") * F.lit(max_repeats)
-    out = out.select(
-        "doc_id", "source", "size", "source_size", "target",
-        F.least(taken.cast("long"), limit.cast("long")).alias("taken"),
-        (F.col("whole") + F.floor(share + 0.5)).cast("long").alias("copies"), "rows",
+    extra = F.least(F.floor(F.col("mass") + 0.5), F.col("words")).cast("long")
+    copies = F.when(F.col("size") > 0, F.least(F.floor(F.col("mass") / F.col("size") + 0.5), F.col("rows"))).otherwise(0).cast("long")
+    every = F.col("whole").cast("long") * F.col("rows")
+    return out.select(
+        "doc_id", "source", "size", "rows", "source_size", "target",
+        (every * F.col("size") + extra).alias("taken"), (every + copies).alias("copies"),
     )
-    return out.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("rows").cast("int")))).drop("rows", "copy")
+
+
+def dealt(total: Column, rows: Column, row: Column) -> Column:
+    """A row's part of a total (rows from 0): all parts are whole, differ by one at most, and sum up to it."""
+    return F.floor(total / rows).cast("long") + F.when(row < total % rows, 1).otherwise(0)
+
+
+def each_row(items: DataFrame) -> DataFrame:
+    """`rows` rows for every row of items, with their number (`row`, from 0). Those of one item with many are
+    dealt to tasks by CHUNK; no array is longer than that or the number of chunks."""
+    numbers = lambda first, end: F.explode(F.sequence(first, end - 1)).alias("row")
+    few = items.where(F.col("rows") <= CHUNK).select("*", numbers(F.lit(0).cast("long"), F.col("rows")))
+    many = items.where(F.col("rows") > CHUNK).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / CHUNK))).alias("chunk"))
+    many = many.repartition("doc_id", "source", "size", "chunk")
+    many = many.select("*", numbers(F.col("chunk") * CHUNK, F.least((F.col("chunk") + 1) * CHUNK, F.col("rows")))).drop("chunk")
+    return few.unionByName(many)
+
+
+def mix(
+    documents: DataFrame,
+    weights: tuple[float, ...] = (1, 2, 3),
+    max_repeats: int = 3,
+    seed: int = 20250101,
+    text_col: str = "text",
+) -> DataFrame:
+    """One row per document row: doc_id, source, size, source_size, target,
+    taken (words, repeats counted) and copies (whole documents)."""
+    rows = each_row(cut(mix_items(documents, weights, max_repeats, seed, text_col)))
+    part = lambda c: dealt(F.col(c), F.col("rows"), F.col("row")).alias(c)
+    return rows.select("doc_id", "source", "size", "source_size", "target", part("taken"), part("copies"))

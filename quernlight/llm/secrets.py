@@ -3,10 +3,8 @@
 Base spans come from three patterns in every whole text. The method then takes
 candidate credentials (long opaque tokens with letters and digits, and assigned
 values), hashes them, and counts for each hash the distinct repositories and
-owners that hold it over the whole corpus. A text that stands in several
-repositories counts for the first of them only (by name), so a copied document
-doesn't make its credential a public one. What at least `wide` owners hold, and so
-as many repositories, is a widely copied example and gives a span of kind `shared`.
+owners that hold it over the whole corpus, in the same text or in others. What at
+least `wide` owners hold, and so as many repositories, is a widely copied example and gives a span of kind `shared`.
 Of the rest, what looks alive (enough different characters, no placeholder) gives a
 span of kind `reused` if at least `wide` repositories of few owners hold it, else
 of kind `live`; others give none. Values leave the scan as SHA-256 hashes only.
@@ -22,6 +20,8 @@ null ids are kept; other columns are not read; an empty table stays empty.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,8 +42,15 @@ WIDE = 4
 BLOCK = 256
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value worked out once: inside another lambda an expression is
+    worked out again for each element, a lambda's own variable is not."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def running_sums(lengths: Column) -> Column:
     """Sums before each element, in blocks so that no array is copied n times."""
+    zero = F.lit(0).cast("bigint")
 
     def sums(a: Column, start: Column) -> Column:
         first = F.struct(start.alias("at"), F.array().cast("array<bigint>").alias("out"))
@@ -52,26 +59,31 @@ def running_sums(lengths: Column) -> Column:
             lambda s: s["out"],
         )
 
-    zero = F.lit(0).cast("bigint")
-    n = F.size(lengths)
-    starts = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), lambda k: k * BLOCK + 1)
-    blocks = F.transform(starts, lambda k: F.slice(lengths, k, F.lit(BLOCK)))
-    before = sums(F.transform(blocks, lambda b: F.aggregate(b, zero, lambda s, x: s + x)), zero)
-    whole = F.flatten(F.zip_with(blocks, before, sums))
-    return F.when(n > 0, whole).otherwise(F.array().cast("array<bigint>"))
+    def whole(lengths: Column) -> Column:
+        n = F.size(lengths)
+        starts = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), lambda k: k * BLOCK + 1)
+        blocks = F.transform(starts, lambda k: F.slice(lengths, k, F.lit(BLOCK)))
+        totals = lambda blocks: F.transform(blocks, lambda b: F.aggregate(b, zero, lambda s, x: s + x))
+        spread = once(blocks, lambda b: F.flatten(F.zip_with(b, sums(totals(b), zero), sums)))
+        return F.when(n > 0, spread).otherwise(F.array().cast("array<bigint>"))
+
+    return once(lengths, whole)
 
 
 def matches(text: Column, pattern: str) -> Column:
     """array<struct<value, from, to>> of the leftmost matches, code points."""
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    steps = F.zip_with(values, F.slice(gaps, F.lit(1), F.size(values)), lambda v, g: (F.length(g) + F.length(v)).cast("bigint"))
-    spans = F.zip_with(
-        F.arrays_zip(values.alias("v"), steps.alias("s")), running_sums(steps),
-        lambda x, at: F.struct(x["v"].alias("value"), (at + x["s"] - F.length(x["v"])).alias("from"), (at + x["s"]).alias("to")),
-    )
     none = F.array().cast("array<struct<value:string,from:bigint,to:bigint>>")
-    return F.when(F.size(values) > 0, spans).otherwise(none)
+
+    def spans(values: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(values))
+        steps = F.zip_with(values, gaps, lambda v, g: (F.length(g) + F.length(v)).cast("bigint"))
+        found = once(steps, lambda s: F.zip_with(
+            F.arrays_zip(values.alias("v"), s.alias("s")), running_sums(s),
+            lambda x, at: F.struct(x["v"].alias("value"), (at + x["s"] - F.length(x["v"])).alias("from"), (at + x["s"]).alias("to")),
+        ))
+        return F.when(F.size(values) > 0, found).otherwise(none)
+
+    return once(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), spans)
 
 
 def _spans(found: Column, kind: int) -> Column:
@@ -130,8 +142,9 @@ def scan(
     plain = lambda v: F.lower(v)
     odd = lambda v: F.exists(F.array(*[F.lit(p) for p in PLACEHOLDERS]), lambda p: plain(v).contains(p))
     looks_alive = lambda v: (F.size(F.array_distinct(F.split(v, ""))) >= min_distinct) & ~odd(v)
+    # A value may stand here twice, assigned and opaque: its spans are a set in the end.
     candidates = F.transform(
-        F.array_distinct(F.array_union(assigned, opaque)),
+        F.concat(assigned, opaque),
         lambda m: F.struct(
             F.sha2(m["value"], 256).alias("hash"), looks_alive(m["value"]).alias("alive"), m["from"].alias("from"), m["to"].alias("to")
         ),
@@ -145,11 +158,9 @@ def scan(
         )
     )
     found = rows.select("doc_id", "row", "repo", "owner", F.explode("candidates").alias("c")).select("doc_id", "row", "repo", "owner", "c.*")
-    # Each text once, for its first repository, before hashes are counted.
-    held = found.groupBy("hash", "row").agg(F.min(F.struct("repo", "owner")).alias("at"))
-    owners = held.groupBy(F.col("hash").alias("held")).agg(
-        F.countDistinct("at.repo").alias("n_repos"), F.countDistinct("at.owner").alias("n_owners")
-    )
+    # Each repository once for a hash, before they are counted: a hot hash or repository is one row for each task.
+    held = found.groupBy("hash", "repo", "owner").agg(F.lit(1).alias("one"))
+    owners = held.groupBy(F.col("hash").alias("held")).agg(F.countDistinct("repo").alias("n_repos"), F.countDistinct("owner").alias("n_owners"))
     owners = cut(owners)
     kind = F.when((F.col("n_owners") >= wide) & (F.col("n_repos") >= wide), 4).when(F.col("alive"), F.when(F.col("n_repos") >= wide, 5).otherwise(3))
     marked = found.join(owners, found["hash"] == owners["held"]).where(kind.isNotNull())
@@ -181,8 +192,7 @@ b AS (SELECT rid, k, e - length(v) AS a, e, val FROM s WHERE k IN (1, 2) OR (k =
 c AS (
   SELECT DISTINCT rid, sha256(val) AS h, e - length(val) AS a, e, val FROM s
   WHERE (k = 0 AND length(val) >= 12) OR (k = 9 AND regexp_matches(val, '[0-9]') AND regexp_matches(val, '[A-Za-z]'))),
-d AS (SELECT h, text, min(repo) AS repo FROM c JOIN t USING (rid) GROUP BY h, text),
-o AS (SELECT h, count(DISTINCT repo) AS n_repos, count(DISTINCT split_part(repo, '/', 1)) AS n_owners FROM d GROUP BY h),
+o AS (SELECT h, count(DISTINCT repo) AS n_repos, count(DISTINCT split_part(repo, '/', 1)) AS n_owners FROM c JOIN t USING (rid) GROUP BY h),
 x AS (
   SELECT rid, a, e, CASE WHEN n_owners >= 4 AND n_repos >= 4 THEN 4
     WHEN len(list_distinct(string_split(val, ''))) >= 8

@@ -39,17 +39,17 @@ def with_live_secrets(docs):
     owners (repositories, of few owners, too) have."""
     assign = re.compile(r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.A)
     opaque = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
-    texts, first = {}, {}
+    texts, sources = {}, {}
     for r in docs:
         t = r.text or ""
         found = {m[1] for m in assign.finditer(t) if len(m[1]) >= 12}
         texts[t] = found | {m[0] for m in opaque.finditer(t) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])}
-        first[t] = min(first.get(t, r.source), r.source)
+        sources.setdefault(t, set()).add(r.source)
     owners, repos = {}, {}
     for t, values in texts.items():
         for v in values:
-            owners.setdefault(v, set()).add(first[t].split("/")[0])
-            repos.setdefault(v, set()).add(first[t])
+            owners.setdefault(v, set()).update(s.split("/")[0] for s in sources[t])
+            repos.setdefault(v, set()).update(sources[t])
     odd = ("example", "changeme", "placeholder", "xxxx", "0123456789", "your")
     alive = {v for v in owners if len(set(v)) >= 8 and not any(p in v.lower() for p in odd) and not (len(owners[v]) >= 4 and len(repos[v]) >= 4)}
     return {r.doc_id for r in docs if texts[r.text or ""] & alive}

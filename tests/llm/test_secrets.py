@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -46,15 +47,29 @@ def test_ownership(spark):
     rows = [(1, key, "ann/one"), (2, key + " x", "ann/two")]
     rows += [(10 + k, f"{reused} {k}", f"ann/r{k}") for k in range(4)]
     rows += [(20 + k, f"{copied} {k}", f"o{k}/r") for k in range(4)]
-    rows += [(30 + k, twin, f"o{k}/r") for k in range(9)]  # one text, copied to many: still one owner's
+    rows += [(30 + k, twin, f"o{k}/r") for k in range(9)]  # one text, copied to many owners
     rows += [(40, "zzzzzzzzzzzzzzzzz1", "bob/one"), (41, "your" + key, "bob/one")]
     out = {r.doc_id: r for r in scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
-    kind = {k: "live" for k in (1, 2)} | {10 + k: "reused" for k in range(4)} | {20 + k: "shared" for k in range(4)} | {30 + k: "live" for k in range(9)}
+    kind = {k: "live" for k in (1, 2)} | {10 + k: "reused" for k in range(4)} | {20 + k: "shared" for k in range(4)} | {30 + k: "shared" for k in range(9)}
     assert {i: r.spans for i, r in out.items()} == {i: f"{k}:0:18" for i, k in kind.items()} | {40: "", 41: ""}
     assert all((r.n_live, r.n_shared, r.n_reused) == tuple(int(kind.get(i) == k) for k in ("live", "shared", "reused")) for i, r in out.items())
     assert scan(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_long_text_of_different_tokens(spark):
+    """Work in proportion to the tokens of one text: no array is compared with itself."""
+    texts = {n: " ".join(hashlib.md5(f"{n} {k}".encode()).hexdigest() for k in range(n)) for n in (8000, 32_000)}
+    seconds = {}
+    for n, text in texts.items():
+        df = spark.createDataFrame([(n, text, "a/b")], "doc_id long, text string, source string")
+        scan(df).collect()
+        began = time.time()
+        (row,) = scan(df).collect()
+        seconds[n] = time.time() - began
+        assert row.n_hex == n and row.n_live == n and row.spans.count("live:") == n
+    assert seconds[32_000] < 4 * seconds[8000] + 5
+
+
 def test_query_digest(spark, sf_dir):
     from quernlight.llm import queries as q
 

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quernlight.llm import bpe, language, minhash, mixing, secrets
 from quernlight.llm.queries import tokenizer_path
@@ -71,13 +72,19 @@ def drop_live_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    plan = mixing.mix(docs).where("copies > 0").select(
-        F.col("doc_id").alias("_ql_id"), F.col("source").alias("_ql_source"), F.col("size").alias("_ql_size"), F.col("copies").alias("_ql_copies")
-    )
-    plan = plan.distinct()
+    plan = mixing.mix_items(docs).where("copies > 0").select(
+        F.col("doc_id").alias("_ql_id"), F.col("source").alias("_ql_source"), F.col("size").alias("_ql_size"),
+        F.col("rows").alias("_ql_rows"), F.col("copies").alias("_ql_copies"),
+    )
     here = docs["doc_id"].eqNullSafe(F.col("_ql_id")) & docs["source"].eqNullSafe(F.col("_ql_source"))
     taken = docs.join(plan, here & (mixing.word_count(docs["text"]) == F.col("_ql_size")))
-    return taken.select(docs["*"], F.explode(F.array_repeat(F.lit(0), F.col("_ql_copies").cast("int"))).alias("_ql_copy")).drop("_ql_copy")
+    # Rows that repeat a document share its copies; only where they don't share evenly must rows be numbered.
+    uneven = F.col("_ql_copies") % F.col("_ql_rows") != 0
+    row = F.row_number().over(Window.partitionBy("_ql_id", "_ql_source", "_ql_size").orderBy(F.xxhash64("text"))) - 1
+    rest = taken.where(uneven).withColumn("_ql_row", row)
+    taken = taken.where(~uneven).withColumn("_ql_row", F.lit(0)).unionByName(rest)
+    copies = mixing.dealt(F.col("_ql_copies"), F.col("_ql_rows"), F.col("_ql_row"))
+    return taken.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), copies.cast("int"))).alias("_ql_copy")).drop("_ql_copy")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,16 +6,19 @@ aggregate. Layers are told by path."""
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import scalar as S
 from ..sources.files import cargo_dependencies
-from . import code, graph
-from .items import items
+from . import code, graph, patterns
+from .items import items, parse
 
 #: Fixed thresholds.
 MAX_FILE_LINES = 500
@@ -97,6 +100,7 @@ LINE_RULES = [
     _rule("TST005", "tests", "WARNING", "a stub assertion", r"assert!\(\s*true\s*\)", files=_RS, tests=True),
 ]
 PENDING = r"\b(TODO|FIXME|XXX|HACK)\b"
+TEST_FILE = re.compile(r"(^|/)tests?/|_tests?\.rs$")
 
 
 def _row(line: Column, id: str, category: str, severity: str, message: Column | str) -> list[Column]:
@@ -121,29 +125,54 @@ def test_ranges(files: DataFrame) -> DataFrame:
     return found.select("path", F.col("line_no").alias("first"), (F.col("line_no") + F.size(S.lines(F.col("body"))) - 1).alias("last"))
 
 
-def within_ranges(rows: DataFrame, ranges: DataFrame) -> DataFrame:
-    """rows (path, line_no) with `inside`: whether a range of their file holds the line.
-    Ranges of a file travel as one array."""
-    held = ranges.groupBy(F.col("path").alias("_p")).agg(F.collect_list(F.struct("first", "last")).alias("_r"))
-    inside = F.exists("_r", lambda r: (r["first"] <= F.col("line_no")) & (F.col("line_no") <= r["last"]))
-    return rows.join(held, F.col("path") == F.col("_p"), "left").withColumn("inside", F.coalesce(inside, F.lit(False))).drop("_p", "_r")
+def within_ranges(rows: DataFrame, ranges: DataFrame, group: str = "path", at: str = "line_no", first: str = "first", last: str = "last") -> DataFrame:
+    """rows with `inside`: whether a range of their group (its ends included) holds their place. One sweep
+    over a group's places in order counts the ranges that are open, so that neither the number of ranges nor
+    their nesting matters; no row meets a range."""
+    ends = lambda place, kind, step: ranges.select(F.col(group), F.col(place).cast("bigint").alias("_at"), F.lit(kind).alias("_kind"), F.lit(step).alias("_step"))
+    marked = rows.select("*", F.col(at).cast("bigint").alias("_at"), F.lit(1).alias("_kind"), F.lit(0).alias("_step"))
+    every = marked.unionByName(ends(first, 0, 1), allowMissingColumns=True).unionByName(ends(last, 2, -1), allowMissingColumns=True)
+    order = Window.partitionBy(group).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = every.withColumn("inside", F.sum("_step").over(order) > 0).where("_kind = 1")
+    return swept.drop("_at", "_kind", "_step")
+
+
+def _marks(path: str, text: str | None) -> list[bool]:
+    """For each line whether it is in a test module or test function."""
+    text = text or ""
+    out = [False] * (text.count("\n") + 1)
+    if "test]" in text or "cfg(test)" in text or TEST_FILE.search(path):
+        for _, kind, _, _, _, line, _, body, _, _, test, _ in parse(path, text):
+            if test and kind in ("mod", "fn"):
+                last = min(line + body.count("\n"), len(out))
+                out[line - 1 : last] = [True] * (last - line + 1)
+    return out
+
+
+@F.pandas_udf(T.ArrayType(T.BooleanType()))
+def _line_marks(paths: pd.Series, texts: pd.Series) -> pd.Series:
+    return pd.Series([_marks(p, t) for p, t in zip(paths, texts)])
 
 
 def flagged_lines(files: DataFrame) -> DataFrame:
     """path, line_no, line, is_comment, is_test: lines within test modules and test
-    functions, and all of test files."""
-    rows = within_ranges(code.line_table(files, "path", "text"), test_ranges(files))
-    test = F.col("inside") | F.col("path").rlike(r"(^|/)tests?/|_tests?\.rs$")
-    return rows.select("path", "line_no", "line", F.col("line").rlike(r"^\s*(//|/\*|\*)").alias("is_comment"), test.alias("is_test"))
+    functions, and all of test files. Nothing is shuffled: a file's marks are made beside its text."""
+    both = F.arrays_zip(S.lines(F.col("text")).alias("line"), F.col("_marks").alias("mark"))
+    rows = files.select("path", "text", _line_marks(F.coalesce("path", F.lit("")), "text").alias("_marks")).select("path", F.posexplode(both).alias("n", "l"))
+    test = F.coalesce(F.col("l.mark"), F.lit(False)) | F.col("path").rlike(TEST_FILE.pattern)
+    comment = F.col("l.line").rlike(r"^\s*(//|/\*|\*)")
+    return rows.select("path", (F.col("n") + 1).alias("line_no"), F.col("l.line").alias("line"), comment.alias("is_comment"), test.alias("is_test"))
+
+
+def _test_lines(path: str, text: str) -> list[bool]:
+    """For each line whether it is test code: all lines of a test file are."""
+    return [True] * (text.count("\n") + 1) if TEST_FILE.search(path) else _marks(path, text)
 
 
 def line_checks(files: DataFrame, rules: list[dict] = LINE_RULES) -> DataFrame:
-    """LINE_RULES and marks of pending work (QUAL005)."""
-    rows = flagged_lines(files)
-    body = rows.where("not is_comment")
-    parts = [code.line_rules(body.where(F.col("is_test") == test), chosen, "path") for test in (False, True) if (chosen := [r for r in rules if r["tests"] == test])]
-    pending = rows.where(F.col("line").rlike(PENDING)).select(*_row(F.col("line_no"), "QUAL005", "quality", "INFO", "pending work"))
-    return _union([*parts, pending])
+    """LINE_RULES and marks of pending work (QUAL005), in one pass over the files."""
+    pending = _rule("QUAL005", "quality", "INFO", "pending work", PENDING) | {"tests": None}
+    return patterns.rule_hits(files, [*rules, pending], _test_lines)
 
 
 # --- files ---------------------------------------------------------------------

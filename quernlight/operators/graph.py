@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,17 +28,78 @@ def walk(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     return every.groupBy("src", "dst").agg(F.min("depth").alias("depth"))
 
 
+#: Edges that one task takes to finish with.
+PART_EDGES = 1 << 19
+
+
 def _trimmed(edges: DataFrame) -> DataFrame:
-    """Edges between nodes that something enters and something leaves, in the end: no
-    other edge is on a cycle."""
-    known = edges.count()
-    while known:
-        entered, left = edges.select(F.col("dst").alias("src")).distinct(), edges.select(F.col("src").alias("dst")).distinct()
-        edges, before = materialise(edges.join(entered, "src", "left_semi").join(left, "dst", "left_semi").select("src", "dst")), known
-        known = edges.count()
-        if known == before:
-            break
-    return edges
+    """Edges between nodes that something enters and something leaves: no other edge is on a cycle."""
+    entered, left = edges.select(F.col("dst").alias("src")).distinct(), edges.select(F.col("src").alias("dst")).distinct()
+    return edges.join(entered, "src", "left_semi").join(left, "dst", "left_semi").select("src", "dst")
+
+
+def _spliced(edges: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """(edges, hung): nodes with one way in and one out are taken out of their way u -> node -> w, if the coin of
+    this turn falls so (never two neighbours at once). Such a node is strongly connected with u if and only if w is:
+    any cycle through it is one through u and w. hung: node, u, w."""
+    coin = lambda c: F.pmod(F.xxhash64(F.lit(turn), c), F.lit(2))
+    one_in = edges.groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("u"), F.count("*").alias("n")).where("n = 1").drop("n")
+    one_out = edges.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("w"), F.count("*").alias("n")).where("n = 1").drop("n")
+    hung = materialise(one_in.join(one_out, "node").where((coin("node") == 1) & (coin("u") == 0)))
+    gone = hung.select("node")
+    kept = edges.join(gone, F.col("src") == F.col("node"), "left_anti").join(gone, F.col("dst") == F.col("node"), "left_anti")
+    return materialise(kept.union(hung.select("u", "w").where("u <> w")).distinct()), hung
+
+
+def _local_components(edges: DataFrame) -> DataFrame:
+    """(node, component) of the nodes on cycles, within one task: for PART_EDGES edges or few more."""
+    kind = edges.schema["src"].dataType.simpleString()
+
+    def run(batches):
+        after: dict = {}
+        for pdf in batches:
+            for u, v in zip(pdf["src"].tolist(), pdf["dst"].tolist()):
+                after.setdefault(u, []).append(v)
+        order: dict = {}
+        low: dict = {}
+        open_: list = []
+        inside: set = set()
+        found: list[tuple] = []
+        for root in after:
+            if root in order:
+                continue
+            order[root] = low[root] = len(order)
+            open_.append(root)
+            inside.add(root)
+            path = [(root, iter(after[root]))]
+            while path:
+                node, ways = path[-1]
+                for v in ways:
+                    if v not in order:
+                        order[v] = low[v] = len(order)
+                        open_.append(v)
+                        inside.add(v)
+                        path.append((v, iter(after.get(v, ()))))
+                        break
+                    if v in inside:
+                        low[node] = min(low[node], order[v])
+                else:
+                    path.pop()
+                    if path:
+                        low[path[-1][0]] = min(low[path[-1][0]], low[node])
+                    if low[node] == order[node]:
+                        at = len(open_) - 1
+                        while open_[at] != node:
+                            at -= 1
+                        members = open_[at:]
+                        del open_[at:]
+                        inside.difference_update(members)
+                        if len(members) > 1:
+                            least = min(members)
+                            found += [(m, least) for m in members]
+        yield pd.DataFrame(found, columns=["node", "component"])
+
+    return edges.coalesce(1).mapInPandas(run, f"node {kind}, component {kind}")
 
 
 def _least_origin(edges: DataFrame) -> DataFrame:
@@ -54,29 +116,54 @@ def _least_origin(edges: DataFrame) -> DataFrame:
     return origin
 
 
-def strong_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, component): nodes that reach each other, named by their smallest. Every
-    round trims the edges, gives each node the smallest one that reaches it, and goes
-    back from these within what they reach: what is met is a component, and goes."""
-    rest, found = materialise(edges.select("src", "dst").where("src <> dst").distinct()), []
-    while True:
-        rest = _trimmed(rest)
-        if rest.isEmpty():
-            break
-        origin = _least_origin(rest)
-        of = lambda side: origin.select(F.col("node").alias(side), F.col("origin").alias(f"of_{side}"))
-        inner = materialise(rest.join(of("src"), "src").join(of("dst"), "dst").where("of_src = of_dst").select("src", "dst", F.col("of_src").alias("component")))
-        met = frontier = materialise(origin.where("node = origin").select("node", F.col("origin").alias("component")))
-        while not frontier.isEmpty():
-            step = inner.select("src", "dst").join(frontier, F.col("dst") == F.col("node")).select(F.col("src").alias("node"), "component").distinct()
-            frontier = materialise(step.join(met, "node", "left_anti"))
-            met = materialise(met.unionByName(frontier))
-        found.append(met)
-        gone = met.select("node")
-        rest = materialise(rest.join(gone, F.col("src") == F.col("node"), "left_anti").join(gone, F.col("dst") == F.col("node"), "left_anti"))
-    if not found:
+def _coloured(rest: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(component rows, edges left): each node gets the smallest one that reaches it; what goes back from these
+    within what they reach is a component, and goes."""
+    origin = _least_origin(rest)
+    of = lambda side: origin.select(F.col("node").alias(side), F.col("origin").alias(f"of_{side}"))
+    inner = materialise(rest.join(of("src"), "src").join(of("dst"), "dst").where("of_src = of_dst").select("src", "dst", F.col("of_src").alias("component")))
+    met = frontier = materialise(origin.where("node = origin").select("node", F.col("origin").alias("component")))
+    while not frontier.isEmpty():
+        step = inner.select("src", "dst").join(frontier, F.col("dst") == F.col("node")).select(F.col("src").alias("node"), "component").distinct()
+        frontier = materialise(step.join(met, "node", "left_anti"))
+        met = materialise(met.unionByName(frontier))
+    gone = met.select("node")
+    return met, materialise(rest.join(gone, F.col("src") == F.col("node"), "left_anti").join(gone, F.col("dst") == F.col("node"), "left_anti"))
+
+
+def strong_components(edges: DataFrame, nodes: DataFrame, part_edges: int = PART_EDGES) -> DataFrame:
+    """(node, component): nodes that reach each other, named by their smallest. While there are more edges
+    than a task may take, the graph is contracted: dead ends go, nodes on plain ways are spliced out of them, and
+    where that does little, whole components are found by colours and go. The rest is finished by one task, and
+    spliced nodes follow their neighbours, the last ones first. Null ends are ignored."""
+    rest, found, spliced, turn = materialise(edges.select("src", "dst").where("src <> dst").distinct()), [], [], 0
+    n = rest.count()
+    while n > part_edges:
+        before, (rest, hung) = n, _spliced(_trimmed(rest), turn)
+        spliced.append(hung)
+        n, turn = rest.count(), turn + 1
+        if part_edges < n > 0.9 * before:
+            met, rest = _coloured(rest)
+            found.append(met)
+            n = rest.count()
+    if n:
+        found.append(_local_components(rest))
+    if not found and not spliced:
         return nodes.select("node", F.col("node").alias("component"))
-    every = reduce(DataFrame.unionByName, found).select(F.col("node").alias("at"), "component")
+    kind = rest.schema["src"].dataType.simpleString()
+    of = materialise(reduce(DataFrame.unionByName, found) if found else rest.sparkSession.createDataFrame([], f"node {kind}, component {kind}"))
+    for hung in reversed(spliced):
+        # u and w alone: their component is themselves, so the node joins them only where w is u.
+        side = lambda name: of.select(F.col("node").alias(name), F.col("component").alias(f"of_{name}"))
+        own = lambda name: F.coalesce(f"of_{name}", name)
+        joined = hung.join(side("u"), "u", "left").join(side("w"), "w", "left").where(own("u") == own("w")).select("node", own("u").alias("component"))
+        # A lone u has no row yet: it gets one.
+        heads = joined.select(F.col("component").alias("node"), "component").distinct().join(of, "node", "left_anti")
+        of = materialise(of.unionByName(joined).unionByName(heads))
+    if spliced:  # a spliced node may be smaller than the name of its component
+        least = of.groupBy(F.col("component").alias("c")).agg(F.min("node").alias("least"))
+        of = of.join(least, F.col("component") == F.col("c")).select("node", F.col("least").alias("component"))
+    every = of.select(F.col("node").alias("at"), "component")
     return nodes.join(every, F.col("node") == F.col("at"), "left").select("node", F.coalesce("component", "node").alias("component"))
 
 

@@ -363,6 +363,20 @@ def strong_components(spark, d):
     return G.strong_components(f, f.select(F.col("src").alias("node")).distinct())
 
 
+@query("""WITH RECURSIVE f AS (SELECT DISTINCT a.l_suppkey AS src, b.l_suppkey AS dst FROM lineitem a
+  JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_returnflag = 'R' AND a.l_quantity >= 47),
+w AS (SELECT src, dst FROM f UNION SELECT w.src, f.dst FROM w JOIN f ON w.dst = f.src),
+m AS (SELECT a.src, min(a.dst) AS o FROM w a JOIN w b ON a.src = b.dst AND a.dst = b.src GROUP BY 1)
+SELECT s_suppkey AS node, least(s_suppkey, coalesce(o, s_suppkey)) AS component FROM supplier LEFT JOIN m ON s_suppkey = src""")
+def supplier_components(spark, d):
+    """Suppliers that follow each other, by any number of steps, in orders with large returned lines."""
+    lines = table(spark, d, "lineitem")
+    large = lines.where("l_returnflag = 'R' and l_quantity >= 47").select("l_orderkey", F.col("l_suppkey").alias("src"), (F.col("l_linenumber") + 1).alias("next"))
+    after = lines.select("l_orderkey", F.col("l_suppkey").alias("dst"), F.col("l_linenumber").alias("next"))
+    edges = large.join(after, ["l_orderkey", "next"]).select("src", "dst")
+    return G.strong_components(edges, table(spark, d, "supplier").select(F.col("s_suppkey").alias("node")))
+
+
 @query(f"WITH {EDGES} SELECT DISTINCT a.src AS owner, b.dst AS target FROM e a JOIN e b ON a.dst = b.src")
 def two_hop_layers(spark, d):
     e = _edges(spark, d)

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..common import materialise
+
 
 def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
@@ -97,11 +99,34 @@ def timeline(df: DataFrame, anchor, before: int, after: int, time: str, key: str
 
 def within_budget(df: DataFrame, text: str, budget: int, time: str, key: str, candidates: int = 1000) -> DataFrame:
     """The newest rows whose texts fit in a budget of characters, up to the first that
-    doesn't. Of the table the `candidates` newest are looked at, which the caller sets:
-    it is the call's limit."""
-    rows = newest(df, time, key, candidates)
-    order = Window.orderBy(F.col(time).desc(), F.col(key).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn("chars_so_far", F.sum(F.length(text)).over(order)).where(F.col("chars_so_far") <= budget)
+    doesn't, with `chars_so_far`; a null text has none, null times come last. If the budget ends within the
+    `candidates` newest rows, only these are sorted. Else the times' sums give the time
+    at which it ends, and the rows since then are summed up in range-sorted parts: no number of rows is too many,
+    and no task has them all."""
+    order = [F.col(time).desc(), F.col(key).desc()]
+    rows = df.withColumn("_chars", F.coalesce(F.length(text), F.lit(0)).cast("bigint"))
+    near = rows.select(time, key, "_chars").orderBy(*order).limit(candidates)
+    held, chars = near.agg(F.count("*"), F.coalesce(F.sum("_chars"), F.lit(0))).first()
+    if held < candidates or chars > budget:
+        first = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        some = rows.orderBy(*order).limit(candidates)
+        return some.withColumn("chars_so_far", F.sum("_chars").over(first)).where(F.col("chars_so_far") <= budget).drop("_chars")
+    times = rows.groupBy(F.col(time).alias("_time")).agg(F.sum("_chars").alias("_chars"))
+    last = _running(times, [F.col("_time").desc()]).where(F.col("chars_so_far") - F.col("_chars") <= budget)
+    end = last.orderBy(F.col("_time").asc_nulls_first()).select("_time").first()[0]
+    since = rows if end is None else rows.where(F.col(time) >= F.lit(end))
+    return _running(since, order).where(F.col("chars_so_far") <= budget).drop("_chars")
+
+
+def _running(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """rows with chars_so_far, the running sum of _chars in the order, over range-sorted parts."""
+    ranged = materialise(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each part
+    parts = ranged.groupBy("_part").agg(F.sum("_chars").alias("_sum"))
+    parts = parts.select(F.col("_part").alias("_of"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    within = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = ranged.join(parts, F.col("_part") == F.col("_of")).withColumn("chars_so_far", F.col("_before") + F.sum("_chars").over(within))
+    return summed.drop("_part", "_of", "_before")
 
 
 def latest_per(df: DataFrame, group: list[str], time: str, key: str) -> DataFrame:

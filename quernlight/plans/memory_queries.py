@@ -78,8 +78,8 @@ def memory_timeline_newest_after(spark, d):
     return M.timeline(_obs(spark, d).select("id", "created_at"), 100, 5, 5, "created_at", "id", compat=True)
 
 
-@query(f"""WITH {OBS}, r AS (SELECT id, created_at, content FROM obs ORDER BY created_at DESC, id DESC LIMIT 1000),
-s AS (SELECT id, sum(length(content)) OVER (ORDER BY created_at DESC, id DESC ROWS UNBOUNDED PRECEDING) AS chars_so_far FROM r)
+@query(f"""WITH {OBS},
+s AS (SELECT id, sum(length(content)) OVER (ORDER BY created_at DESC, id DESC ROWS UNBOUNDED PRECEDING) AS chars_so_far FROM obs)
 SELECT id, chars_so_far::BIGINT AS chars_so_far FROM s WHERE chars_so_far <= 20000""")
 def inject_context(spark, d):
     return M.within_budget(_obs(spark, d), "content", 20000, "created_at", "id").select("id", "chars_so_far")

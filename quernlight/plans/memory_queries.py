@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..common import shared_folder
 from ..functions import scalar as S
 from ..operators import aggregates as A
 from ..operators import graph as G
 from ..operators import memory as M
+from ..operators import rollups as U
 from .registry import Registry, table
 
 query = Registry()
@@ -173,6 +177,26 @@ def session_stats(spark, d):
     return A.session_stats(table(spark, d, "events"), "user_id", "event_type")
 
 
+def _rollup(spark, d) -> DataFrame:
+    """Events rolled up in two goes, the second with later arrivals of the same days."""
+    events, path = table(spark, d, "events"), f"{shared_folder(spark)}/rollup-{uuid.uuid4().hex}"
+    for late in (False, True):
+        U.append(U.daily(events.where((F.col("event_id") % 5 == 0) == F.lit(late)), "ts", "user_id", "event_type"), path)
+    return U.read(spark, path)
+
+
+@query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events WHERE ts >= DATE '2024-01-03' AND ts < DATE '2024-01-20' GROUP BY 1")
+def rollup_of_days(spark, d):
+    """A range of days, by type: counts and different users of the whole range."""
+    days = _rollup(spark, d).where("day >= date '2024-01-03' and day < date '2024-01-20'")  # folders
+    return U.merged(days, "event_type").withColumnRenamed("distinct", "users")
+
+
+@query("SELECT strftime(ts, '%Y-%m') AS period, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
+def rollup_per_month(spark, d):
+    return U.merged(_rollup(spark, d), F.date_format("day", "yyyy-MM").alias("period")).withColumnRenamed("distinct", "users")
+
+
 @query("SELECT source, count(*) AS chunks, min(lang) AS language FROM documents GROUP BY 1")
 def file_chunk_counts(spark, d):
     return A.file_counts(table(spark, d, "documents"), "source", "lang")

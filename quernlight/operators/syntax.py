@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import scalar as S
 from .code import members, without_overlaps
+from .trees import NODE, numbered
 
 KEYWORDS = ("fn", "let", "if", "else", "for", "while", "loop", "match", "return", "pub", "struct", "enum", "impl", "trait", "use", "mod", "def", "class", "import", "from")
 _TOKEN = r"//[^\n]*|/\*[\s\S]*?\*/|\"(?:[^\"\\]|\\.)*\"|[A-Za-z_]\w*|\d[\w.]*|[-+*/%=<>!&|^~?:]+|[(){}\[\],;.]"
@@ -73,8 +74,8 @@ def with_context(files: DataFrame, key: str, text: str, hits: DataFrame, around:
 
 
 def python_nodes(files: DataFrame) -> DataFrame:
-    """(path, id, parent, kind, name, field, start_line, end_line) of every syntax
-    node of Python files; files that don't parse give no rows."""
+    """Rows of trees.NODE for every syntax node of Python files; files that don't parse
+    give no rows."""
 
     def run(batches):
         import ast
@@ -89,28 +90,50 @@ def python_nodes(files: DataFrame) -> DataFrame:
                 except (SyntaxError, ValueError, RecursionError):
                     continue
                 n = 0
+                found = []
                 while stack:
                     node, parent, field = stack.pop()
                     name = getattr(node, "name", None) or getattr(node, "id", None) or getattr(node, "attr", None)
-                    out.append((path, n, parent, type(node).__name__, name if isinstance(name, str) else None, field, getattr(node, "lineno", None), getattr(node, "end_lineno", None)))
-                    for f, value in ast.iter_fields(node):
-                        for child in value if isinstance(value, list) else [value]:
-                            if isinstance(child, ast.AST):
-                                stack.append((child, n, f))
+                    found.append([parent, type(node).__name__, name if isinstance(name, str) else None, field, getattr(node, "lineno", None), getattr(node, "end_lineno", None)])
+                    children = [(child, n, f) for f, value in ast.iter_fields(node) for child in (value if isinstance(value, list) else [value]) if isinstance(child, ast.AST)]
+                    stack += reversed(children)
                     n += 1
-            frame = pd.DataFrame(out, columns=["path", "id", "parent", "kind", "name", "field", "start_line", "end_line"])
+                last, depth = numbered([r[0] for r in found])
+                out += [(path, k, last[k], depth[k], *r) for k, r in enumerate(found)]
+            frame = pd.DataFrame(out, columns=[c.split()[0] for c in NODE.split(", ")])
             yield frame.astype({"start_line": "Int64", "end_line": "Int64"})
 
-    return files.select("path", "text").mapInPandas(run, "path string, id long, parent long, kind string, name string, field string, start_line long, end_line long")
+    return files.select("path", "text").mapInPandas(run, NODE)
 
 
 def select_nodes(nodes: DataFrame, kind: str, conditions: list[tuple] = ()) -> DataFrame:
     """Nodes of a kind under conditions: (has_field, f), (not_has_field, f),
     (name_matches, regex), (has_child, kind), (no_child, kind), (metadata_equals,
     (column, value)), (custom, a condition of one's own as a Column). Children are met
-    by semi and anti joins on (path, parent)."""
-    rows = nodes.where(F.col("kind") == kind)
+    by semi and anti joins on (path, parent). With nodes numbered as in trees.NODE also
+    (inside, kind), (not_inside, kind): nodes around it; (holds, kind), (not_holds, kind):
+    nodes within it at any depth; (follows, kind), (precedes, kind): the sibling next to
+    it. These are windows over a file's nodes in order, without a join."""
+    # A file's subtrees don't cross: a node lies within a kind if the furthest end of such
+    # nodes before it reaches it, and holds a kind if the next such node is in its subtree.
+    ahead = Window.partitionBy("path").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    behind = Window.partitionBy("path").orderBy("id").rowsBetween(1, Window.unboundedFollowing)
+    beside = Window.partitionBy("path", "parent").orderBy("id")
+    numbered_tests = {
+        "inside": lambda k: F.max(F.when(F.col("kind") == k, F.col("last"))).over(ahead) >= F.col("id"),
+        "holds": lambda k: F.first(F.when(F.col("kind") == k, F.col("id")), ignorenulls=True).over(behind) <= F.col("last"),
+        "follows": lambda k: F.lag("kind").over(beside) == k,
+        "precedes": lambda k: F.lead("kind").over(beside) == k,
+    }
+    told = [(test.removeprefix("not_"), test.startswith("not_"), value) for test, value in conditions if test.removeprefix("not_") in numbered_tests]
+    flags = {f"_c{k}": F.coalesce(numbered_tests[test](value), F.lit(False)) != F.lit(no) for k, (test, no, value) in enumerate(told)}
+    rows = nodes.withColumns(flags).where(F.col("kind") == kind) if flags else nodes.where(F.col("kind") == kind)
+    for flag in flags:
+        rows = rows.where(flag)
+    rows = rows.drop(*flags)
     for test, value in conditions:
+        if test.removeprefix("not_") in numbered_tests:
+            continue
         if test == "name_matches":
             rows = rows.where(F.coalesce("name", F.lit("")).rlike(value))
             continue

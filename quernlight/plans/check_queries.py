@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..operators import aggregates as A
 from ..operators import checks as K
-from ..operators import chunkers, code, graph, items, metrics, syntax
+from ..operators import chunkers, code, graph, items, metrics, syntax, trees
 from .registry import Registry, table
 
 query = Registry()
@@ -252,3 +252,40 @@ def code_items(spark, d):
 
 
 QUERIES, ORACLE_SQL = query.queries, query.sql
+
+
+#: Nodes by lines: an item or loop begins with its head and ends at the next closing
+#: brace at its own indentation; calls stand on one line.
+NODES = f"""{LINES}, hd AS (SELECT path, line_no, length(line) - length(ltrim(line)) AS ind, line,
+ CASE WHEN regexp_matches(line, '^\\s*(pub )?fn ') THEN 'function_item' WHEN regexp_matches(line, '^\\s*pub struct ') THEN 'struct_item' WHEN regexp_matches(line, '^\\s*pub trait ') THEN 'trait_item'
+  WHEN regexp_matches(line, '^\\s*mod ') THEN 'mod_item' WHEN regexp_matches(line, '^\\s*for ') THEN 'for_expression' WHEN regexp_matches(line, '^\\s*if ') THEN 'if_expression' END AS kind FROM ln),
+nd AS (SELECT path, kind, coalesce(nullif(regexp_extract(line, '(?:fn|struct|trait|mod) (\\w+)', 1), ''), NULL) AS name, line_no AS s,
+ CASE WHEN line LIKE '%;' OR line LIKE '%}}' THEN line_no ELSE (SELECT min(e.line_no) FROM ln e WHERE e.path = h.path AND e.line_no > h.line_no AND e.line = concat(repeat(' ', h.ind::INT), '}}')) END AS e FROM hd h WHERE kind IS NOT NULL)"""
+
+
+@query(f"WITH {NODES} SELECT path, kind, name, s::BIGINT AS start_line, e::BIGINT AS end_line FROM nd")
+def syntax_nodes(spark, d):
+    """Items, loops and conditions of Rust files by their syntax trees."""
+    rows = trees.nodes(sources(spark, d)).where(F.col("kind").isin("function_item", "struct_item", "trait_item", "mod_item", "for_expression", "if_expression"))
+    return rows.select("path", "kind", "name", "start_line", "end_line")
+
+
+@query(f"""WITH RECURSIVE {NODES}, pr AS (SELECT a.path, a.s, a.kind, max(b.s) AS parent FROM nd a LEFT JOIN nd b ON a.path = b.path AND b.s < a.s AND b.e >= a.e GROUP BY 1, 2, 3),
+up AS (SELECT path, s, kind, parent AS around FROM pr WHERE parent IS NOT NULL UNION ALL SELECT up.path, up.s, up.kind, pr.parent FROM up JOIN pr ON pr.path = up.path AND pr.s = up.around WHERE pr.parent IS NOT NULL),
+an AS (SELECT DISTINCT up.path, up.s, up.kind, pr.kind AS outer_kind, up.around FROM up JOIN pr ON pr.path = up.path AND pr.s = up.around)
+SELECT 'function_inside_mod' AS found, path, s::BIGINT AS start_line FROM an WHERE kind = 'function_item' AND outer_kind = 'mod_item'
+UNION ALL SELECT DISTINCT 'function_holds_for', path, around::BIGINT FROM an WHERE kind = 'for_expression' AND outer_kind = 'function_item'
+UNION ALL SELECT 'function_without_if', path, s::BIGINT FROM nd n WHERE kind = 'function_item' AND NOT EXISTS (SELECT 1 FROM an WHERE an.path = n.path AND an.around = n.s AND an.kind = 'if_expression')
+UNION ALL SELECT 'trait_function_outside_mod', path, s::BIGINT FROM an WHERE kind = 'function_item' AND outer_kind = 'trait_item' AND NOT EXISTS (SELECT 1 FROM an m WHERE m.path = an.path AND m.s = an.s AND m.outer_kind = 'mod_item')""")
+def syntax_ancestors(spark, d):
+    """Conditions on ancestors and descendants, told again by a recursive walk up."""
+    rows = trees.nodes(sources(spark, d))
+    tests = {
+        "function_inside_mod": [("inside", "mod_item")], "function_holds_for": [("holds", "for_expression")],
+        "function_without_if": [("not_holds", "if_expression")], "trait_function_outside_mod": [("inside", "trait_item"), ("not_inside", "mod_item")],
+    }
+    parts = [syntax.select_nodes(rows, "function_item", c).select(F.lit(n).alias("found"), "path", "start_line") for n, c in tests.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..operators import aggregates as A
 from ..operators import checks as K
-from ..operators import chunkers, code, graph, items, metrics, syntax, trees
+from ..operators import chunkers, code, graph, items, metrics, near_clones, syntax, trees
 from .registry import Registry, table
 
 query = Registry()
@@ -289,3 +289,9 @@ def syntax_ancestors(spark, d):
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
+
+
+@query(None)
+def gapped_clones(spark, d):
+    """Places alike but for edits, of source files; tested by planted ones (test_near_clones)."""
+    return near_clones.near_clones(sources(spark, d), "path", "text")

@@ -39,8 +39,12 @@ def test_query_equals_sql(spark, sf_dir, duck, name):
         assert got == want
 
 
+#: Queries whose rows SQL can't tell: alignments of tokens (planted clones: test_near_clones).
+WITHOUT_SQL = {"gapped_clones"}
+
+
 def test_every_query_has_sql():
-    assert set(ORACLE_SQL) == set(QUERIES) and len(QUERIES) >= 100
+    assert set(ORACLE_SQL) == set(QUERIES) - WITHOUT_SQL and len(QUERIES) >= 100
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))

@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 
-from quernlight.llm.projections import PROJECTIONS, candidates, near_vectors, threshold
+from quernlight.llm.projections import BLOCK, MOST_BITS, PROJECTIONS, _cells, candidates, near_vectors, tables, threshold
 
 SCHEMA = "vec_id long, embedding array<float>, label int, rep string"
 
@@ -47,6 +47,9 @@ def test_equals_brute_force(spark):
              (709, rows[1][1], rows[1][2], "x"), rows[2]]
     got = sorted(map(tuple, near_vectors(spark.createDataFrame(rows, SCHEMA)).collect()), key=str)
     assert got == sorted(brute(rows), key=str)
+    # Blocks of 16 make tables of cells, and blocks within cells, of the same rows.
+    got = sorted(map(tuple, near_vectors(spark.createDataFrame(rows, SCHEMA), block=16).collect()), key=str)
+    assert got == sorted(brute(rows), key=str)
     assert near_vectors(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
@@ -72,3 +75,35 @@ def test_recall_at_the_threshold():
     assert sum((k, k) in found for k in range(2000)) >= 1990
     assert len(found) < 2000 + 0.02 * 2000 * 2000
     assert 0 < threshold() < PROJECTIONS
+
+
+def at_the_threshold(n):
+    rng = np.random.default_rng(9)
+    a = rng.standard_normal((n, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    d = rng.standard_normal(a.shape)
+    d -= (d * a).sum(axis=1, keepdims=True) * a
+    d /= np.linalg.norm(d, axis=1, keepdims=True)
+    return a, 0.9301 * a + math.sqrt(1 - 0.9301**2) * d
+
+
+def test_pairs_meet_in_some_table():
+    """Pairs just at the wanted cosine share a cell, whatever the number of bits; others seldom do."""
+    a, b = at_the_threshold(4000)
+    for bits in (1, 3, 6, 10):
+        x, y = (_cells(v, bits, tables(bits, 0.93)) for v in (a, b))
+        assert (x == y).any(axis=1).sum() >= 3995
+        far = (x == np.roll(y, 1, axis=0)).mean()
+        assert far < 1.5 / 2**bits
+    # A row's cells don't depend on the rows beside it.
+    assert (_cells(a[:7], 6, 5) == _cells(a, 6, 5)[:7]).all()
+
+
+def test_copies_of_a_vector_grow_slowly():
+    """Copies of a vector, as near_vectors deals a label of n: near linear work, where tiles of all pairs would be n / BLOCK."""
+    def copies(n):
+        return min(tables(b, 0.93) * math.ceil(n / (BLOCK << b)) for b in range(MOST_BITS + 1))
+
+    assert copies(BLOCK) == 1
+    assert copies(16 * 10_000) <= 4 * copies(10_000)
+    assert copies(10**7) < 50 and copies(10**9) < 110 < 10**9 / BLOCK / 1000

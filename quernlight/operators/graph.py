@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import pandas as pd
@@ -183,10 +184,27 @@ def mutual_pairs(edges: DataFrame) -> DataFrame:
     return e.intersect(back).where("src < dst")
 
 
+#: Targets of one list, and pairs of one task.
+TARGETS, TASK_PAIRS = 1024, 4_000_000
+
+
 def two_hops(contains: DataFrame, depends: DataFrame) -> DataFrame:
-    """(owner, target): what an owner's parts depend on."""
+    """(owner, target): what an owner's parts depend on. A part's targets go to its owners in lists of TARGETS
+    or so; they are told apart where an owner's lists have met, so pairs themselves are not shuffled. As many
+    tasks as the number of pairs asks for, which the two degrees of each part give."""
+    spark = contains.sparkSession
+    degree = contains.groupBy(F.col("dst").alias("part")).agg(F.count("*").alias("n"))
+    held = depends.groupBy(F.col("src").alias("part")).agg(F.count("*").alias("m"))
+    pairs = degree.join(held, "part").agg(F.coalesce(F.sum(F.col("n").cast("double") * F.col("m")), F.lit(0.0))).first()[0]
+    tasks = max(math.ceil(pairs / TASK_PAIRS), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    pieces = held.select("part", F.ceil(F.col("m") / TARGETS).alias("_k"))
+    lists = depends.select(F.col("src").alias("part"), "dst").join(pieces, "part").groupBy("part", F.pmod(F.xxhash64("dst"), "_k").alias("_piece"))
+    # A set has no null; a target may be one.
+    null = F.array(F.lit(None).cast(depends.schema["dst"].dataType))
+    lists = lists.agg(F.concat(F.sort_array(F.collect_set("dst")), F.when(F.max(F.col("dst").isNull()), null).otherwise(F.slice(null, 1, F.lit(0)))).alias("_t"))
     parts = contains.select(F.col("src").alias("owner"), F.col("dst").alias("part"))
-    return parts.join(depends, F.col("part") == F.col("src")).select("owner", F.col("dst").alias("target")).distinct()
+    met = parts.join(lists.hint("merge"), "part").select("owner", "_t").repartition(tasks, "owner")
+    return met.select("owner", F.explode("_t").alias("target")).distinct()
 
 
 def prefix_edges(imports: DataFrame, modules: DataFrame, separator: str = "::") -> DataFrame:

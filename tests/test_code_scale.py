@@ -21,3 +21,14 @@ def test_files_are_dealt_to_tasks(spark, tmp_path):
     spark.range(10 * TASK_FILES).selectExpr("id as p_partkey").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     sizes = sources(spark, str(tmp_path)).select("path").rdd.glom().map(len).collect()
     assert sum(sizes) == 10 * TASK_FILES and len(sizes) == 10 and max(sizes) < 1.2 * TASK_FILES
+
+
+def test_pairs_of_two_hops_are_not_shuffled(spark):
+    from quernlight.operators import graph
+
+    edges = spark.createDataFrame([(k, k * j % 7) for k in range(12) for j in range(5)] + [(None, 1), (3, None)], "src long, dst long").distinct()
+    got = graph.two_hops(edges, edges)
+    assert "hashpartitioning(owner" in plan(got) and ", target#" not in "".join(x for x in plan(got).splitlines() if "Exchange" in x)
+    rows = {tuple(r) for r in edges.collect()}
+    wanted = {(a, c) for a, b in rows for b2, c in rows if b is not None and b == b2}
+    assert len(got.collect()) == len(wanted) and {tuple(r) for r in got.collect()} == wanted

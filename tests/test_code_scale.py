@@ -32,3 +32,14 @@ def test_pairs_of_two_hops_are_not_shuffled(spark):
     rows = {tuple(r) for r in edges.collect()}
     wanted = {(a, c) for a, b in rows for b2, c in rows if b is not None and b == b2}
     assert len(got.collect()) == len(wanted) and {tuple(r) for r in got.collect()} == wanted
+
+
+def test_items_are_parsed_once_for_their_checks(spark):
+    from quernlight.operators import checks
+
+    files = spark.createDataFrame([
+        ("a/adapters/x.rs", "pub struct One {\n    a: u32,\n}\npub struct Two {\n    a: u32,\n}\n"), ("a/y.rs", "impl Port for One {\n}\n"), ("a/z.rs", None),
+    ], "path string, text string")
+    got = checks.item_checks(files)
+    assert "Contains(text" in plan(got)
+    assert [r["line_no"] for r in got.where("rule = 'PORT001'").collect()] == [4]

@@ -43,3 +43,7 @@ def test_items_are_parsed_once_for_their_checks(spark):
     got = checks.item_checks(files)
     assert "Contains(text" in plan(got)
     assert [r["line_no"] for r in got.where("rule = 'PORT001'").collect()] == [4]
+
+
+def test_trees_are_made_once_for_all_conditions(spark, sf_dir):
+    assert plan(__spark_entry__.queries()["syntax_ancestors"](spark, sf_dir)).count("MapInPandas") == 1

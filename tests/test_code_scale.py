@@ -47,3 +47,23 @@ def test_items_are_parsed_once_for_their_checks(spark):
 
 def test_trees_are_made_once_for_all_conditions(spark, sf_dir):
     assert plan(__spark_entry__.queries()["syntax_ancestors"](spark, sf_dir)).count("MapInPandas") == 1
+
+
+@pytest.mark.parametrize("name", ["clone_links", "clone_members", "fingerprint_stats"])
+def test_windows_are_shuffled_once(spark, sf_dir, name):
+    got = __spark_entry__.queries()[name](spark, sf_dir)
+    got.collect()
+    final = plan(got).split("== Initial Plan ==")[0]
+    by_print = [x for x in final.splitlines() if " Exchange hashpartitioning(print" in x]
+    assert len([x for x in by_print if "ReusedExchange" not in x]) == 1
+
+
+def test_prints_tell_windows_apart(spark):
+    from quernlight.operators import code
+
+    texts = ["a b a b a b", " a b\na\tb x", "x", None, "b a b a"]
+    rows = code.windows(spark.createDataFrame(list(enumerate(texts)), "k long, t string"), "k", "t", 3).collect()
+    held = {}
+    for r in rows:
+        held.setdefault(r["print"], set()).add(" ".join(texts[r["k"]].split()[r["at"] : r["at"] + 3]))
+    assert len(rows) == 9 and sorted(map(sorted, held.values())) == [["a b a"], ["a b x"], ["b a b"]]

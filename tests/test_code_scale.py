@@ -67,3 +67,13 @@ def test_prints_tell_windows_apart(spark):
     for r in rows:
         held.setdefault(r["print"], set()).add(" ".join(texts[r["k"]].split()[r["at"] : r["at"] + 3]))
     assert len(rows) == 9 and sorted(map(sorted, held.values())) == [["a b a"], ["a b x"], ["b a b"]]
+
+
+def test_filters_on_texts_stay_behind_the_deal(spark, sf_dir):
+    from quernlight.plans.check_queries import sources
+
+    files = sources(spark, sf_dir)
+    lines = plan(files.where("size(split(text, '\\n')) > 20")).splitlines()
+    deal = next(k for k, x in enumerate(lines) if "Exchange" in x)
+    assert not any("split(" in x for x in lines[deal:])
+    assert files.schema.names == ["path", "text"]

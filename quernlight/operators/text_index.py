@@ -1,6 +1,7 @@
 """A positional inverted index as Parquet tables, and the match language over it.
 
-    postings   term, key, dl (the document's length), tf, positions; range-sorted by term and key
+    postings   term, key, dl (the document's length), tf, positions; each file holds some documents, sorted by
+               term and key; behind the term "" stand the documents themselves
     docs       key, dl
     gone       key, gen: documents of a generation that a later one replaced or removed
     commits    gen, by which documents and tokens grew: a generation without a row here doesn't count
@@ -9,7 +10,8 @@ Each call of `add` or `remove` writes one generation; readers see it once its co
 is there, so a job that fails on the way leaves nothing to see. A search reads the
 postings of its own terms only: the filter on the term goes down to the row groups and
 pages of the sorted files, for a prefix too. A frequent term's postings lie in
-many files, so no task holds all of them; they meet by document.
+all files, so no task holds all of them; they meet by document. Documents are dealt
+to tasks by their number before they are cut into terms, each once.
 
 Terms are those of `scalar.tokens`; positions count them. Documents of one `add` must
 have different keys. A null text has no terms; a null key is left out.
@@ -22,6 +24,7 @@ import uuid
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +36,8 @@ from ..functions import scalar as S
 from .search import terms_of
 
 NEAR = 10  # default distance of NEAR, in terms
+#: Documents of one file of postings; fewer where that would leave cores without a task.
+FILE_DOCS, LEAST_DOCS = 8192, 512
 
 # A tree of the match language: ("and" | "or" | "not", left, right), ("near", phrases, n) or a phrase
 # ("phrase", terms), each term a pair (text, whether it is a prefix).
@@ -129,23 +134,38 @@ def _condition(tree: tuple, number: dict[tuple[str, bool], int]) -> Column:
     if tree[0] == "phrase":
         return F.col(f"tf{number[tree[1][0]]}") > 0 if len(tree[1]) == 1 else F.size(_starts(tree, number)) > 0
     if tree[0] == "near":
-        starts = [_starts(p, number) for p in tree[1]]
-
-        def first_is(k: int) -> Column:
-            reach = len(tree[1][k][1]) + tree[2]
-            close = lambda s: reduce(lambda a, b: a & b, [F.exists(o, lambda t: (t >= s) & (t <= s + reach)) for j, o in enumerate(starts) if j != k])
-            return F.exists(starts[k], close)
-
-        return reduce(lambda a, b: a | b, [first_is(k) for k in range(len(starts))])
+        return _close([_starts(p, number) for p in tree[1]], [len(p[1]) + tree[2] for p in tree[1]])
     left, right = _condition(tree[1], number), _condition(tree[2], number)
     return left & right if tree[0] == "and" else left | right if tree[0] == "or" else left & ~right
 
 
 def _starts(phrase: tuple, number: dict[tuple[str, bool], int]) -> Column:
-    """Positions at which the phrase begins."""
-    later = [(j, F.col(f"p{number[t]}")) for j, t in enumerate(phrase[1]) if j]
-    first = F.col(f"p{number[phrase[1][0]]}")
-    return F.filter(first, lambda s: reduce(lambda a, b: a & b, [F.array_contains(p, s + j) for j, p in later])) if later else first
+    """Positions at which the phrase begins, in time linear in those of its terms."""
+    back = lambda t, j: F.transform(f"p{number[t]}", lambda x: x - j) if j else F.col(f"p{number[t]}")
+    return reduce(F.array_intersect, [back(t, j) for j, t in enumerate(phrase[1])])
+
+
+def _close(starts: list[Column], reach: list[int]) -> Column:
+    """Whether some start of a phrase has one of each other phrase at most its reach behind it. One pass
+    from the last start to the first: the next start of every phrase is all that it remembers."""
+    far = 1 << 40
+    one = lambda s, k: F.transform(s, lambda x: F.struct(x.cast("long").alias("at"), F.lit(k).alias("of")))
+    every = F.reverse(F.array_sort(F.concat(*[one(s, k) for k, s in enumerate(starts)])))
+    first = F.struct(F.lit(False).alias("found"), *[F.lit(far).cast("long").alias(f"n{k}") for k in range(len(starts))])
+
+    def step(held: Column, x: Column) -> Column:
+        after = [F.when(x["of"] == k, x["at"]).otherwise(held[f"n{k}"]) for k in range(len(starts))]
+        begins = [(after[k] == x["at"]) & reduce(lambda a, b: a & b, [o <= x["at"] + reach[k] for j, o in enumerate(after) if j != k]) for k in range(len(starts))]
+        return F.struct((held["found"] | reduce(lambda a, b: a | b, begins)).alias("found"), *[o.alias(f"n{k}") for k, o in enumerate(after)])
+
+    return F.aggregate(every, first, step, lambda held: held["found"])
+
+
+def _placed(tree: tuple) -> set[tuple[str, bool]]:
+    """Terms whose positions the tree asks for."""
+    if tree[0] == "phrase":
+        return set(tree[1]) if len(tree[1]) > 1 else set()
+    return set(_terms(tree)) if tree[0] == "near" else _placed(tree[1]) | _placed(tree[2])
 
 
 class TextIndex:
@@ -177,7 +197,7 @@ class TextIndex:
 
     def add(self, rows: DataFrame, key: str, text: str) -> str:
         """Index documents; those whose key is in the index replace it. Returns the generation."""
-        gen, named = uuid.uuid4().hex, rows.select(F.col(key).alias("key"), S.tokens(F.col(text)).alias("t")).where("key is not null")
+        gen, named = uuid.uuid4().hex, rows.select(F.col(key).alias("key"), F.col(text).alias("text")).where("key is not null")
         fields = T.StructType([
             T.StructField("term", T.StringType()), named.schema["key"], T.StructField("dl", T.IntegerType()),
             T.StructField("tf", T.IntegerType()), T.StructField("positions", T.ArrayType(T.IntegerType())),
@@ -185,19 +205,29 @@ class TextIndex:
         arrow = to_arrow_schema(fields)
 
         def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in (b.slice(at, 200) for b in batches for at in range(0, b.num_rows, 200)):
-                out: list[tuple] = []
-                for name, words in zip(*(c.to_pylist() for c in batch.columns)):
-                    where: dict[str, list[int]] = {}
-                    for at, word in enumerate(words):
-                        where.setdefault(word, []).append(at)
-                    out += [(word, name, len(words), len(places), places) for word, places in where.items()]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
-
-        docs = materialise(named.select("key", F.size("t").alias("dl")))
-        spread = materialise(named.mapInArrow(postings, fields))  # written once: the range sort looks at it twice
-        spread.repartitionByRange("term", "key").sortWithinPartitions("term", "key").write.parquet(f"{self.path}/postings/gen={gen}")
+            for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
+                lists = batch.column(1)
+                dl, coded = lists.value_lengths().to_numpy(), lists.flatten().dictionary_encode()
+                doc, code = np.repeat(np.arange(len(dl)), dl), coded.indices.to_numpy()
+                place = np.arange(len(doc)) - np.repeat(np.cumsum(dl) - dl, dl)
+                term_of = doc * max(len(coded.dictionary), 1) + code
+                order = np.argsort(term_of, kind="stable")
+                first = np.flatnonzero(np.diff(term_of[order], prepend=-1))
+                cuts, none = np.append(first, len(order)), np.zeros(len(dl), np.int32)
+                doc, code = doc[order][first], code[order][first]
+                for columns in (
+                    (coded.dictionary.take(pa.array(code)), batch.column(0).take(pa.array(doc)), dl[doc], np.diff(cuts), cuts, place[order]),
+                    (pa.array([""] * len(dl), pa.string()), batch.column(0), dl, none, np.zeros(len(dl) + 1), none[:0]),
+                ):
+                    positions = pa.ListArray.from_arrays(pa.array(columns[4].astype(np.int32)), pa.array(columns[5].astype(np.int32)))
+                    counts = [pa.array(c.astype(np.int32)) for c in columns[2:4]]
+                    yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip((*columns[:2], *counts, positions), arrow)], schema=arrow)
+
+        n = named.count()
+        files = max(-(-n // FILE_DOCS), min(self.spark.sparkContext.defaultParallelism, n // LEAST_DOCS), 1)
+        words = named.repartition(files, "key").select("key", S.tokens(F.col("text")).alias("t"))
+        words.mapInArrow(postings, fields).sortWithinPartitions("term", "key").write.parquet(f"{self.path}/postings/gen={gen}")
+        docs = self.spark.read.schema(fields).parquet(f"{self.path}/postings/gen={gen}").where("term = ''").select("key", "dl")
         docs.write.parquet(f"{self.path}/docs/gen={gen}")
         documents, tokens = docs.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
         return self._commit(gen, docs.select("key"), documents, tokens)
@@ -239,7 +269,7 @@ class TextIndex:
         wanted = _terms(tree, positive=True)
         found = self.postings(every).groupBy("key").agg(
             F.max("dl").alias("dl"), *[F.sum(F.when(_is(t), F.col("tf")).otherwise(0)).alias(f"tf{k}") for t, k in number.items()],
-            *[F.array_sort(F.flatten(F.collect_list(F.when(_is(t), F.col("positions"))))).alias(f"p{k}") for t, k in number.items()],
+            *[F.array_sort(F.flatten(F.collect_list(F.when(_is(t), F.col("positions"))))).alias(f"p{k}") for t, k in number.items() if t in _placed(tree)],
         )
         found = materialise(found)
         held = found.agg(*[F.coalesce(F.sum((F.col(f"tf{k}") > 0).cast("long")), F.lit(0)) for k in range(len(every))]).first()
@@ -253,7 +283,8 @@ class TextIndex:
     def compact(self, path: str) -> TextIndex:
         """The live documents as one generation in a new folder."""
         gen, other = uuid.uuid4().hex, TextIndex(self.spark, path)
-        self._live("postings").drop("gen").repartitionByRange("term", "key").sortWithinPartitions("term", "key").write.parquet(f"{path}/postings/gen={gen}")
+        files = max(-(-self._generations()[1] // FILE_DOCS), 1)
+        self._live("postings").drop("gen").repartition(files, "key").sortWithinPartitions("term", "key").write.parquet(f"{path}/postings/gen={gen}")
         self._live("docs").drop("gen").write.parquet(f"{path}/docs/gen={gen}")
         documents, tokens = self._generations()[1:]
         other._commit(gen, self.spark.createDataFrame([], "key string"), documents, tokens)

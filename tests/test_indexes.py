@@ -2,6 +2,7 @@
 
 import glob
 import re
+import time
 
 import numpy as np
 import pytest
@@ -73,6 +74,24 @@ def test_match(index, texts, match):
     assert sorted(r["key"] for r in got) == sorted(i for i, t in texts.items() if CASES[match](tokens(t))) and all(r["rank"] <= 0 for r in got)
 
 
+@pytest.mark.parametrize("match", ['"alpha beta"', "NEAR(alpha beta, 1)"])
+def test_long_documents_take_linear_time(spark, tmp_path, match):
+    """A term of a long text has as many places as the text has words."""
+    index = TextIndex(spark, str(tmp_path))
+    index.add(frame(spark, {1: "alpha gamma delta beta gamma delta " * 60000, 2: "alpha beta"}), "id", "text")
+    began = time.time()
+    assert [r["key"] for r in index.search(match).collect()] == [2] and time.time() - began < 15
+
+
+def test_documents_of_one_split_are_dealt(spark, tmp_path):
+    """As many files as cores, though all texts come in one split; the documents stand in each file's first rows."""
+    rows = spark.range(0, 8000, 1, 1).selectExpr("id", "concat('alpha beta', id) AS text")
+    TextIndex(spark, str(tmp_path)).add(rows, "id", "text")
+    assert len(glob.glob(f"{tmp_path}/postings/*/*.parquet")) > 1
+    held = spark.read.parquet(f"{tmp_path}/postings").where("term = ''")
+    assert held.count() == held.select("key").distinct().count() == 8000 and held.where("dl <> 2").isEmpty()
+
+
 def test_scores_are_those_of_bm25(spark, index, texts):
     want = {r["id"]: round(r["bm25"], 9) for r in bm25(frame(spark, texts), "id", "text", "alpha gamma delta").collect()}
     got = {r["key"]: round(-r["rank"], 9) for r in index.search("alpha OR gamma OR delta").collect()}

@@ -31,13 +31,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..common import materialise
+from ..common import dealt, materialise
 from ..functions import scalar as S
 from .search import terms_of
 
 NEAR = 10  # default distance of NEAR, in terms
-#: Documents of one file of postings; fewer where that would leave cores without a task.
-FILE_DOCS, LEAST_DOCS = 8192, 512
+FILE_DOCS = 8192  # documents of one file of postings
 
 # A tree of the match language: ("and" | "or" | "not", left, right), ("near", phrases, n) or a phrase
 # ("phrase", terms), each term a pair (text, whether it is a prefix).
@@ -223,9 +222,7 @@ class TextIndex:
                     counts = [pa.array(c.astype(np.int32)) for c in columns[2:4]]
                     yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip((*columns[:2], *counts, positions), arrow)], schema=arrow)
 
-        n = named.count()
-        files = max(-(-n // FILE_DOCS), min(self.spark.sparkContext.defaultParallelism, n // LEAST_DOCS), 1)
-        words = named.repartition(files, "key").select("key", S.tokens(F.col("text")).alias("t"))
+        words = dealt(named, "key", FILE_DOCS).select("key", S.tokens(F.col("text")).alias("t"))
         words.mapInArrow(postings, fields).sortWithinPartitions("term", "key").write.parquet(f"{self.path}/postings/gen={gen}")
         docs = self.spark.read.schema(fields).parquet(f"{self.path}/postings/gen={gen}").where("term = ''").select("key", "dl")
         docs.write.parquet(f"{self.path}/docs/gen={gen}")

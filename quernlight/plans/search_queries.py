@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..common import shared_folder
+from ..common import dealt, shared_folder
 from ..functions import scalar as S
 from ..operators import search as R
 from ..operators import text_index as X
@@ -17,6 +17,7 @@ from .registry import Registry, table
 query = Registry()
 TERMS = ["the", "from", "this"]
 TEXT = "the from this"
+TASK_DOCS = 4096  # documents of one task that holds counts for each item
 #: Tokens and BM25 in SQL, shared by several queries.
 TOK = r"tok AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda t: strlen(t) > 2) AS t FROM documents)"
 BM25 = f"""{TOK}, st AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM tok),
@@ -158,10 +159,11 @@ t AS (SELECT doc_id, unnest(list_distinct(list_filter(string_split_regex(lower(t
 o AS (SELECT item_id, doc_id, count(*) AS shared FROM h JOIN t USING (term) GROUP BY ALL)
 SELECT item_id, doc_id, shared FROM o QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY shared DESC, doc_id) <= 3""".replace("\\\\", "\\"))
 def golden_queries(spark, d):
-    """For every benchmark item, the documents that share most of its terms."""
+    """For every benchmark item, the documents that share most of its terms. Documents are dealt by their id before
+    they are cut into terms, so a task counts the shared terms of its own ones, and only the best of each task are shuffled."""
     terms = lambda df, key: df.select(key, F.explode(F.array_distinct(S.tokens(F.col("text")))).alias("term"))
     items = terms(table(spark, d, "benchmark"), "item_id")
-    shared = items.join(terms(_docs(spark, d), "doc_id"), "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"))
+    shared = items.join(terms(dealt(_docs(spark, d).select("doc_id", "text"), "doc_id", TASK_DOCS), "doc_id"), "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"))
     from ..operators.aggregates import best_per_group
 
     return best_per_group(shared, "item_id", 3, F.col("shared").desc(), F.col("doc_id")).drop("rank")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quernlight.operators.search import bm25, vector_search
 from quernlight.operators.text_index import TextIndex, parse_match
 from quernlight.operators.vector_index import VectorIndex, recall
+from quernlight.plans.search_queries import QUERIES
 
 WORDS = ["alpha", "beta", "gamma", "delta", "alphabet", "gam", "été"]
 
@@ -163,3 +164,10 @@ def test_index_without_queries_or_vectors(spark, vectors, tmp_path):
     assert index.search(none, 5).count() == 0
     with pytest.raises(ValueError):
         VectorIndex.build(vectors.limit(0), str(tmp_path / "none"))
+
+
+def test_shared_terms_are_counted_where_the_document_is(spark, sf_dir):
+    """Items times documents are never shuffled: documents are dealt once, then only the best of each task."""
+    plan = QUERIES["golden_queries"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
+    assert not re.search(r"hashpartitioning\((item_id#\d+L?, doc_id#\d+L?|doc_id#\d+L?, item_id#\d+L?), ", plan)

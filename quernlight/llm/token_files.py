@@ -34,6 +34,8 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import compress
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +46,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
+from .bpe import byte_symbols
 from .shared import ensure_checkpoint_dir, kept
 
 ROW_GROUP_BYTES = 64 << 20
@@ -73,13 +76,19 @@ class Encoder:
 
     def __init__(self, source: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.library = Tokenizer.from_str(source)
-        self.library.no_truncation()
-        self.library.no_padding()
+        self.library, self.model = Tokenizer.from_str(source), Tokenizer.from_str(source)
+        for t in (self.library, self.model):
+            t.no_truncation()
+            t.no_padding()
+        self.model.pre_tokenizer = pre_tokenizers.Sequence([])  # takes words as they are, in characters that stand for bytes
         special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
+        self.symbols = str.maketrans({b: c for c, b in byte_symbols().items()})
+        self.bytes_of = np.zeros(self.library.get_vocab_size(with_added_tokens=True), np.int64)
+        for token, k in self.library.get_vocab(with_added_tokens=False).items():
+            self.bytes_of[k] = len(token)
         self.lately: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
 
@@ -93,21 +102,44 @@ class Encoder:
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array("i", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _unknown(self, words: list[str]) -> list[bytes]:
+        """Words go to the library's model together; the bytes of its tokens tell whose they are."""
+        if self.library.normalizer is None:
+            asked = b"\xff".join([w.encode("utf-8", "surrogatepass") for w in words]).decode("latin-1").translate(self.symbols).split("\xff")
+            (found,) = self.model.encode_batch_fast([asked], is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(found.ids, "<i4")
+            ends, stops = np.cumsum(self.bytes_of[ids]), np.cumsum(list(map(len, asked)))
+            cuts = np.searchsorted(ends, stops) + 1
+            if len(ends) and cuts[-1] == len(ids) and (ends[cuts - 1] == stops).all():
+                data, cuts = ids.tobytes(), [0, *(4 * cuts).tolist()]
+                return [data[a:b] for a, b in zip(cuts, cuts[1:])]
+        return self._library(words)  # not each byte has a token
+
     def encode(self, text: str) -> bytes:
-        if self.special is not None and self.special.search(text):
-            return self._library([text])[0]
-        words = self.words(text)
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Words of all texts are looked up together, and the unknown ones asked for together."""
+        words: list[str] = []
+        ends, whole = [], {}
+        for k, text in enumerate(texts):
+            if self.special is not None and self.special.search(text):
+                whole[k] = self._library([text])[0]
+            else:
+                words += self.words(text)
+            ends.append(len(words))
         ids = list(map(self.lately.get, words))
         if None in ids:
-            new = {w for w, known in zip(words, ids) if known is None}
-            found = {w: known for w in new if (known := self.before.get(w)) is not None}
-            unknown = [w for w in new if w not in found]
-            found.update(zip(unknown, self._library(unknown)))
-            ids = [found[w] if known is None else known for w, known in zip(words, ids)]
+            new = set(compress(words, map(not_, ids)))
+            found = {w: known for w in new if (known := self.before.get(w)) is not None} if self.before else {}
+            unknown = [w for w in new if w not in found] if found else list(new)
+            if unknown:
+                found.update(zip(unknown, self._unknown(unknown)))
+            ids = [known or found[w] for w, known in zip(words, ids)]
             if len(self.lately) >= WORD_MEMORY:
                 self.before, self.lately = self.lately, {}
-            self.lately.update((w, i) for w, i in found.items() if len(w) <= 64)
-        return b"".join(ids)
+            self.lately.update(found if max(map(len, found)) <= 64 else {w: i for w, i in found.items() if len(w) <= 64})
+        return [whole[k] if k in whole else b"".join(ids[s:e]) for k, (s, e) in enumerate(zip([0, *ends], ends))]
 
 
 def write_tokens(
@@ -137,7 +169,7 @@ def write_tokens(
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(at, ROWS)
-                ids = [encoder.encode(t) + end for t in batch.column(1).to_pylist()]
+                ids = [i + end for i in encoder.encode_all(batch.column(1).to_pylist())]
                 ends = np.cumsum([0] + [len(i) // 4 for i in ids])
                 counts = np.diff(ends)
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<i4")))

@@ -53,6 +53,20 @@ def test_encoder_equals_library(library):
         assert np.frombuffer(encoder.encode(t), "<i4").tolist() == library.encode(t, add_special_tokens=False).ids, t
 
 
+def test_texts_are_looked_up_together(library, monkeypatch):
+    """The words of many texts that aren't known are asked for once, in one text of the model's."""
+    with open(PATH, encoding="utf-8") as f:
+        encoder = Encoder(f.read())
+    texts = [t for t in ODD if t is not None] + [f"word{i} ünd “{i}”" for i in range(200)]
+    asked = []
+    plain = Encoder._unknown
+    monkeypatch.setattr(Encoder, "_unknown", lambda self, words: asked.append(len(words)) or plain(self, words))
+    for _ in range(2):
+        got = [np.frombuffer(i, "<i4").tolist() for i in encoder.encode_all(texts)]
+        assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert asked[0] > 200 and sum(asked[1:]) <= 2  # words beyond 64 characters aren't remembered
+
+
 @pytest.mark.parametrize("delta", [False, True])
 def test_files(spark, library, delta):
     rows = [(i * 3, t) for i, t in enumerate(ODD)] + [(None, "no id"), (None, None), (7, "same id"), (7, "same id")]

@@ -34,8 +34,7 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import compress
-from operator import not_
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -130,12 +129,17 @@ class Encoder:
             ends.append(len(words))
         ids = list(map(self.lately.get, words))
         if None in ids:
-            new = set(compress(words, map(not_, ids)))
+            missing, at = [], -1
+            with suppress(ValueError):  # none is left
+                while True:
+                    missing.append(at := ids.index(None, at + 1))
+            new = {words[k] for k in missing}
             found = {w: known for w in new if (known := self.before.get(w)) is not None} if self.before else {}
             unknown = [w for w in new if w not in found] if found else list(new)
             if unknown:
                 found.update(zip(unknown, self._unknown(unknown)))
-            ids = [known or found[w] for w, known in zip(words, ids)]
+            for k in missing:
+                ids[k] = found[words[k]]
             if len(self.lately) >= WORD_MEMORY:
                 self.before, self.lately = self.lately, {}
             self.lately.update(found if max(map(len, found)) <= 64 else {w: i for w, i in found.items() if len(w) <= 64})

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -184,27 +188,158 @@ def mutual_pairs(edges: DataFrame) -> DataFrame:
     return e.intersect(back).where("src < dst")
 
 
-#: Targets of one list, and pairs of one task.
-TARGETS, TASK_PAIRS = 1024, 4_000_000
+#: Targets of one list; of one task pairs, and targets of all its lists; pairs that it holds at once.
+TARGETS, TASK_PAIRS, TASK_TARGETS, HELD_PAIRS = 1024, 32_000_000, 4_000_000, 1 << 19
+
+
+def _changes(values: pa.Array) -> np.ndarray:
+    """Where a value isn't the one before it; True at the first."""
+    return np.diff(values.dictionary_encode("encode").indices.to_numpy(), prepend=-1) != 0
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+def _packed(rows: DataFrame) -> DataFrame:
+    """(owner_block, owner, parts) of rows (owner, part) sorted by both: different parts of an owner in lists of
+    TARGETS at most. The rows of one partition are a block."""
+    owners, parts = (rows.schema[c].dataType.simpleString() for c in ("owner", "part"))
+
+    def run(batches):
+        for batch in batches:
+            block, owner, part = batch.columns
+            new = _changes(owner)
+            kept = np.flatnonzero(new | _changes(part))
+            owner, part, new = owner.take(pa.array(kept)), part.take(pa.array(kept)), new[kept]
+            new[::TARGETS] = True
+            at = np.flatnonzero(new)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(part)), pa.int32()), part)
+            yield pa.RecordBatch.from_arrays([block.slice(0, len(at)), owner.take(pa.array(at)), lists], names=["owner_block", "owner", "parts"])
+
+    fields = f"owner_block int, owner {owners}, parts array<{parts}>"
+    return rows.select(F.spark_partition_id().alias("owner_block"), "owner", "part").mapInArrow(run, fields)
+
+
+class _Lists:
+    """Targets of parts, for the owners of one task."""
+
+    def __init__(self, parts: list[pa.Array], lists: list[pa.Array]):
+        part, held = pa.concat_arrays(parts).dictionary_encode(), pa.concat_arrays(lists)
+        target = held.flatten().dictionary_encode("encode")
+        self.parts, self.targets = part.dictionary, target.dictionary
+        of, sizes = part.indices.to_numpy(), held.value_lengths().to_numpy().astype(np.int64)
+        by = np.argsort(of, kind="stable")
+        self.codes = target.indices.to_numpy()[_ranges((np.cumsum(sizes) - sizes)[by], sizes[by])]
+        self.sizes = np.bincount(of, sizes, len(self.parts)).astype(np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def pairs(self, owner: pa.Array, parts: pa.Array) -> Iterator[pa.RecordBatch]:
+        """(owner, target), once each, of rows sorted by owner."""
+        new = _changes(owner)
+        first = np.flatnonzero(new)
+        found = pc.index_in(parts.flatten(), value_set=self.parts)
+        held = found.is_valid().to_numpy(zero_copy_only=False)
+        which = np.repeat(np.cumsum(new) - 1, parts.value_lengths().to_numpy())[held]
+        found = found.drop_null().to_numpy()
+        before = np.append(0, np.cumsum(self.sizes[found]))
+        upto = lambda s: max(int(np.searchsorted(before, before[s] + HELD_PAIRS, "right")) - 1, s + 1)
+        s, n = 0, len(self.targets)
+        while s < len(found):
+            e = upto(s)
+            if e < len(found):  # whole owners only; one at least
+                low = int(np.searchsorted(which, which[e]))
+                e = low if low > s else int(np.searchsorted(which, which[s], "right"))
+            local = (which[s:e] - which[s]).astype(np.int64)
+            several = (local[-1] + 1) * n
+            keys, seen = [], np.zeros(several, bool) if not local[-1] or several <= 16 * HELD_PAIRS else None
+            at = s
+            while at < e:  # more than once for an owner of very many
+                stop = min(upto(at), e)
+                key = self.codes[_ranges(self.starts[found[at:stop]], self.sizes[found[at:stop]])] + np.repeat(local[at - s : stop - s] * n, self.sizes[found[at:stop]])
+                if seen is None:
+                    keys.append(key)
+                else:
+                    seen[key] = True
+                at = stop
+            key = np.unique(np.concatenate(keys)) if seen is None else np.flatnonzero(seen)
+            for k in range(0, len(key), HELD_PAIRS):
+                of, code = np.divmod(key[k : k + HELD_PAIRS], n)
+                yield pa.RecordBatch.from_arrays([owner.take(pa.array(first[which[s] + of])), self.targets.take(pa.array(code))], names=["owner", "target"])
+            s = e
+
+
+def _met(stream: DataFrame) -> DataFrame:
+    """(owner, target) of rows sorted by the first three columns, which name a task's share, lists first, then by owner."""
+    owner, lists = (stream.schema[c].dataType for c in ("owner", "_t"))
+
+    def run(batches):
+        here, parts, lists, table, rest = None, [], [], None, None
+        for batch in batches:
+            names = np.stack([c.to_numpy() for c in batch.columns[:4]], axis=1)
+            cuts = [0, *(np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1).tolist(), len(names)]
+            for s, e in zip(cuts, cuts[1:]):
+                *of, what = names[s].tolist()
+                part, targets, owner, asked = (c.slice(s, e - s) for c in batch.columns[4:])
+                if of != here:
+                    if rest:
+                        yield from table.pairs(*rest)
+                    here, parts, lists, table, rest = of, [], [], None, None
+                if not what:
+                    parts.append(part)
+                    lists.append(targets)
+                    continue
+                if not parts:  # none of this share's lists has a target
+                    continue
+                table = table or _Lists(parts, lists)
+                if rest:
+                    owner, asked = pa.concat_arrays([rest[0], owner]), pa.concat_arrays([rest[1], asked])
+                last = int(np.flatnonzero(_changes(owner))[-1])  # may go on
+                rest = owner.slice(last), asked.slice(last)
+                if last:
+                    yield from table.pairs(owner.slice(0, last), asked.slice(0, last))
+        if rest:
+            yield from table.pairs(*rest)
+
+    return stream.mapInArrow(run, f"owner {owner.simpleString()}, target {lists.elementType.simpleString()}")
 
 
 def two_hops(contains: DataFrame, depends: DataFrame) -> DataFrame:
-    """(owner, target): what an owner's parts depend on. A part's targets go to its owners in lists of TARGETS
-    or so; they are told apart where an owner's lists have met, so pairs themselves are not shuffled. As many
-    tasks as the number of pairs asks for, which the two degrees of each part give."""
+    """(owner, target), once each: what an owner's parts depend on; edges may repeat. Owners are dealt in order to
+    blocks; a block gets the targets of every part that it asks for once, not once for each owner, in lists of TARGETS
+    or so, and pairs are made and told apart there. A block with more pairs than a task may make is dealt
+    to several by owner, one with more targets than a task may hold by target."""
     spark = contains.sparkSession
-    degree = contains.groupBy(F.col("dst").alias("part")).agg(F.count("*").alias("n"))
-    held = depends.groupBy(F.col("src").alias("part")).agg(F.count("*").alias("m"))
-    pairs = degree.join(held, "part").agg(F.coalesce(F.sum(F.col("n").cast("double") * F.col("m")), F.lit(0.0))).first()[0]
+    rows = contains.select(F.col("src").alias("owner"), F.col("dst").alias("part")).where("part is not null")
+    degree = materialise(rows.groupBy("part").agg(F.count("*").alias("n")))
+    held = depends.select(F.col("src").alias("part"), "dst").join(degree, "part").groupBy("part", "n").agg(F.count("*").alias("m"))
+    held = materialise(held)
+    pairs = held.agg(F.coalesce(F.sum(F.col("n").cast("double") * F.col("m")), F.lit(0.0))).first()[0]
     tasks = max(math.ceil(pairs / TASK_PAIRS), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    edges = materialise(_packed(rows.repartitionByRange(tasks, "owner").sortWithinPartitions("owner", "part")))
+    asked = edges.select("owner_block", F.explode("parts").alias("part")).groupBy("owner_block", "part").agg(F.count("*").alias("n"))
+    asked = materialise(asked.join(held.select("part", "m"), "part"))
+    shares = asked.groupBy("owner_block").agg(
+        F.ceil(F.sum(F.col("n").cast("double") * F.col("m")) / TASK_PAIRS).cast("int").alias("_shares"), F.ceil(F.sum("m") / TASK_TARGETS).cast("int").alias("_classes")
+    )
+    shares = materialise(shares)
+    tasks = shares.agg(F.coalesce(F.sum(F.col("_shares") * F.col("_classes")), F.lit(1))).first()[0]
     pieces = held.select("part", F.ceil(F.col("m") / TARGETS).alias("_k"))
     lists = depends.select(F.col("src").alias("part"), "dst").join(pieces, "part").groupBy("part", F.pmod(F.xxhash64("dst"), "_k").alias("_piece"))
     # A set has no null; a target may be one.
     null = F.array(F.lit(None).cast(depends.schema["dst"].dataType))
     lists = lists.agg(F.concat(F.sort_array(F.collect_set("dst")), F.when(F.max(F.col("dst").isNull()), null).otherwise(F.slice(null, 1, F.lit(0)))).alias("_t"))
-    parts = contains.select(F.col("src").alias("owner"), F.col("dst").alias("part"))
-    met = parts.join(lists.hint("merge"), "part").select("owner", "_t").repartition(tasks, "owner")
-    return met.select("owner", F.explode("_t").alias("target")).distinct()
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    sent = asked.select("owner_block", "part").join(lists.hint("merge"), "part").join(shares, "owner_block")
+    sent = sent.withColumn("_share", each("_shares")).withColumn("_class", each("_classes"))
+    # Within a piece hashes agree modulo its part's number of pieces: classes go by another hash.
+    own = F.filter("_t", lambda x: F.pmod(F.xxhash64(F.lit(1), x), F.col("_classes")) == F.col("_class"))
+    sent = sent.withColumn("_t", F.when(F.col("_classes") == 1, F.col("_t")).otherwise(own)).where(F.size("_t") > 0)
+    sent = sent.select("owner_block", "_share", "_class", F.lit(0).alias("_what"), "part", "_t")
+    owners = edges.join(shares, "owner_block").withColumn("_share", F.pmod(F.xxhash64("owner"), "_shares").cast("int")).withColumn("_class", each("_classes"))
+    owners = owners.select("owner_block", "_share", "_class", F.lit(1).alias("_what"), "owner", "parts")
+    by = ["owner_block", "_share", "_class"]
+    return _met(sent.unionByName(owners, allowMissingColumns=True).repartition(tasks, *by).sortWithinPartitions(*by, "_what", "owner"))
 
 
 def prefix_edges(imports: DataFrame, modules: DataFrame, separator: str = "::") -> DataFrame:

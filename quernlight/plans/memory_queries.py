@@ -347,8 +347,12 @@ EDGES = "e AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem)
 LINKS = "f AS (SELECT DISTINCT c_nationkey AS src, least(24, c_nationkey // 5 * 5 + c_custkey % 7)::INT AS dst FROM customer)"
 
 
+def _lines(spark, d) -> DataFrame:
+    return table(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"))
+
+
 def _edges(spark, d) -> DataFrame:
-    return table(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()
+    return _lines(spark, d).distinct()
 
 
 def _links(spark, d) -> DataFrame:
@@ -403,7 +407,7 @@ def supplier_components(spark, d):
 
 @query(f"WITH {EDGES} SELECT DISTINCT a.src AS owner, b.dst AS target FROM e a JOIN e b ON a.dst = b.src")
 def two_hop_layers(spark, d):
-    e = _edges(spark, d)
+    e = _lines(spark, d)
     return G.two_hops(e, e)
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import random
+
 import __spark_entry__
 import pytest
+from pyspark.sql import functions as F
 
 
 def plan(df):
@@ -34,6 +37,51 @@ def test_pairs_of_two_hops_are_not_shuffled(spark):
     assert len(got.collect()) == len(wanted) and {tuple(r) for r in got.collect()} == wanted
 
 
+def shuffled(spark, df):
+    """Rows that the stages of df write to shuffles, and the number of its own rows."""
+    jvm, store = spark.sparkContext._jvm, spark.sparkContext._jsc.sc().statusStore()
+
+    def stages():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        found = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {(found.apply(k).stageId(), found.apply(k).attemptId()): found.apply(k).shuffleWriteRecords() for k in range(found.size())}
+
+    before = stages()
+    n = df.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).sum()
+    return sum(n for k, n in stages().items() if k not in before), n
+
+
+def test_targets_of_a_part_go_once_to_many_owners(spark):
+    from quernlight.operators import graph
+
+    owners = spark.range(2000).selectExpr("id + 1000 as src", "explode(sequence(0, 29)) as x").selectExpr("src", "(src * 7 + x * 3) % 100 as dst")
+    parts = spark.range(100).selectExpr("id as src", "explode(sequence(0, 29)) as x").selectExpr("src", "(src + x * 11) % 1000 as dst")
+    sent, n = shuffled(spark, graph.two_hops(owners, parts))
+    assert n == owners.join(parts.toDF("of", "target"), owners.dst == F.col("of")).select("src", "target").distinct().count()
+    assert sent < 20_000
+
+
+@pytest.mark.parametrize("small", [True, False])
+@pytest.mark.parametrize("named", [True, False])
+def test_two_hops_of_any_shares(spark, monkeypatch, small, named):
+    """Blocks dealt by owner and by target, owners and parts with very many, repeated edges, nulls and names."""
+    from quernlight.operators import graph
+
+    if small:
+        for name, most in {"TARGETS": 4, "TASK_PAIRS": 50, "TASK_TARGETS": 20, "HELD_PAIRS": 7}.items():
+            monkeypatch.setattr(graph, name, most)
+    rnd = random.Random(5)
+    name = lambda k: None if k is None else f"n{k}" if named else k
+    contains = [(rnd.randrange(30), rnd.randrange(12)) for _ in range(150)] + [(3, k) for k in range(40)] + [(None, 2), (5, None)]
+    depends = [(rnd.randrange(15), rnd.randrange(100)) for _ in range(60)] + [(2, k) for k in range(80)] + [(2, None), (None, 4), (39, 1)]
+    contains, depends = ([(name(a), name(b)) for a, b in rows * 2] for rows in (contains, depends))
+    kind = "src string, dst string" if named else "src long, dst long"
+    rows = [tuple(r) for r in graph.two_hops(spark.createDataFrame(contains, kind), spark.createDataFrame(depends, kind)).collect()]
+    wanted = {(a, c) for a, b in contains for b2, c in depends if b is not None and b == b2}
+    assert len(rows) == len(wanted) and set(rows) == wanted
+    assert graph.two_hops(spark.createDataFrame([], kind), spark.createDataFrame(depends, kind)).collect() == []
+
+
 def test_items_are_parsed_once_for_their_checks(spark):
     from quernlight.operators import checks
 
